@@ -20,11 +20,11 @@ empty table gives no rows; further columns are dropped by the query.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from specula.llm.common import table, text_or_empty, written
+from specula.llm.common import drop_written, table, text_or_empty, written
 
 BINS = 1024
 TIE_BITS = 40  # of the ordering key, below 22 bits of the dimension's value
@@ -36,61 +36,68 @@ def ordering_key(value, tie):
     return F.shiftleft(scaled, TIE_BITS).bitwiseOR(tie)
 
 
+def by_node(values: dict[int, object]):
+    """For each row the value of its node."""
+    out = None
+    for node, v in values.items():
+        v = v if isinstance(v, Column) else F.lit(v)
+        out = F.when(F.col("node") == node, v) if out is None else out.when(F.col("node") == node, v)
+    return out
+
+
 def assign(rows: DataFrame, dims: list[str], size: str, tie: str, shards: int, slack: float = 0.0005) -> DataFrame:
-    """``rows`` with ``shard`` (0 to shards - 1). ``dims``: columns in 0 to 1; ``tie``: a long of TIE_BITS bits."""
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    key = lambda d: ordering_key(F.col(d), F.col(tie))
-    fine = max(1, int(total / shards * slack))
-    nodes = {0: (0, shards)}  # node: first shard, shards
-    df, made = rows.withColumn("node", F.lit(0)), 1
+    """``rows`` with ``shard`` (0 to shards - 1). ``dims``: columns in 0 to 1; ``tie``: a long of TIE_BITS bits.
+
+    The rows are written anew with their node at each of the log2(shards) levels.
+    """
+    keys = {d: f"key_{d}" for d in dims}
+    df = written(rows.withColumns({k: ordering_key(F.col(d), F.col(tie)) for d, k in keys.items()}).drop(*dims, tie).withColumn("node", F.lit(0)), "tree")
+    fine = max(1, int((df.agg(F.sum(size)).first()[0] or 0) / shards * slack))
+    nodes, made = {0: (0, shards)}, 1  # node: its first shard, its shards
     while any(k > 1 for _, k in nodes.values()):
-        stats = {r["node"]: r for r in df.groupBy("node").agg(F.sum(size).alias("w"), *(F.min(key(d)).alias(f"lo_{d}") for d in dims), *(F.max(key(d)).alias(f"hi_{d}") for d in dims)).collect()}
-        open_ = {}
+        ends = (f(F.col(k)).alias(f"{end}_{d}") for d, k in keys.items() for end, f in (("lo", F.min), ("hi", F.max)))
+        stats = {r["node"]: r for r in df.groupBy("node").agg(F.sum(size).alias("w"), *ends).collect()}
+        cuts = {}
         for n, (_, k) in nodes.items():
             if k > 1 and n in stats:
                 s = stats[n]
                 dim = max(dims, key=lambda d: (s[f"hi_{d}"] - s[f"lo_{d}"], -dims.index(d)))
-                open_[n] = {"dim": dim, "lo": s[f"lo_{dim}"], "hi": s[f"hi_{dim}"], "below": 0, "goal": s["w"] * (k // 2) / k, "cut": None}
-        while todo := {n: o for n, o in open_.items() if o["cut"] is None}:
-            bin_ = None
-            for n, o in todo.items():
-                k, step = key(o["dim"]), max(1, -(-(o["hi"] - o["lo"] + 1) // BINS))
-                o["step"] = step
-                b = F.when(k.between(o["lo"], o["hi"]), F.call_function("div", k - F.lit(o["lo"]), F.lit(step)).cast("int"))
-                at = F.col("node") == n
-                bin_ = F.when(at, b) if bin_ is None else bin_.when(at, b)
-            counted = df.withColumn("bin", bin_).where("bin is not null").groupBy("node", "bin").agg(F.sum(size).alias("w")).collect()
-            by: dict[int, dict[int, int]] = {}
-            for r in counted:
-                by.setdefault(r["node"], {})[r["bin"]] = r["w"]
-            for n, o in todo.items():
-                below, bins = o["below"], sorted(by.get(n, {}).items())
-                for b, w in bins:
-                    if below + w >= o["goal"]:
+                cuts[n] = {"key": keys[dim], "lo": s[f"lo_{dim}"], "hi": s[f"hi_{dim}"], "below": 0, "goal": s["w"] * (k // 2) / k, "cut": None}
+        while todo := {n: c for n, c in cuts.items() if c["cut"] is None}:
+            for c in todo.values():
+                c["step"] = max(1, -(-(c["hi"] - c["lo"] + 1) // BINS))
+            key, lo, hi, step = (by_node({n: F.col(c[x]) if x == "key" else c[x] for n, c in todo.items()}) for x in ("key", "lo", "hi", "step"))
+            ranged = df.select("node", size, key.alias("key"), lo.alias("lo"), hi.alias("hi"), step.alias("step")).where("key between lo and hi")
+            found: dict[int, list] = {}
+            for r in ranged.groupBy("node", F.expr("(key - lo) div step").alias("bin")).agg(F.sum(size).alias("w")).collect():
+                found.setdefault(r["node"], []).append((r["bin"], r["w"]))
+            for n, c in todo.items():
+                below = c["below"]
+                for at, w in sorted(found[n]):
+                    if below + w >= c["goal"]:
                         break
                     below += w
-                lo = o["lo"] + b * o["step"]
-                hi = min(o["hi"], lo + o["step"] - 1)
-                if lo == hi or w <= fine:
-                    nearer = hi if below + w - o["goal"] <= o["goal"] - below else lo - 1
-                    o["cut"] = nearer
+                first = c["lo"] + at * c["step"]
+                last = min(c["hi"], first + c["step"] - 1)
+                if first == last or w <= fine:
+                    c["cut"] = last if below + w - c["goal"] <= c["goal"] - below else first - 1
                 else:
-                    o |= {"lo": lo, "hi": hi, "below": below}
-        moved, after = None, {}
+                    c |= {"lo": first, "hi": last, "below": below}
+        moves, after = {}, {}
         for n, (first, k) in nodes.items():
-            if n in open_:
-                left, right, made = made, made + 1, made + 2
-                child = F.when(key(open_[n]["dim"]) <= open_[n]["cut"], left).otherwise(right)
-                moved = F.when(F.col("node") == n, child) if moved is None else moved.when(F.col("node") == n, child)
-                after |= {left: (first, k // 2), right: (first + k // 2, k - k // 2)}
+            if n in cuts:
+                moves[n] = F.when(F.col(cuts[n]["key"]) <= cuts[n]["cut"], made).otherwise(made + 1)
+                after |= {made: (first, k // 2), made + 1: (first + k // 2, k - k // 2)}
+                made += 2
             elif k == 1:  # what has no rows needs no shards
                 after[n] = (first, k)
-        df = df.withColumn("node", moved.otherwise(F.col("node"))) if moved is not None else df
         nodes = after
-    shard = None
-    for n, (first, _) in nodes.items():
-        shard = F.when(F.col("node") == n, first) if shard is None else shard.when(F.col("node") == n, first)
-    return df.withColumn("shard", shard.cast("int")).drop("node")
+        if moves:
+            new = written(df.withColumn("node", F.coalesce(by_node(moves), F.col("node"))), "tree")
+            drop_written(df)
+            df = new
+    shard = by_node({n: first for n, (first, _) in nodes.items()}) if nodes else F.lit(0)
+    return df.withColumn("shard", shard.cast("int")).drop("node", *keys.values())
 
 
 def slots(rows: DataFrame, by: str, order: list[str], chunk_rows: int = 250_000) -> DataFrame:
