@@ -1,10 +1,27 @@
-"""Every registered query, with the SQL that states the same rows."""
+"""Every registered query of the library, with the SQL that states the same rows."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) under its name, with its SQL if SQL can express it."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+for _module in ("colour_queries", "statistics_queries", "catalogue_queries", "signal_queries", "table_queries", "stage_queries"):
+    importlib.import_module(f"specula.plans.{_module}")

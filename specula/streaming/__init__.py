@@ -1,0 +1 @@
+"""No operator of this library needs a stream; its maps and grouped aggregates also run on streaming DataFrames."""
