@@ -19,6 +19,9 @@ Segment payload: blocks u32, start of each block u32, the blocks.
 
 from __future__ import annotations
 
+import functools
+import json
+import os
 import struct
 
 import numpy as np
@@ -76,32 +79,80 @@ def unpack_segment(data: bytes) -> np.ndarray:
 
 
 class LibraryPieces:
-    """Ids of texts by the tokenizers library, asked for each space-separated piece once while it is remembered.
+    """Ids of texts by the tokenizers library, asked for each word once while it is remembered.
 
-    For vocabularies that drop white space: the ids of a text are then those of its pieces, one after another.
+    For vocabularies that lower case, drop white space and keep letters apart from other characters: the ids of a text
+    are then those of its space-separated pieces, one after another, and a piece of letters with a full stop or a
+    comma behind has the ids of the letters, in either case, and of the mark. Letters beyond U+024F are left as they are.
     """
 
-    def __init__(self, tokenizer, most: int = 200_000):
+    def __init__(self, tokenizer, most: int = 400_000):
         self.tokenizer, self.most = tokenizer, most
+        # for lower-case letters the file's normalizer and splitting pattern do nothing but take time
+        own = json.loads(tokenizer.to_str()) | {"normalizer": None, "added_tokens": []}
+        bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        own["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_only]}
+        self.plain = type(tokenizer).from_str(json.dumps(own))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = dict(zip(".,", self._ask([".", ","]), strict=True))
+
+    def _ask(self, words: list[str]) -> list[bytes]:
+        """Ids of each; words of letters go many to a line, as each ends with the one token of it that ends a word."""
+        plain = [w for w in words if w.isalpha() and (w.isascii() or max(w) <= "\u024f")]
+        lines = [" ".join(plain[k : k + 64]) for k in range(0, len(plain), 64)]
+        ids = np.array([i for e in self.plain.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], "<u4")
+        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        packed = ids.tobytes()
+        found = dict(zip(plain, (packed[x:y] for x, y in zip([0, *ends], ends, strict=False)), strict=True))
+        other = [w for w in words if w not in found]
+        found |= zip(other, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)), strict=True)
+        return [found[w] for w in words]
 
     def of(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        new = {p for pieces in split for p in pieces if p not in self.young}
+        pieces = set().union(*split)
+        new = pieces.difference(self.young)
         if len(self.young) + len(new) > self.most:
-            self.old, self.young = self.young, {}
-            new = {p for pieces in split for p in pieces}
-        ask = []
+            self.old, self.young, new = self.young, {}, pieces
+        parts, ask = [], set()
         for p in new:
-            if (v := self.old.get(p)) is None:
-                ask.append(p)
-            else:
+            if (v := self.old.get(p)) is not None:
                 self.young[p] = v
-        for p, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False), strict=True):
-            self.young[p] = np.array(e.ids, "<u4").tobytes()
+                continue
+            word, mark = p, b""
+            if p[-1:] in self.marks and p[:-1].isalpha():
+                word, mark = p[:-1], self.marks[p[-1]]
+            if (word.isascii() or max(word) <= "\u024f") and word.isalpha():
+                word = word.lower()
+            parts.append((p, word, mark))
+            if word not in self.words:
+                ask.add(word)
+        if len(self.words) + len(ask) > self.most:
+            self.words = {}
+            ask = {word for _, word, _ in parts}
+        wanted = list(ask)
+        self.words.update(zip(wanted, self._ask(wanted), strict=True))
+        for p, word, mark in parts:
+            self.young[p] = self.words[word] + mark
         get = self.young.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        return [b"".join(map(get, own)) for own in split]
+
+
+@functools.lru_cache(maxsize=2)
+def _pieces(content: str) -> LibraryPieces:
+    """The remembered pieces of a Python process; its tasks share them."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_str(content)
+    t.no_truncation()
+    t.no_padding()
+    return LibraryPieces(t)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, files: int | None = None) -> None:
@@ -111,16 +162,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, files: in
         content = spark.sparkContext.broadcast(f.read())  # a vocabulary, of fixed size
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        t = Tokenizer.from_str(content.value)
-        t.no_truncation()
-        t.no_padding()
-        pieces, end = LibraryPieces(t), np.array([end_id], "<u4").tobytes()
+        pieces, end = _pieces(content.value), np.array([end_id], "<u4").tobytes()
         file, segment, first, held, ids, lens = TaskContext.get().partitionId(), 0, 0, bytearray(), [], []
 
         def row():
