@@ -101,7 +101,7 @@ def train(random: DataFrame, ordinary: DataFrame) -> list[float]:
     return [round(a - b, 6) for a, b in zip(*tables, strict=True)]
 
 
-def scan(docs: DataFrame, model: list[float], threshold: float = 1.0, min_chars: int = 20, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: list[float], threshold: float = 2.0, min_chars: int = 20, text: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (begin, kind, end, match), spans with those of the models."""
     body = F.coalesce(F.col(text), F.lit(""))
     size = len(ALPHABET)
