@@ -28,6 +28,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/specula/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files of a finished step when its plan is collected
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,12 +12,12 @@ that Spark combines before the shuffle; no pairs are made however many lines sha
 the earliest partner is then verified on the words. Variants are only made for lines that share their first or
 their last half with another distinct line, as two lines one edit apart must: that keeps the neighbourhoods small.
 
-Only DataFrame functions. Texts are shuffled once, by doc_id, and that exchange is used by each step. Keys are two
-XXH64 with different seeds, 128 bits.
+Only DataFrame functions. Lines are normalized and hashed once, into a table of keys; texts are shuffled twice, to
+fetch the lines that need variants and to take lines out. Keys are two XXH64 with different seeds, 128 bits.
 
 Defined results: a null text stays null with no lines; an empty one stays empty; lines equal inside one document
-count too; documents with one doc_id are one document, lines of equal place and content among them count once and
-share their fate; one without a doc_id takes no part and passes unchanged; an empty table gives no rows; further
+count too; rows that repeat a doc_id and its text share their fate, those of another text are documents of their own,
+in the order of a hash; one without a doc_id takes no part and passes unchanged; an empty table gives no rows; further
 columns pass through.
 """
 
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specula.llm.common import partitions, table
+from specula.llm.common import drop_written, table, written
 
 BLANKS = "\t\r\x0b\x0c"
 
@@ -40,11 +40,11 @@ def _key(*parts) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *parts).alias(f"k{seed}") for seed in (1, 2)]
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Lines that aren't blank: doc_id, line_no, norm and the two hashes of norm."""
-    df = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    df = df.select("doc_id", "line_no", normal(F.col("line")).alias("norm")).where("norm <> ''")
-    return df.select("doc_id", "line_no", "norm", *_key("norm"))
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """Lines that aren't blank: doc_id, h (of the text), line_no, the two hashes of the line, and its halves if long enough."""
+    df = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    df = df.select("doc_id", "h", "line_no", normal(F.col("line")).alias("norm")).where("norm <> ''").withColumn("n", _n_words())
+    return df.select("doc_id", "h", "line_no", *_key("norm"), F.when(F.col("n") >= min_words, _halves()).alias("halves"))
 
 
 def _n_words(norm: str = "norm") -> Column:
@@ -87,23 +87,23 @@ def _within_one_edit(a: Column, b: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
-    """doc_id, line_no, the line's hash k1 and ``near`` of each line that goes. ``docs``: doc_id and text, dealt by doc_id."""
-    lines = _lines(docs)
-    keyed = lines.withColumn("n", _n_words())
-    halves = F.when(F.col("n") >= min_words, _halves()).alias("halves")
-    place = F.struct("doc_id", "line_no")
-    firsts = keyed.select("k1", "k2", place.alias("at"), halves).groupBy("k1", "k2").agg(F.min(F.struct("at", "halves")).alias("f"), F.count(F.lit(1)).alias("copies"))
-    firsts = firsts.select("k1", "k2", F.col("f.at").alias("at"), F.col("f.halves").alias("halves"), "copies")
+    """doc_id, h, line_no and ``near`` of each line that goes. Each step is a table, so that its shuffle files can go."""
+    place = F.struct("doc_id", "h", "line_no")
+    lines = written(_lines(docs, min_words), "lines")
+    firsts = lines.select("k1", "k2", F.struct(place.alias("at"), "halves").alias("f")).groupBy("k1", "k2").agg(F.min("f").alias("f"), F.count(F.lit(1)).alias("copies"))
+    firsts = written(firsts.select("k1", "k2", F.col("f.at").alias("at"), F.col("f.halves").alias("halves"), "copies"), "first-lines")
     copies = firsts.where("copies > 1").select("k1", "k2", "at")
-    exact = lines.select("doc_id", "line_no", "k1", "k2").join(copies, ["k1", "k2"]).where(~place.eqNullSafe(F.col("at"))).select("doc_id", "line_no", "k1", F.lit(False).alias("near"))
+    exact = written(lines.join(copies, ["k1", "k2"]).where(place != F.col("at")).select("doc_id", "h", "line_no", F.lit(False).alias("near")), "equal-lines")
+    drop_written(lines)
 
-    half = firsts.where("halves is not null").select(F.explode("halves").alias("half"), "k1", "at")
+    half = firsts.where("halves is not null").select(F.explode("halves").alias("half"), "k1", "at.doc_id", "at.h", "at.line_no")
     shared = half.groupBy("half").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("half")
-    wanted = half.join(shared, "half").select("at.doc_id", "at.line_no").groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
-    # the wanted lines of a document are no more than its lines
-    some = docs.join(wanted, "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"), "wanted")
-    some = some.where(F.array_contains("wanted", F.col("line_no"))).select("doc_id", "line_no", normal(F.col("line")).alias("norm"))
-    some = some.select(place.alias("at"), "norm", _n_words().alias("n")).where(F.col("n") >= min_words).distinct()
+    wanted = written(half.join(shared, "half").select("doc_id", "h", "line_no").distinct(), "wanted-lines")
+    drop_written(firsts)
+    of_doc = wanted.groupBy("doc_id", "h").agg(F.collect_list("line_no").alias("wanted"))  # no more than the document's lines
+    some = docs.withColumn("h", F.xxhash64("text")).join(of_doc, ["doc_id", "h"]).select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "line"), "wanted")
+    some = some.where(F.array_contains("wanted", F.col("line_no"))).select(place.alias("at"), normal(F.col("line")).alias("norm"))
+    some = written(some.distinct().select("at", "norm", _n_words().alias("n")), "near-lines")
 
     variants = some.select("at", F.explode(_variants()).alias("v")).select("at", "v.place", F.col("v.k1").alias("v1"), F.col("v.k2").alias("v2"))
     by_place = variants.groupBy("v1", "v2", "place").agg(F.min("at").alias("first"))
@@ -111,29 +111,24 @@ def repeated_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     by_key = by_place.groupBy("v1", "v2").agg(
         F.min(F.when(F.col("place") > 0, F.col("first"))).alias("any_first"),
         F.min(F.when(F.col("place") == 0, F.col("first"))).alias("whole"),
+        F.max("first").alias("last"),
     )
-    earliest = by_place.join(by_key, ["v1", "v2"]).select("v1", "v2", "place", F.when(F.col("place") == 0, F.col("any_first")).otherwise(F.least("first", F.coalesce("whole", "first"))).alias("partner"))
-    useful = earliest.where("partner is not null")
-    pairs = variants.join(useful, ["v1", "v2", "place"]).where("partner < at").groupBy("at").agg(F.min("partner").alias("partner"))
+    by_key = by_key.where("last > least(coalesce(any_first, whole), coalesce(whole, any_first))").drop("last")
+    same_place = by_place.join(by_key, ["v1", "v2"], "left").select("v1", "v2", "place", F.when(F.col("place") == 0, F.col("any_first")).otherwise(F.least("first", "whole")).alias("partner"))
+    pairs = variants.join(same_place, ["v1", "v2", "place"]).where("partner < at").groupBy("at").agg(F.min("partner").alias("partner"))
     words = lambda c: F.split(F.col(c), " ")
     checked = pairs.join(some.select("at", "norm"), "at").join(some.select(F.col("at").alias("partner"), F.col("norm").alias("norm_b")), "partner")
-    near = checked.where(_within_one_edit(words("norm"), words("norm_b"))).select("at.doc_id", "at.line_no", _key("norm")[0], F.lit(True).alias("near"))
-    return exact.unionByName(near)
+    near = checked.where(_within_one_edit(words("norm"), words("norm_b"))).select("at.doc_id", "at.h", "at.line_no", F.lit(True).alias("near"))
+    return written(exact.unionByName(near), "repeated-lines")
 
 
 def line_dedup(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; adds n_lines, n_exact and n_near (lines before, and gone)."""
-    dealt = docs.repartition(partitions(docs), "doc_id")
-    identity = F.struct("line_no", "k1")
-    gone = repeated_lines(dealt.select("doc_id", "text"), min_words).groupBy("doc_id")
-    gone = gone.agg(F.collect_set(F.when(~F.col("near"), identity)).alias("exact_gone"), F.collect_set(F.when(F.col("near"), identity)).alias("near_gone"))
+    gone = repeated_lines(docs.select("doc_id", "text"), min_words).groupBy(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"))
+    gone = gone.agg(F.collect_set(F.when(~F.col("near"), F.col("line_no"))).alias("exact_gone"), F.collect_set(F.when(F.col("near"), F.col("line_no"))).alias("near_gone"))
     lines = F.split("text", "\n")
-
-    def fate(line, k):
-        own = F.struct(k.alias("line_no"), _key(normal(line))[0].alias("k1"))
-        return F.struct(line.alias("line"), F.when(F.array_contains("exact_gone", own), 1).when(F.array_contains("near_gone", own), 2).otherwise(0).alias("fate"))
-
-    out = dealt.alias("d").join(gone.withColumnRenamed("doc_id", "_doc_id"), F.col("d.doc_id") == F.col("_doc_id"), "left")
+    fate = lambda line, k: F.struct(line.alias("line"), F.when(F.array_contains("exact_gone", k), 1).when(F.array_contains("near_gone", k), 2).otherwise(0).alias("fate"))
+    out = docs.alias("d").join(gone, (F.col("d.doc_id") == F.col("_doc_id")) & (F.xxhash64("d.text") == F.col("_h")), "left")
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_exact", "n_near")]
     filled = F.size(F.filter(lines, lambda x: F.trim(F.translate(x, BLANKS, " " * len(BLANKS))) != ""))
     out = out.select(*(F.col(f"d.`{c}`") for c in names), "d.text", F.when(F.col("_doc_id").isNotNull(), F.transform(lines, fate)).alias("_fates"), F.when(F.col("text").isNull(), 0).otherwise(filled).cast("bigint").alias("n_lines"))
