@@ -79,7 +79,9 @@ def random_strings(spark: SparkSession, n: int = 3000) -> DataFrame:
 
 def identifiers(docs: DataFrame, sample_docs: int = 500) -> DataFrame:
     """Words of a bounded sample of documents, three at a time, joined in the ways of programs."""
-    some = docs.where("text is not null").select("text", F.xxhash64("doc_id").alias("lot")).orderBy("lot").limit(sample_docs)
+    lot = F.xxhash64("doc_id")
+    edge = docs.where("text is not null").select(lot.alias("lot")).orderBy("lot").limit(sample_docs).agg(F.max("lot")).first()[0]
+    some = docs.where("text is not null").where(lot <= F.lit(edge).cast("bigint"))
     words = some.select(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,12}"), F.lit(0)).alias("w")).where("size(w) >= 3")
     three = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda k: F.slice("w", k, 3))).alias("t"))
     lower = F.transform("t", lambda w: F.lower(w))
