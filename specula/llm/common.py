@@ -11,15 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN: dict[str, str | None] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is absent (tests on one machine) a folder is made and the setting is set.
+    Where the setting is absent (tests on one machine) a folder is made for the application.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="specula-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = _OWN.setdefault(spark.sparkContext.applicationId, None) or "file://" + tempfile.mkdtemp(prefix="specula-shared-")
+        _OWN[spark.sparkContext.applicationId] = where
     return where.rstrip("/")
 
 
