@@ -15,6 +15,7 @@ parent state and one interval of lost arcs.
 from __future__ import annotations
 
 import json
+from array import array
 from bisect import bisect_right
 from functools import lru_cache
 
@@ -79,23 +80,25 @@ class BpeAutomaton:
             starts[b[:2]] = max(starts.get(b[:2], 0), len(b))
             ends[b[-2:]] = max(ends.get(b[-2:], 0), len(b))
         self._starts, self._ends = starts, ends
-        self._rows: dict[int, tuple[list[int], list[int]]] = {}
+        self._rows: dict[int, tuple[array, array]] = {}
         self._arcs: dict[int, int] = {}
 
-    def _row(self, state: int) -> tuple[list[int], list[int]]:
+    def _row(self, state: int) -> tuple[array, array]:
         """Lost arcs of a state as sorted, merged intervals; made when the state is first met."""
         if (row := self._rows.get(state)) is None:
             found, s = [], state
             while s:
                 found.append(self.lost[s])
                 s = self.parent[s]
-            los, his = [], []
+            los, his = array("i"), array("i")
             for lo, hi in sorted(found):
                 if his and lo <= his[-1] + 1:
                     his[-1] = max(his[-1], hi)
                 else:
                     los.append(lo)
                     his.append(hi)
+            if len(self._rows) > 20_000:
+                self._rows.clear()
             row = self._rows[state] = (los, his)
         return row
 
@@ -106,7 +109,7 @@ class BpeAutomaton:
             los, his = self._row(state)
             k = bisect_right(los, self.place[token]) - 1
             to = -1 if k >= 0 and self.place[token] <= his[k] else self.target[token]
-            if len(self._arcs) > 400_000:
+            if len(self._arcs) > 200_000:
                 self._arcs.clear()
             self._arcs[key] = to
         return to

@@ -2,8 +2,7 @@
 
 A linear support vector machine for each language family, one against the rest, picks the family; inside it
 one-versus-one machines, one for each pair of its languages, vote. Features are letter 1- to 3-grams of words with
-their edges, hashed to 4,096 places, as shares of a text's total. Being linear, a text's margins are the sums of
-its words' margins, so whole texts are scored at the price of one table look-up a word.
+their edges, hashed to 4,096 places and counted over the whole text by array operations, as shares of the total.
 
 Machines are fitted on the driver from a bounded sample of labelled rows, ``per_language`` for each language (the
 documented bound), chosen by a hash of doc_id; scoring is a map without a shuffle. Texts of any length count in
@@ -16,12 +15,11 @@ repeated rows stay; other columns pass through, those named lang_pred or score a
 
 from __future__ import annotations
 
-import zlib
+import functools
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,22 +38,22 @@ FAMILIES = {
     "indic": "hi bn mr gu pa ur ne",
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-_WORDS = regex.compile(r"[\p{L}\p{M}]+").findall
-_LETTER = regex.compile(r"\p{L}").search
 
 
-def grams(piece: str) -> list[int]:
-    """Places of the 1- to 3-grams of each word of a piece of text."""
-    out = []
-    for word in _WORDS(piece.lower()):
-        if _LETTER(word):
-            w = f" {word} "
-            out += [zlib.crc32(w[k : k + n].encode("utf-8", "surrogatepass")) % PLACES for n in (1, 2, 3) for k in range(len(w) - n + 1) if n > 1 or w[k] != " "]
-    return out
+@functools.cache
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def features(text: str) -> np.ndarray:
-    return np.bincount(np.array(grams(text), np.int64), minlength=PLACES)
+    """Counts of the places of all 1- to 3-grams of a text's words, edges of words included."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = np.concatenate([[False], _letters()[points], [False]])
+    c = np.where(letter, np.concatenate([[0], points, [0]]), 32).astype(np.uint32)
+    x, y, z = c * np.uint32(0x9E3779B1), c * np.uint32(0x85EBCA77), c * np.uint32(0xC2B2AE3D)
+    grams = (x[letter], (x[:-1] + y[1:])[letter[:-1] | letter[1:]] + np.uint32(7), (x[:-2] + y[1:-1] + z[2:])[letter[1:-1]] + np.uint32(13))
+    return sum(np.bincount((g ^ (g >> np.uint32(15))) % np.uint32(PLACES), minlength=PLACES) for g in grams)
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 200.0, rounds: int = 150) -> np.ndarray:
@@ -143,32 +141,15 @@ def fit(labelled: DataFrame, per_language: int = 400, least: int = 5) -> Model:
     return Model(sorted(set(labels)), np.array([np.frombuffer(r["x"], "<f4") for r in got]).reshape(-1, PLACES), labels)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", most: int = 150_000) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # PLACES x machines numbers, whatever the data's size
 
     def run(batches):
         m = shared.value
-        table = np.zeros((0, m.weights.shape[1] + 1))
-        row_of: dict[str, int] = {}
         for batch in blocks(batches, 200):
-            split = [(t or "").split() for t in batch.column(batch.schema.names.index(text)).to_pylist()]
-            if len(row_of) > most:
-                row_of, table = {}, table[:0]
-            new = list({p for pieces in split for p in pieces if p not in row_of})
-            if new:
-                found = [grams(p) for p in new]
-                lens = np.array([len(g) for g in found], np.int64)
-                flat = np.array([x for g in found for x in g], np.int64)
-                own = np.zeros((len(new), m.weights.shape[1] + 1))
-                own[:, 0] = lens
-                if len(flat):
-                    some = lens > 0
-                    own[some, 1:] = np.add.reduceat(m.weights[flat], (np.cumsum(lens) - lens)[some], axis=0)
-                row_of.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
-                table = np.vstack([table, own])
-            sums = np.array([table[[row_of[p] for p in pieces]].sum(0) if pieces else np.zeros(table.shape[1]) for pieces in split]).reshape(len(split), -1)
-            langs, scores = m.decide(sums[:, 1:], sums[:, 0])
+            counts = np.array([features(t or "") for t in batch.column(batch.schema.names.index(text)).to_pylist()])
+            langs, scores = m.decide(counts @ m.weights, counts.sum(1))
             yield with_columns(batch, {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
 
     return docs.mapInArrow(run, schema_with(docs, {"lang_pred": T.StringType(), "score": T.DoubleType()}))

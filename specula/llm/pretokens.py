@@ -20,7 +20,7 @@ class PieceMap:
     pieces are kept, in two generations, so that memory is bounded and frequent pieces stay.
     """
 
-    def __init__(self, of_word: Callable, join: Callable, special: dict[str, object] | None = None, most: int = 200_000):
+    def __init__(self, of_word: Callable, join: Callable, special: dict[str, object] | None = None, most: int = 150_000):
         self.of_word, self.join, self.special, self.most = of_word, join, dict(special or {}), most
         self.split = regex.compile(PATTERN).findall
         names = sorted(self.special, key=len, reverse=True)
