@@ -7,9 +7,12 @@ Candidates come from CGK embeddings (Chakraborty, Goldenberg and Koucky, "Stream
 computing edit distance in the low distance regime", 2016): a walk over the words stays or steps on as random bits of
 the word and the step say, and its trace turns edit distance into Hamming distance. Every window that can start a
 match is embedded, one walk for all items of a size class; a few steps of the walk are sampled, and a window and an
-item whose sampled words agree are a candidate. This is repeated with other bits and steps; the number of times is
-fitted, by simulation on the class's own items with the most edits allowed, to reach ``recall``. Each candidate's
-edit distance is then computed exactly, hence nothing is reported that isn't one.
+item whose sampled words agree are a candidate. An item is embedded from its first word and from each that can be the
+first one matched, as many as edits are allowed: the words before may be changed or cut off. This is repeated with
+other bits and steps; the number of times is fitted on the driver, by simulation on the class's own items with the
+most edits allowed, to reach ``recall`` for edits anywhere, at the head, in the middle, at the tail, and after the
+first word with walks from first words alone, each by itself; if ``most_repetitions`` don't reach it, that is an error. Each candidate's edit distance is then computed
+exactly, hence nothing is reported that isn't one.
 
 Windows are left out only where no match can start: at a word that is in no item (a best window starts with a
 matched word), or where the words in no item already exceed the edits allowed. Nothing is sampled or capped.
@@ -38,6 +41,7 @@ from specula.llm.common import table
 
 _SPACES = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 SAMPLES = 3
+KINDS = ("anywhere", "head", "middle", "tail", "later")
 
 
 def words(text: str | None) -> list[bytes]:
@@ -91,7 +95,7 @@ def edits(items: np.ndarray, lens: np.ndarray, symbols: np.ndarray, starts: np.n
 class SizeClass:
     """Items of similar size with their hash tables, one for each repetition."""
 
-    def __init__(self, items: list[np.ndarray], numbers: list[int], edit_share: float, recall: float, vocabulary: int, seed: int):
+    def __init__(self, items: list[np.ndarray], numbers: list[int], edit_share: float, recall: float, vocabulary: int, seed: int, repetitions: int | None = None, most_repetitions: int = 400):
         self.lens = np.array([len(x) for x in items])
         self.numbers = np.array(numbers)
         self.low, self.most = int(self.lens.min()), int(self.lens.max())
@@ -103,16 +107,15 @@ class SizeClass:
             row[: len(x)] = x
         self.steps = max(SAMPLES, int(1.5 * self.low))
         self.base = vocabulary + 2
-        hits = self._simulate(items, seed, vocabulary, edit_share)
-        n = 1
-        while n < 400 and np.mean(1 - (1 - hits) ** n) < recall:
-            n += 1
-        self.family = Family(seed, n, self.steps, vocabulary)
+        self.repetitions = repetitions or self._fit(items, seed, vocabulary, recall, most_repetitions)
+        self.family = Family(seed, self.repetitions, self.steps, vocabulary)
         self.tables = []
-        flat, starts = self._flat(items)
-        for k in range(n):
+        if repetitions is None:  # only fitted
+            return
+        flat, starts, owner = self._heads(items, self.bound)
+        for k in range(self.repetitions):
             keys = sampled(self.family, k, flat, starts, self.base)
-            self.tables.append(self._table(keys))
+            self.tables.append(self._table(keys, owner))
 
     def _flat(self, items):
         gap = np.zeros(self.steps + 1, np.int32)
@@ -120,33 +123,68 @@ class SizeClass:
         starts = np.cumsum([0, *(len(p) for p in parts[:-1])])
         return np.concatenate(parts).astype(np.int64), starts.astype(np.int64)
 
-    def _table(self, keys):
+    def _heads(self, items, bound):
+        """The items' words, the places of their words 0 to ``bound``, and whose these are."""
+        flat, starts = self._flat(items)
+        n = np.minimum(bound + 1, [len(x) for x in items])
+        owner = np.repeat(np.arange(len(items)), n)
+        return flat, starts[owner] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), owner
+
+    def _table(self, keys, owner):
         rows = np.flatnonzero(keys >= 0)
-        order = rows[np.argsort(keys[rows], kind="stable")]
-        prefixes = [np.unique(keys[order] // self.base ** (SAMPLES - 1 - d)) for d in range(SAMPLES)]
+        keys, rows = np.unique(np.stack([keys[rows], owner[rows]]), axis=1)
+        prefixes = [np.unique(keys // self.base ** (SAMPLES - 1 - d)) for d in range(SAMPLES)]
         first = np.zeros(self.base, bool)
         first[prefixes[0]] = True
-        return first, prefixes[1:], keys[order], order
+        return first, prefixes[1:], keys, rows
 
-    def _simulate(self, items, seed, vocabulary, edit_share, pairs: int = 150, tries: int = 60) -> np.ndarray:
-        """Share of repetitions that catch an item changed as much as allowed, for some random changes."""
+    def _fit(self, items, seed, vocabulary, recall, most) -> int:
+        """The least number of repetitions that reaches ``recall`` for each kind of change."""
+        n = 1
+        for kind, hits in self._simulate(items, seed, vocabulary).items():
+            while np.mean(1 - (1 - hits) ** n) < recall:
+                n += 1
+                if n > most:
+                    raise ValueError(f"{most} repetitions don't reach a recall of {recall} for items of {self.low} to {self.most} words edited {kind}")
+        return n
+
+    def _simulate(self, items, seed, vocabulary, pairs: int = 100, tries: int = 100) -> dict[str, np.ndarray]:
+        """By kind of change, the share of repetitions that catch an item changed as much as allowed, for random changes."""
         r = np.random.default_rng(seed + 1)
-        changed, own = [], []
-        for _ in range(pairs):
-            x = items[r.integers(len(items))]
-            y = x.tolist()
-            for _ in range(int(len(x) * edit_share + 1e-9)):
-                k, how = int(r.integers(1, len(y))) if len(y) > 1 else 0, r.integers(3)
-                y[k : k + int(how != 0)] = [int(r.integers(1, vocabulary + 1))] * int(how != 2)
-            own.append(x)
-            changed.append(np.array(y or [0], np.int32))
+        changed, own, allowed = [], [], []
+        for kind in KINDS:
+            for _ in range(pairs):
+                row = int(r.integers(len(items)))
+                y, bound = items[row].tolist(), int(self.bound[row])
+                middle = (len(y) - bound) // 2
+                first = {"head": 0, "middle": (len(y) - bound) // 2, "tail": len(y) - bound}.get(kind)
+                for e in reversed(range(bound)):
+                    at = int(r.integers(min(kind == "later", len(y) - 1), len(y))) if first is None else first + e
+                    new, how = int(r.integers(vocabulary + 1)), r.integers(3)
+                    y[at : at + int(how != 0)] = [new] * int(how != 2)
+                own.append(items[row])
+                changed.append(np.array(y or [0], np.int32))
+                allowed.append(bound)
         family = Family(seed + 2, tries, self.steps, vocabulary)
-        (a, sa), (b, sb) = self._flat(own), self._flat(changed)
-        hits = np.zeros(pairs)
+        allowed = np.array(allowed)
+        heads = allowed * (np.repeat(KINDS, pairs) != "later")
+        a, sa, pa_ = self._heads(own, heads)
+        b, sb, pb = self._heads(changed, 2 * heads)
+        # a window counts that is a match from its start
+        lens = np.array([len(x) for x in own])
+        padded = np.full((len(own), self.most), -1, np.int32)
+        for x, y in zip(padded, own, strict=True):
+            x[: len(y)] = y
+        sound = (b[sb] > 0) & (edits(padded[pb], lens[pb], np.append(b, np.zeros(self.reach, np.int64)), sb, allowed[pb]) <= allowed[pb])
+        sb, pb = sb[sound], pb[sound]
+        hits = np.zeros(len(own))
         for k in range(tries):
             x, y = sampled(family, k, a, sa, self.base), sampled(family, k, b, sb, self.base)
-            hits += (x == y) & (x >= 0)
-        return hits / tries
+            x, y = (np.where(keys < 0, -1, keys * len(own) + of) for keys, of in ((x, pa_), (y, pb)))
+            met = np.zeros(len(own), bool)
+            met[pb[(y >= 0) & np.isin(y, x)]] = True
+            hits += met
+        return dict(zip(KINDS, (hits / tries).reshape(len(KINDS), pairs), strict=True))
 
     def candidates(self, symbols: np.ndarray, outside: np.ndarray, ends: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts and rows of items that agree in some repetition. ``outside``: running count of words in no item."""
@@ -190,7 +228,7 @@ class SizeClass:
 class Index:
     """The items of one block, by size class."""
 
-    def __init__(self, items: list[tuple[int, str]], edit_share: float, recall: float, min_words: int):
+    def __init__(self, items: list[tuple[int, str]], edit_share: float, recall: float, min_words: int, repetitions: list[int] | None = None):
         split = [(i, words(t)) for i, t in items]
         split = sorted(((i, w) for i, w in split if len(w) >= min_words), key=lambda x: (len(x[1]), x[0]))
         names = sorted({x for _, w in split for x in w})
@@ -200,11 +238,12 @@ class Index:
         for i, w in [*split, (None, None)]:
             if group and (w is None or len(w) > max(low * 1.3, low + 1)):
                 coded = [np.array([self.symbol[x] for x in g], np.int32) for _, g in group]
-                self.classes.append(SizeClass(coded, [g[0] for g in group], edit_share, recall, len(names), len(self.classes) * 10 + 7))
+                self.classes.append(SizeClass(coded, [g[0] for g in group], edit_share, recall, len(names), len(self.classes) * 10 + 7, repetitions and repetitions[len(self.classes)]))
                 group = []
             if w is not None:
                 low = low if group else len(w)
                 group.append((i, w))
+        self.repetitions = [c.repetitions for c in self.classes]
         self.gap = max((max(c.reach, c.steps) + 2 for c in self.classes), default=1)
 
     def search(self, texts: list[str | None]):
@@ -228,8 +267,8 @@ class Index:
 
 
 @functools.lru_cache(maxsize=4)
-def _index(items: tuple, edit_share: float, recall: float, min_words: int) -> Index:
-    return Index(list(items), edit_share, recall, min_words)
+def _index(items: tuple, edit_share: float, recall: float, min_words: int, repetitions: tuple) -> Index:
+    return Index(list(items), edit_share, recall, min_words, list(repetitions))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, recall: float = 0.95, min_words: int = 5, block_items: int = 2000) -> DataFrame:
@@ -239,10 +278,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, recall
     for block in range(n_blocks):
         lot = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block
         items = tuple((r["item_id"], r["text"] or "") for r in benchmark.select("item_id", "text").where("item_id is not null").where(lot).distinct().orderBy("item_id", "text").collect())
-        shared = docs.sparkSession.sparkContext.broadcast(items)  # about block_items texts
+        fitted = tuple(Index(list(items), edit_share, recall, min_words).repetitions)
+        shared = docs.sparkSession.sparkContext.broadcast((items, fitted))  # about block_items texts
 
         def run(batches, shared=shared):
-            index = _index(shared.value, edit_share, recall, min_words)
+            items, fitted = shared.value
+            index = _index(items, edit_share, recall, min_words, fitted)
             for batch in blocks(batches, 200):
                 ids = batch.column(0).to_pylist()
                 found = index.search(batch.column(1).to_pylist())
