@@ -6,11 +6,12 @@ lengths add up to positions in code points. A pattern that a cheap look shows to
 Models: the text's unbroken runs of at least ``min_chars`` characters of ``[A-Za-z0-9+/_=-]`` are candidates. Two
 first-order Markov chains over the 67 characters, one of random strings and one of ordinary identifiers, are
 trained from labelled samples by counting character pairs with one added to each; a candidate is a secret if the
-log-likelihood ratio per character is above ``threshold``. The table of 67 x 67 ratios is a literal of the plan, so
+log-likelihood ratio per character is above ``threshold``, whatever its characters. The table of 67 x 67 ratios is a literal of the plan, so
 scoring is one fold over a candidate's characters. Candidates inside a pattern's span aren't given twice.
 
-Labelled samples: random strings are digests of a counter in three alphabets; identifiers are made from the words
-of a bounded sample of documents (``sample_docs``, chosen by hash of doc_id), joined as programs join them.
+Labelled samples: random strings are digests of a counter in ten alphabets; ordinary ones are identifiers made from
+the words of a bounded sample of documents (``sample_docs``, chosen by hash of doc_id), joined as programs join them,
+and rules of one character. ``fit_threshold`` sets the threshold on samples held out of training.
 
 Only DataFrame functions; a map without a shuffle but for training. Defined results: a null or empty text has no
 spans; equal rows give equal rows; text without candidates costs the three looks only; an empty table gives no
@@ -71,10 +72,31 @@ def _pair_counts(samples: DataFrame) -> DataFrame:
     return s.groupBy("pair").count()
 
 
-def random_strings(spark: SparkSession, n: int = 3000) -> DataFrame:
+def random_strings(spark: SparkSession, n: int = 3000, start: int = 0) -> DataFrame:
+    """alphabet and s: digests of a counter from ``start`` on, in ten alphabets."""
     digest = F.sha2(F.col("id").cast("string"), 256)
-    plain = F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", "")
-    return spark.range(n).select(F.explode(F.array(digest, F.base64(F.unhex(digest)), plain, F.upper(plain))).alias("s"))
+    base = F.base64(F.unhex(digest))
+    plain = F.regexp_replace(base, "[+/=]", "")
+    letters = F.regexp_replace(plain, "[0-9]", "")
+    kinds = {
+        "hex": digest,
+        "base64": base,
+        "base64url": F.translate(base, "+/", "-_"),
+        "base62": plain,
+        "upper and digits": F.upper(plain),
+        "letters": letters,
+        "lower": F.lower(letters),
+        "upper": F.upper(letters),
+        "upper hex": F.upper(digest),
+        "digits": F.regexp_replace(digest, "[a-f]", ""),
+    }
+    each = F.array(*(F.struct(F.lit(k).alias("alphabet"), v.alias("s")) for k, v in kinds.items()))
+    return spark.range(start, start + n).select(F.explode(each).alias("x")).select("x.alphabet", "x.s")
+
+
+def rules(spark: SparkSession, n: int = 1000) -> DataFrame:
+    """Runs of one character, as separators and fillers have them."""
+    return spark.range(n).select(F.explode(F.transform(F.split(F.lit(ALPHABET), ""), lambda c: F.repeat(c, F.lit(40)))).alias("s"))
 
 
 def identifiers(docs: DataFrame, sample_docs: int = 500) -> DataFrame:
@@ -103,25 +125,51 @@ def train(random: DataFrame, ordinary: DataFrame) -> list[float]:
     return [round(a - b, 6) for a, b in zip(*tables, strict=True)]
 
 
+def held_for_threshold() -> Column:
+    """Which documents the identifiers of the threshold are from; the model's are from the others."""
+    return F.pmod(F.xxhash64(F.lit("threshold"), "doc_id"), F.lit(4)) == 0
+
+
+def fit_threshold(model: list[float], random: DataFrame, ordinary: DataFrame, min_chars: int = 20) -> float:
+    """Halfway between what 99.9 % of ordinary samples stay below and what 95 % of each alphabet's random ones exceed.
+
+    Random samples (alphabet, s) are cut to the shortest candidate, which is the hardest.
+    """
+    enough = F.length("s") >= min_chars
+    ratios = F.array(*map(F.lit, model))
+    scored = lambda df, *names: df.where(enough).withColumn("_ratios", ratios).select(*names, score(F.col("s")).alias("x"))
+    low = scored(ordinary).agg(F.expr("percentile(x, 0.999)")).first()[0]
+    cut = random.withColumn("s", F.when(enough, F.substring("s", 1, min_chars)).otherwise(F.col("s")))
+    high = scored(cut, "alphabet").groupBy("alphabet").agg(F.expr("percentile(x, 0.05)").alias("x")).agg(F.min("x")).first()[0]
+    return round((low + high) / 2, 6)
+
+
+def score(m: Column) -> Column:
+    """The log-likelihood ratio per character of ``m``; the model is in column _ratios."""
+    size = len(ALPHABET)
+    at = F.transform(F.split(m, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c))
+    cell = F.zip_with(F.slice(at, F.lit(1), F.size(at) - 1), F.slice(at, F.lit(2), F.size(at) - 1), lambda a, b: F.get("_ratios", (a - 1) * size + b - 1))
+    return F.aggregate(cell, F.lit(0.0), lambda acc, x: acc + x) / (F.length(m) - 1)
+
+
 def scan(docs: DataFrame, model: list[float], threshold: float = 2.0, min_chars: int = 20, text: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (begin, kind, end, match), spans with those of the models."""
     body = F.coalesce(F.col(text), F.lit(""))
-    size = len(ALPHABET)
     ratios = F.array(*map(F.lit, model))
-
-    def random_looking(m: Column) -> Column:
-        at = F.transform(F.split(m, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c))
-        cell = F.zip_with(F.slice(at, F.lit(1), F.size(at) - 1), F.slice(at, F.lit(2), F.size(at) - 1), lambda a, b: F.get("_ratios", (a - 1) * size + b - 1))
-        mean = F.aggregate(cell, F.lit(0.0), lambda acc, x: acc + x) / (F.length(m) - 1)
-        return m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (mean > threshold)
-
     pattern = CANDIDATE % min_chars
     df = docs.withColumn("base", base_spans(body)).withColumn("_ratios", ratios)
-    more = _spans(body, "markov", pattern, body.rlike(pattern), random_looking)
+    more = _spans(body, "markov", pattern, body.rlike(pattern), lambda m: score(m) > threshold)
     new = F.filter(more, lambda m: ~F.exists("base", lambda b: (b["begin"] < m["end"]) & (m["begin"] < b["end"])))
     return df.withColumn("spans", F.array_sort(F.concat("base", new))).drop("_ratios")
 
 
+def fit(docs: DataFrame) -> tuple[list[float], float]:
+    """Model and threshold, from documents (doc_id, text) that share none."""
+    spark, held = docs.sparkSession, F.coalesce(held_for_threshold(), F.lit(False))
+    model = train(random_strings(spark), identifiers(docs.where(~held)).union(rules(spark)))
+    return model, fit_threshold(model, random_strings(spark, 600, 3000), identifiers(docs.where(held)).union(rules(spark, 1)))
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["begin"].cast("string"), s["end"].cast("string"))), ",")
@@ -129,7 +177,7 @@ def joined(spans: Column) -> Column:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(random_strings(spark), identifiers(docs))
-    found = scan(docs.select("doc_id", text_or_empty().alias("text")), model)
+    model, threshold = fit(docs)
+    found = scan(docs.select("doc_id", text_or_empty().alias("text")), model, threshold)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(k))).cast("bigint").alias(f"n_{k}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from specula.llm import decontamination
+from pyspark.sql import functions as F
+
+from specula.llm import decontamination, secrets
 
 
 @pytest.mark.parametrize("kind", ["head", "middle", "tail", "anywhere"])
@@ -36,3 +38,15 @@ def test_decontamination_says_if_recall_is_out_of_reach():
     coded = [decontamination.np.array([code[x] for x in w]) for w in words]
     with pytest.raises(ValueError, match="recall"):
         decontamination.SizeClass(coded, list(range(30)), 0.2, 0.95, len(code), 7, most_repetitions=1)
+
+
+def test_secrets_of_each_alphabet(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model, threshold = secrets.fit(docs)
+    new = secrets.random_strings(spark, 300, 50_000).where("length(s) >= 20").select("alphabet", F.substring("s", 1, 20).alias("text"))
+    hits = secrets.scan(new, model, threshold).groupBy("alphabet").agg(F.avg((F.size("spans") > 0).cast("int")).alias("recall"))
+    recall = {r["alphabet"]: r["recall"] for r in hits.collect()}
+    assert len(recall) == 10 and min(recall.values()) >= 0.93, recall
+    ordinary = secrets.identifiers(docs.where(secrets.held_for_threshold())).union(secrets.rules(spark, 1)).where("length(s) >= 20").select(F.col("s").alias("text"))
+    wrong = secrets.scan(ordinary, model, threshold).agg(F.avg((F.size("spans") > 0).cast("int"))).first()[0]
+    assert wrong <= 0.002
