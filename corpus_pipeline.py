@@ -12,9 +12,9 @@ from specula.sources.package import ship
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go."""
+    """Documents without a language (no text, or no letter in it) go, whatever languages could be learned."""
     model = language_id.fit(docs.where(~F.coalesce(language_id.held_out(), F.lit(False))))
-    return language_id.predict(docs, model).where("lang_pred <> 'und'").select(docs.columns)
+    return language_id.predict(docs, model, letters="_letters").where("_letters").select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Language identification by hierarchical discrimination.
 
 A linear support vector machine for each language family, one against the rest, picks the family; inside it
-one-versus-one machines, one for each pair of its languages, vote. Features are letter 1- to 3-grams of words with
+one-versus-one machines, one for each pair of its languages, vote; in a family of more than ``PAIRED`` languages one
+machine for each against the rest of the family decides instead, so machines grow with languages only. Features are letter 1- to 3-grams of words with
 their edges, hashed to 4,096 places and counted over the whole text by array operations, as shares of the total.
 
-Machines are fitted on the driver from a bounded sample of labelled rows, ``per_language`` for each language (the
-documented bound), chosen by a hash of doc_id; scoring is a map without a shuffle. Texts of any length count in
-full in both. Languages with fewer than ``least`` labelled rows, and all beyond the 64 most frequent, aren't learned.
+Machines are fitted on the driver from a bounded sample of labelled rows, about ``per_language`` for each language or,
+where languages are many, an equal share of ``in_all`` (the documented bound), one at least; chosen by a hash of doc_id
+and text, equal ones once. Scoring is a map without a shuffle. Texts of any length count in full in both. Every
+language of a labelled row with a text is learned.
 
 Defined results: a null text or one without a letter gives ``und`` and score 0; without labelled rows every text
 gives ``und``; one learned language is given to every text with a letter; equal texts give equal results;
@@ -28,6 +30,7 @@ from specula.llm.bpe_codec import blocks, schema_with, with_columns
 from specula.llm.common import table
 
 PLACES = 4096
+PAIRED = 20
 #: Families of languages by ISO 639-1 code. A language not listed is a family by itself.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -83,9 +86,10 @@ class Model:
         self.machines: list[tuple] = []
         columns = []
         tasks = [("family", f) for f in self.families] if len(self.families) > 1 else []
-        tasks += [("pair", a, b) for codes in self.families.values() for a, b in combinations(codes, 2)]
+        tasks += [("pair", a, b) for codes in self.families.values() if len(codes) <= PAIRED for a, b in combinations(codes, 2)]
+        tasks += [("one", a) for codes in self.families.values() if len(codes) > PAIRED for a in codes]
         for task in tasks:
-            use = np.ones(len(x), bool) if task[0] == "family" else np.isin(labels_, task[1:])
+            use = np.isin(labels_, task[1:]) if task[0] == "pair" else np.ones(len(x), bool) if task[0] == "family" else family == FAMILY_OF.get(task[1].lower()[:2], task[1])
             y = np.where(family == task[1], 1.0, -1.0) if task[0] == "family" else np.where(labels_ == task[1], 1.0, -1.0)
             w = fit_svm(share[use], y[use])
             steep = 3 / max(1e-9, np.median(np.abs(share[use] @ w[:-1] + w[-1])))
@@ -107,6 +111,11 @@ class Model:
             family = max(self.families, key=lambda f: (sure[("family", f)][row] if len(self.families) > 1 else 1.0, f))
             score = float(sure[("family", family)][row]) if len(self.families) > 1 else 1.0
             codes = self.families[family]
+            if len(codes) > PAIRED:
+                best = max(codes, key=lambda c: (sure[("one", c)][row], c))
+                out.append(best)
+                scores.append(score * float(sure[("one", best)][row]))
+                continue
             votes = {c: [0, 0.0] for c in codes}
             for a, b in combinations(codes, 2):
                 p = float(sure[("pair", a, b)][row])
@@ -119,30 +128,30 @@ class Model:
         return out, scores
 
 
-def fit(labelled: DataFrame, per_language: int = 400, least: int = 5) -> Model:
-    """A model from rows (doc_id, text, lang); at most ``per_language`` rows of each language are used."""
-    rows = labelled.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "lang").limit(64).collect()}
-    if not counts:
+def fit(labelled: DataFrame, per_language: int = 400, in_all: int = 12_800) -> Model:
+    """A model of every language of rows (doc_id, text, lang) from a bounded sample of them."""
+    rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64(F.lit("sample"), "doc_id", "text").alias("lot"))
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("lot").alias("n"), F.min("lot").alias("least")).collect()  # a row a language
+    if not found:
         return Model([], np.zeros((0, PLACES)), [])
-    lot = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    rate = None
-    for code, n in counts.items():
-        share = F.lit(min(1.0, per_language / n))
-        rate = F.when(F.col("lang") == code, share) if rate is None else rate.when(F.col("lang") == code, share)
+    each = max(1, min(per_language, in_all // len(found)))
+    edges = [(r["lang"], r["least"], min(1.0, each / r["n"])) for r in found]
+    drawn = labelled.sparkSession.createDataFrame(edges, "lang string, least bigint, rate double")
+    lot = F.pmod(F.xxhash64("lot"), F.lit(1 << 40)) / float(1 << 40)
 
     def run(batches):
         for batch in blocks(batches, 100):
             x = [features(t).astype("<u4") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.astype("<f4").tobytes() for v in x], pa.binary())], names=["lang", "x"])
 
-    got = rows.where(lot < rate).select("lang", "text").mapInArrow(run, "lang string, x binary").collect()
+    some = rows.join(drawn, "lang").where((lot < F.col("rate")) | (F.col("lot") == F.col("least"))).select("lang", "text").distinct()
+    got = some.orderBy("lang", F.xxhash64("text"), "text").mapInArrow(run, "lang string, x binary").collect()
     labels = [r["lang"] for r in got]
     return Model(sorted(set(labels)), np.array([np.frombuffer(r["x"], "<f4") for r in got]).reshape(-1, PLACES), labels)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score."""
+def predict(docs: DataFrame, model: Model, text: str = "text", letters: str | None = None) -> DataFrame:
+    """``docs`` with lang_pred and score, and if asked for in column ``letters`` whether the text has a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # PLACES x machines numbers, whatever the data's size
 
     def run(batches):
@@ -150,9 +159,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in blocks(batches, 200):
             counts = np.array([features(t or "") for t in batch.column(batch.schema.names.index(text)).to_pylist()])
             langs, scores = m.decide(counts @ m.weights, counts.sum(1))
-            yield with_columns(batch, {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
+            more = {letters: pa.array(counts.sum(1) > 0, pa.bool_())} if letters else {}
+            yield with_columns(batch, {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())} | more)
 
-    return docs.mapInArrow(run, schema_with(docs, {"lang_pred": T.StringType(), "score": T.DoubleType()}))
+    added = {"lang_pred": T.StringType(), "score": T.DoubleType()} | ({letters: T.BooleanType()} if letters else {})
+    return docs.mapInArrow(run, schema_with(docs, added))
 
 
 def held_out():

@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from specula.llm import decontamination, secrets
+from specula.llm import decontamination, language_id, secrets
 
 
 @pytest.mark.parametrize("kind", ["head", "middle", "tail", "anywhere"])
@@ -50,3 +50,23 @@ def test_secrets_of_each_alphabet(spark, sf):
     ordinary = secrets.identifiers(docs.where(secrets.held_for_threshold())).union(secrets.rules(spark, 1)).where("length(s) >= 20").select(F.col("s").alias("text"))
     wrong = secrets.scan(ordinary, model, threshold).agg(F.avg((F.size("spans") > 0).cast("int"))).first()[0]
     assert wrong <= 0.002
+
+
+def test_every_language_is_learned(spark):
+    r = random.Random(12)
+    codes = ["en", "de", *(f"x{k}" for k in range(70)), *(f"ru-{k}" for k in range(30))]
+    words = {c: ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(6)] for c in codes}
+    rows = [(None, " ".join(r.choices(words[c], k=12)), c) for c in codes for _ in range(1 if c == "x3" else 5)]
+    df = spark.createDataFrame([*rows, *[rows[0]] * 900, (1, "no label", None)], "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert model.languages == sorted(codes) and len(model.machines) < 200
+    got = language_id.predict(df.where("lang is not null").distinct(), model).collect()
+    assert sum(x["lang"] == x["lang_pred"] for x in got) >= 0.97 * len(got)
+    assert next(x for x in got if x["lang"] == "x3")["lang_pred"] == "x3"
+
+
+def test_language_stage_keeps_what_has_letters(spark, sf):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "a text", None), (None, "another", None), (2, "12 + 4", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert {x["text"] for x in corpus_pipeline.identify_language(spark, df, sf).collect()} == {"a text", "another"}
