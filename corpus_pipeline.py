@@ -18,21 +18,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; so do documents of which no line is left. ``n_chars`` follows the text."""
-    found = line_dedup.line_dedup(docs).where("n_lines = 0 or n_exact + n_near < n_lines")
+    """Repeated lines go; so do documents of which no line is left. ``n_chars`` follows the text.
+
+    Documents without a doc_id come after all others, in the order of their texts' hashes.
+    """
+    last = docs.withColumn("_none", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
+    found = line_dedup.line_dedup(last).where("n_lines = 0 or n_exact + n_near < n_lines")
+    found = found.withColumn("doc_id", F.when(~F.col("_none"), F.col("doc_id")))
     return found.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays; without a doc_id a document stays as it is."""
-    gone = simhash.near_duplicates(docs.where("doc_id is not null")).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near copies one row stays: of the smallest doc_id, or without one if none of the group has any."""
+    return simhash.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    leaked = decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

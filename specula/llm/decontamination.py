@@ -271,9 +271,8 @@ def _index(items: tuple, edit_share: float, recall: float, min_words: int, repet
     return Index(list(items), edit_share, recall, min_words, list(repetitions))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, recall: float = 0.95, min_words: int = 5, block_items: int = 2000) -> DataFrame:
-    """doc_id, item_id, n_edits, item_words and first_word (of the window) of each document and item that it leaks."""
-    out = None
+def _blocks(docs: DataFrame, benchmark: DataFrame, edit_share: float, recall: float, min_words: int, block_items: int):
+    """For each block of items a function that gives the index of it, on driver or executor."""
     n_blocks = max(1, -(-benchmark.count() // block_items))
     for block in range(n_blocks):
         lot = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block
@@ -281,12 +280,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, recall
         fitted = tuple(Index(list(items), edit_share, recall, min_words).repetitions)
         shared = docs.sparkSession.sparkContext.broadcast((items, fitted))  # about block_items texts
 
-        def run(batches, shared=shared):
+        def index(shared=shared):
             items, fitted = shared.value
-            index = _index(items, edit_share, recall, min_words, fitted)
+            return _index(items, edit_share, recall, min_words, fitted)
+
+        yield index
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, recall: float = 0.95, min_words: int = 5, block_items: int = 2000) -> DataFrame:
+    """doc_id, item_id, n_edits, item_words and first_word (of the window) of each document and item that it leaks."""
+    out = None
+    for index in _blocks(docs, benchmark, edit_share, recall, min_words, block_items):
+
+        def run(batches, index=index):
             for batch in blocks(batches, 200):
                 ids = batch.column(0).to_pylist()
-                found = index.search(batch.column(1).to_pylist())
+                found = index().search(batch.column(1).to_pylist())
                 cols = list(zip(*found, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in cols[0]], pa.int64()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["doc_id", "item_id", "n_edits", "item_words", "first_word"])
 
@@ -295,5 +304,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, recall
     return out
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, recall: float = 0.95, min_words: int = 5, block_items: int = 2000) -> DataFrame:
+    """The rows of ``docs`` whose text leaks no item, each judged by itself whatever its doc_id; a map."""
+    for index in _blocks(docs, benchmark, edit_share, recall, min_words, block_items):
+
+        def run(batches, index=index):
+            for batch in blocks(batches, 200):
+                leaked = {k for k, *_ in index().search(batch.column(batch.schema.names.index("text")).to_pylist())}
+                yield batch.filter(pa.array([k not in leaked for k in range(batch.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

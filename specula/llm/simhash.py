@@ -49,14 +49,14 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, h (hash of the text) and fp, the fingerprint as a signed long."""
 
     def run(batches):
         for batch in blocks(batches):
             fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], names=["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id bigint, h bigint, fp bigint")
 
 
 def _children(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
@@ -188,17 +188,35 @@ def _whole_keys(batches, most: int = 100_000):
         yield pa.concat_tables(held)
 
 
+def _members(fps: DataFrame, first, bits: int) -> DataFrame:
+    """fp, first (an aggregate over its rows) and component of each distinct fingerprint."""
+    nodes = written(fps.groupBy("fp").agg(first.alias("first")), "distinct-fingerprints")
+    found = components(links(nodes.select("fp"), bits), "a", "b")
+    return nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, bits: int = 2, shingle: int = 3) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row of ``docs``."""
-    fps = written(fingerprints(docs, shingle), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    found = components(links(nodes.select("fp"), bits), "a", "b")
-    member = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    fps = written(fingerprints(docs, shingle).drop("h"), "fingerprints")
+    member = _members(fps, F.min("doc_id"), bits)
     least = member.groupBy("component").agg(F.min("first").alias("component_id"))
     of_fp = written(member.join(least, "component").select("fp", "component_id"), "components")
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, bits: int = 2, shingle: int = 3) -> DataFrame:
+    """Of each group of near copies one row of ``docs``: of the smallest doc_id, null last, then the smallest hash of the text.
+
+    A row is known by doc_id, null or not, and text; of rows that repeat both one stays, put together before the shuffle.
+    """
+    fps = written(fingerprints(docs, shingle), "fingerprints")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    least = _members(fps, F.min(key), bits).groupBy("component").agg(F.min("first").alias("x"))
+    stays = written(least.select(F.col("x.doc_id").alias("_doc_id"), F.col("x.h").alias("_h")), "first-copies")
+    rows = docs.withColumn("_h_of", F.xxhash64("text")).dropDuplicates(["doc_id", "_h_of"])
+    return rows.join(stays, rows["doc_id"].eqNullSafe(stays["_doc_id"]) & (rows["_h_of"] == stays["_h"]), "left_semi").select(docs.columns)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

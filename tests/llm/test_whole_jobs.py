@@ -70,3 +70,23 @@ def test_language_stage_keeps_what_has_letters(spark, sf):
 
     df = spark.createDataFrame([(1, "a text", None), (None, "another", None), (2, "12 + 4", None), (3, None, None)], "doc_id long, text string, lang string")
     assert {x["text"] for x in corpus_pipeline.identify_language(spark, df, sf).collect()} == {"a text", "another"}
+
+
+def test_stages_with_null_and_repeated_ids(spark, sf):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 60").first()["text"]
+    clean = [" ".join(random.Random(k).choices(["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"], k=30)) for k in range(4)]
+    run = lambda stage, rows: sorted(((x["doc_id"], x["text"]) for x in stage(spark, spark.createDataFrame([(i, t, "en") for i, t in rows], schema), sf).collect()), key=str)
+    want = lambda *rows: sorted(rows, key=str)
+    got = run(corpus_pipeline.identify_language, [(None, clean[0]), (1, clean[1]), (1, "123")])
+    assert got == want((None, clean[0]), (1, clean[1]))
+    leaked = f"{clean[2]} {item} {clean[3]}"
+    assert run(corpus_pipeline.drop_leaks, [(None, leaked), (1, leaked), (1, clean[0]), (None, clean[1])]) == want((1, clean[0]), (None, clean[1]))
+    rows = [(None, clean[0]), (None, clean[0]), (1, clean[0]), (1, clean[1]), (2, clean[2]), (2, clean[2]), (None, clean[3]), (None, clean[3])]
+    assert run(corpus_pipeline.keep_one_of_near_copies, rows) == want((1, clean[0]), (1, clean[1]), (2, clean[2]), (None, clean[3]))
+    rows = [(None, f"{clean[0]}\n{clean[1]}"), (5, clean[0]), (5, clean[2]), (None, clean[2])]
+    docs = spark.createDataFrame([(i, t, "en", 1) for i, t in rows], schema + ", n_chars long")
+    got = sorted(((x["doc_id"], x["text"]) for x in corpus_pipeline.drop_repeated_lines(spark, docs, sf).collect()), key=str)
+    assert got == want((None, clean[1]), (5, clean[0]), (5, clean[2]))
