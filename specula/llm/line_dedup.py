@@ -1,8 +1,9 @@
 """Line dedup over a corpus: of lines that are equal or one word apart, the earliest stays.
 
 A line is compared in lower case, with runs of blanks as one space; blank lines are left alone. It goes if an
-earlier one (by doc_id, then place) equals it, or is within one word edit of it (a word put in, taken out or
-changed) where both have ``min_words`` words or more: with five words one edit still leaves a similarity of 0.8.
+earlier one (by doc_id, then place) equals it, or is one word edit away (a word put in, taken out or changed) with a
+similarity of 0.8 or more, 1 - edits / words of the shorter line. Both lines have five words or more then; this is
+one rule for lines of all lengths, of which ``min_words`` is the other form.
 
 Exact copies come first: one row a distinct line, with its earliest place. Near copies are found among distinct
 lines by a deletion-neighbourhood join: each line is put out as the hash of itself and of itself without each of
@@ -11,68 +12,89 @@ another's variant lacks one word. So what a line needs is the earliest line of e
 that Spark combines before the shuffle; no pairs are made however many lines share a variant. The edit distance to
 the earliest partner is then verified on the words. Variants are only made for lines that share their first or
 their last half with another distinct line, as two lines one edit apart must: that keeps the neighbourhoods small.
+A variant's hash is the exclusive or of its words' hashes with their places, so that all variants of a line follow
+from one running fold over its words.
 
-Only DataFrame functions. Lines are normalized and hashed once, into a table of keys; texts are shuffled twice, to
-fetch the lines that need variants and to take lines out. Keys are two XXH64 with different seeds, 128 bits.
+Only DataFrame functions. Lines are normalized and hashed once, into a table of keys. Before a join a sieve of fixed
+size (``specula.llm.common.sieve``) lets through the rows whose key can be among the wanted ones, so that texts of
+lines without a near copy and of documents that lose no line aren't shuffled; joins decide. Where wanted keys are
+more than the sieve tells apart, it lets all rows through and the joins get them all. Keys are two XXH64 with
+different seeds, 128 bits.
 
 Defined results: a null text stays null with no lines; an empty one stays empty; lines equal inside one document
 count too; rows that repeat a doc_id and its text share their fate, those of another text are documents of their own,
 in the order of a hash; one without a doc_id takes no part and passes unchanged; an empty table gives no rows; further
-columns pass through.
+columns pass through, those named n_lines, n_exact or n_near are replaced.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specula.llm.common import drop_written, table, written
+from specula.llm.common import drop_written, may_be_in, sieve, table, with_running, written
 
 BLANKS = "\t\r\x0b\x0c"
 
 
-def normal(line: Column) -> Column:
-    flat = F.trim(F.translate(F.lower(line), BLANKS, " " * len(BLANKS)))
-    return F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " +", " ")).otherwise(flat)
+def with_normal(df: DataFrame) -> DataFrame:
+    """``df`` with ``_normal``: the text with each line in the form in which it is compared. Most texts need lower case only.
+
+    A column a step, as Spark then works each out once.
+    """
+    has = lambda c, *parts: functools.reduce(lambda x, y: x | y, (F.contains(c, F.lit(p)) for p in parts))
+    out = df.withColumn("_low", F.lower("text"))
+    out = out.withColumn("_flat", F.when(has("_low", *BLANKS), F.translate("_low", BLANKS, " " * len(BLANKS))).otherwise(F.col("_low")))
+    out = out.withColumn("_single", F.when(has("_flat", "  "), F.regexp_replace("_flat", " +", " ")).otherwise(F.col("_flat")))
+    out = out.withColumn("_normal", F.trim(F.when(has("_single", " \n", "\n "), F.regexp_replace("_single", " ?\n ?", "\n")).otherwise(F.col("_single"))))
+    return out.drop("_low", "_flat", "_single")
 
 
 def _key(*parts) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *parts).alias(f"k{seed}") for seed in (1, 2)]
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """Lines that aren't blank: doc_id, h (of the text), line_no, the two hashes of the line, and its halves if long enough."""
-    df = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    df = df.select("doc_id", "h", "line_no", normal(F.col("line")).alias("norm")).where("norm <> ''").withColumn("n", _n_words())
-    return df.select("doc_id", "h", "line_no", *_key("norm"), F.when(F.col("n") >= min_words, _halves()).alias("halves"))
+def _exploded(docs: DataFrame) -> DataFrame:
+    """Lines that aren't blank: doc_id, h (of the text), line_no, norm."""
+    df = with_normal(docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), "text"))
+    return df.select("doc_id", "h", F.posexplode(F.split("_normal", "\n")).alias("line_no", "norm")).where("norm <> ''")
 
 
-def _n_words(norm: str = "norm") -> Column:
-    return F.length(norm) - F.length(F.replace(F.col(norm), F.lit(" "))) + 1
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, h, line_no, the two hashes of the line, and its halves if long enough."""
+    n = (F.octet_length("norm") - F.octet_length(F.replace(F.col("norm"), F.lit(" "))) + 1).alias("n")
+    df = _exploded(docs).select("doc_id", "h", "line_no", "norm", n)
+    return df.select("doc_id", "h", "line_no", *_key("norm"), F.when(F.col("n") >= min_words, _halves()).alias("halves"))
 
 
 def _halves() -> Column:
-    """Keys of the halves that a line one edit apart shares: (first or last, words, content)."""
-    n = F.col("n")
-    keys = []
-    for name, lengths in (("first", (F.floor(n / 2), F.floor((n + 1) / 2))), ("last", (F.ceil(n / 2), F.ceil((n + 1) / 2)))):
-        for k in lengths:
-            part = F.call_function("substring_index", F.col("norm"), F.lit(" "), (k if name == "first" else -k).cast("int"))
-            keys.append(F.xxhash64(F.lit(name), k, part))
-    return F.array_distinct(F.array(*keys))
-
-
-def _variants() -> Column:
-    """The line itself (place 0) and without each word: place and two hashes."""
-    n = F.col("n")
-    whole = F.array(F.struct(F.lit(0).alias("place"), *_key("norm")))
-
-    def without(k):
-        before, after = (F.call_function("substring_index", F.col("norm"), F.lit(" "), c) for c in (k - 1, k - n))
-        rest = F.concat(before, F.when((k > 1) & (k < n), F.lit(" ")).otherwise(F.lit("")), after)
-        return F.struct(k.alias("place"), *_key(rest))
-
-    return F.concat(whole, F.transform(F.sequence(F.lit(1), n), without))
+    """Hashes of what a line one edit apart shares: the first or last half of the words of the shorter of both.
+
+    A line of n words stands for itself among lines as long or longer, and for n - 1 words among shorter ones.
+    """
+    n, keys = F.col("n"), []
+    for length in (n, n - 1):
+        cut = F.floor(length / 2).cast("int")
+        for name, k in (("first", cut), ("last", cut - length)):
+            keys.append(F.xxhash64(F.lit(name), length, F.call_function("substring_index", F.col("norm"), F.lit(" "), k)))
+    return F.array(*keys)
+
+
+def with_variants(lines: DataFrame) -> DataFrame:
+    """``lines`` with v1 and v2: hashes of ``norm`` as a whole (place 0) and without each of its words (places 1 to n)."""
+    xor = lambda a, b: a.bitwiseXOR(b)
+    zero = F.lit(0).cast("bigint")
+    out = lines.withColumn("_words", F.split("norm", " "))
+    for seed in (1, 2):
+        out = out.withColumn("_own", F.transform("_words", lambda w, k: F.xxhash64(F.lit(seed), w, k)))
+        out = out.withColumn("_moved", F.transform(F.slice("_words", F.lit(2), F.size("_words")), lambda w, k: F.xxhash64(F.lit(seed), w, k)))
+        # without its first word; then word after word back in and the next one out
+        steps = F.concat(F.array(F.aggregate("_moved", zero, xor)), F.zip_with(F.slice("_own", F.lit(1), F.size("_moved")), "_moved", xor))
+        out = with_running(out.withColumn("_steps", steps), "_steps", "_without", zero, xor)
+        out = out.withColumn(f"v{seed}", F.concat(F.array(F.aggregate("_own", zero, xor)), "_without"))
+    return out.drop("_words", "_own", "_moved", "_steps", "_without")
 
 
 def _within_one_edit(a: Column, b: Column) -> Column:
@@ -93,48 +115,64 @@ def repeated_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     firsts = lines.select("k1", "k2", F.struct(place.alias("at"), "halves").alias("f")).groupBy("k1", "k2").agg(F.min("f").alias("f"), F.count(F.lit(1)).alias("copies"))
     firsts = written(firsts.select("k1", "k2", F.col("f.at").alias("at"), F.col("f.halves").alias("halves"), "copies"), "first-lines")
     copies = firsts.where("copies > 1").select("k1", "k2", "at")
-    exact = written(lines.join(copies, ["k1", "k2"]).where(place != F.col("at")).select("doc_id", "h", "line_no", F.lit(False).alias("near")), "equal-lines")
+    of_copies = sieve(copies, "k1")
+    exact = lines.where(may_be_in(of_copies, "k1")).select("doc_id", "h", "line_no", "k1", "k2").join(copies, ["k1", "k2"])
+    exact = written(exact.where(place != F.col("at")).select("doc_id", "h", "line_no", F.lit(False).alias("near")), "equal-lines")
     drop_written(lines)
 
     half = firsts.where("halves is not null").select(F.explode("halves").alias("half"), "k1", "at.doc_id", "at.h", "at.line_no")
-    shared = half.groupBy("half").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("half")
-    wanted = written(half.join(shared, "half").select("doc_id", "h", "line_no").distinct(), "wanted-lines")
+    shared = written(half.groupBy("half").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("half"), "shared-halves")
+    wanted = half.where(may_be_in(sieve(shared, "half"), "half")).join(shared, "half")
+    wanted = written(wanted.select("doc_id", "h", "line_no").distinct(), "wanted-lines")
     drop_written(firsts)
-    of_doc = wanted.groupBy("doc_id", "h").agg(F.collect_list("line_no").alias("wanted"))  # no more than the document's lines
-    some = docs.withColumn("h", F.xxhash64("text")).join(of_doc, ["doc_id", "h"]).select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "line"), "wanted")
-    some = some.where(F.array_contains("wanted", F.col("line_no"))).select(place.alias("at"), normal(F.col("line")).alias("norm"))
-    some = written(some.distinct().select("at", "norm", _n_words().alias("n")), "near-lines")
-
-    variants = some.select("at", F.explode(_variants()).alias("v")).select("at", "v.place", F.col("v.k1").alias("v1"), F.col("v.k2").alias("v2"))
+    drop_written(shared)
+    some = _exploded(docs).where(may_be_in(sieve(wanted, "doc_id", "h", "line_no"), "doc_id", "h", "line_no")).join(wanted, ["doc_id", "h", "line_no"])
+    some = written(with_variants(some.select(place.alias("at"), "norm").distinct()), "near-lines")
+    drop_written(wanted)
+
+    # variants that two lines have; then the rows of these only
+    own = F.xxhash64("at.doc_id", "at.h", "at.line_no").alias("own")
+    twice = some.select(own, F.explode("v1").alias("v1")).groupBy("v1").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("v1")
+    twice = written(twice, "shared-variants")
+    each = some.select("at", F.posexplode(F.arrays_zip("v1", "v2")).alias("place", "v")).select("at", "place", "v.v1", "v.v2")
+    variants = written(each.where(may_be_in(sieve(twice, "v1"), "v1")).join(twice, "v1"), "variants")
+    drop_written(twice)
     by_place = variants.groupBy("v1", "v2", "place").agg(F.min("at").alias("first"))
     # of one variant: the earliest line without the word at a place, the earliest without any word, the whole line
     by_key = by_place.groupBy("v1", "v2").agg(
         F.min(F.when(F.col("place") > 0, F.col("first"))).alias("any_first"),
         F.min(F.when(F.col("place") == 0, F.col("first"))).alias("whole"),
-        F.max("first").alias("last"),
     )
-    by_key = by_key.where("last > least(coalesce(any_first, whole), coalesce(whole, any_first))").drop("last")
-    same_place = by_place.join(by_key, ["v1", "v2"], "left").select("v1", "v2", "place", F.when(F.col("place") == 0, F.col("any_first")).otherwise(F.least("first", "whole")).alias("partner"))
+    same_place = by_place.join(by_key, ["v1", "v2"]).select("v1", "v2", "place", F.when(F.col("place") == 0, F.col("any_first")).otherwise(F.least("first", "whole")).alias("partner"))
     pairs = variants.join(same_place, ["v1", "v2", "place"]).where("partner < at").groupBy("at").agg(F.min("partner").alias("partner"))
     words = lambda c: F.split(F.col(c), " ")
     checked = pairs.join(some.select("at", "norm"), "at").join(some.select(F.col("at").alias("partner"), F.col("norm").alias("norm_b")), "partner")
     near = checked.where(_within_one_edit(words("norm"), words("norm_b"))).select("at.doc_id", "at.h", "at.line_no", F.lit(True).alias("near"))
-    return written(exact.unionByName(near), "repeated-lines")
+    out = written(exact.unionByName(near), "repeated-lines")
+    for t in (exact, some, variants):
+        drop_written(t)
+    return out
 
 
 def line_dedup(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; adds n_lines, n_exact and n_near (lines before, and gone)."""
-    gone = repeated_lines(docs.select("doc_id", "text"), min_words).groupBy(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"))
-    gone = gone.agg(F.collect_set(F.when(~F.col("near"), F.col("line_no"))).alias("exact_gone"), F.collect_set(F.when(F.col("near"), F.col("line_no"))).alias("near_gone"))
-    lines = F.split("text", "\n")
-    fate = lambda line, k: F.struct(line.alias("line"), F.when(F.array_contains("exact_gone", k), 1).when(F.array_contains("near_gone", k), 2).otherwise(0).alias("fate"))
-    out = docs.alias("d").join(gone, (F.col("d.doc_id") == F.col("_doc_id")) & (F.xxhash64("d.text") == F.col("_h")), "left")
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_exact", "n_near")]
-    filled = F.size(F.filter(lines, lambda x: F.trim(F.translate(x, BLANKS, " " * len(BLANKS))) != ""))
-    out = out.select(*(F.col(f"d.`{c}`") for c in names), "d.text", F.when(F.col("_doc_id").isNotNull(), F.transform(lines, fate)).alias("_fates"), F.when(F.col("text").isNull(), 0).otherwise(filled).cast("bigint").alias("n_lines"))
-    kept = F.array_join(F.transform(F.filter("_fates", lambda x: x["fate"] == 0), lambda x: x["line"]), "\n")
-    count = lambda of: F.coalesce(F.size(F.filter("_fates", lambda x: x["fate"] == of)), F.lit(0)).cast("bigint")
-    return out.select(*(F.col(f"`{c}`") for c in names), F.when(F.col("_fates").isNull(), F.col("text")).otherwise(kept).alias("text"), "n_lines", F.greatest(count(1), F.lit(0)).alias("n_exact"), F.greatest(count(2), F.lit(0)).alias("n_near"))
+    gone = repeated_lines(docs.select("doc_id", "text"), min_words).groupBy(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"))
+    gone = gone.agg(F.collect_list("line_no").alias("_gone"), F.count_if("near").alias("_near"))  # no more than the document's lines
+    filled = F.size(F.array_remove(F.split("_normal", "\n"), ""))
+    own = [F.col(f"`{c}`") for c in names]
+    rows = with_normal(docs.select(*own, "text", F.xxhash64("text").alias("_h")))
+    rows = rows.select(*own, "text", "_h", F.when(F.col("text").isNull(), 0).otherwise(filled).cast("bigint").alias("n_lines"))
+    may_lose = may_be_in(sieve(gone, "_doc_id", "_h"), "doc_id", "_h")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    left = F.array_join(F.transform(kept, lambda k: F.get("_lines", k)), "\n")
+    of_doc = gone.withColumnRenamed("_h", "_gone_h").hint("shuffle_hash")
+    lose = rows.where(may_lose).join(of_doc, (F.col("doc_id") == F.col("_doc_id")) & (F.col("_h") == F.col("_gone_h")), "left").withColumn("_lines", F.split("text", "\n"))
+    n_gone = F.coalesce(F.size("_gone"), F.lit(0))
+    n_near = F.coalesce("_near", F.lit(0))
+    lose = lose.select(*own, F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("text"), "n_lines", (F.greatest(n_gone, F.lit(0)) - n_near).cast("bigint").alias("n_exact"), n_near.cast("bigint").alias("n_near"))
+    none = F.lit(0).cast("bigint")
+    return rows.where(~may_lose).select(*own, "text", "n_lines", none.alias("n_exact"), none.alias("n_near")).unionByName(lose)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
