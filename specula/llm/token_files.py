@@ -9,7 +9,7 @@ Spark's will do.
 
 ``write`` needs one shuffle of the texts, by range of doc_id; ``read`` is a map over segments, to which only the
 start of each file, a sum for each file, is sent. Defined results: a null or empty text is one document with the end id alone; documents
-with one doc_id (or a null one, which come first) stand in ascending order of text; other columns aren't stored;
+with one doc_id (or a null one, which come first) stand in the order of a hash of their text; other columns aren't stored;
 an empty table gives a table of no files.
 
 Block layout, little-endian: count u32, minimum u32, width u8, exceptions u32, packed values (ceil(count * width
@@ -20,8 +20,8 @@ Segment payload: blocks u32, start of each block u32, the blocks.
 from __future__ import annotations
 
 import functools
-import json
 import os
+import string
 import struct
 
 import numpy as np
@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from specula.llm.bpe_automaton import byte_symbols
 from specula.llm.bpe_codec import blocks as small_batches
-from specula.llm.common import partitions, shared_dir, table
+from specula.llm.common import partitions, shared_dir, table, texts_of
 
 BLOCK = 4096
 SEGMENT = 64 * BLOCK
@@ -82,65 +83,50 @@ class LibraryPieces:
     """Ids of texts by the tokenizers library, asked for each word once while it is remembered.
 
     For vocabularies that lower case, drop white space and keep letters apart from other characters: the ids of a text
-    are then those of its space-separated pieces, one after another, and a piece of letters with a full stop or a
-    comma behind has the ids of the letters, in either case, and of the mark. Letters beyond U+024F are left as they are.
+    are then those of its pieces between spaces and line ends, one after another, and a piece of letters with ASCII
+    marks behind has the ids of the letters in lower case and of the marks. Such words and runs of marks go to the
+    library's model at once, as its normalizing and splitting leave them whole; pieces of any other kind, and letters
+    beyond U+024F, go through the library's whole chain.
     """
 
     def __init__(self, tokenizer, most: int = 400_000):
-        self.tokenizer, self.most = tokenizer, most
-        # for lower-case letters the file's normalizer and splitting pattern do nothing but take time
-        own = json.loads(tokenizer.to_str()) | {"normalizer": None, "added_tokens": []}
-        bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        own["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_only]}
-        self.plain = type(tokenizer).from_str(json.dumps(own))
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.tokenizer, self.tokenize, self.most = tokenizer, tokenizer.model.tokenize, most
+        self.stand_ins = {b: c for c, b in byte_symbols().items()}
         self.words: dict[str, bytes] = {}
-        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = dict(zip(".,", self._ask([".", ","]), strict=True))
-
-    def _ask(self, words: list[str]) -> list[bytes]:
-        """Ids of each; words of letters go many to a line, as each ends with the one token of it that ends a word."""
-        plain = [w for w in words if w.isalpha() and (w.isascii() or max(w) <= "\u024f")]
-        lines = [" ".join(plain[k : k + 64]) for k in range(0, len(plain), 64)]
-        ids = np.array([i for e in self.plain.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], "<u4")
-        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        packed = ids.tobytes()
-        found = dict(zip(plain, (packed[x:y] for x, y in zip([0, *ends], ends, strict=False)), strict=True))
-        other = [w for w in words if w not in found]
-        found |= zip(other, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)), strict=True)
-        return [found[w] for w in words]
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        pieces = set().union(*split)
-        new = pieces.difference(self.young)
-        if len(self.young) + len(new) > self.most:
-            self.old, self.young, new = self.young, {}, pieces
-        parts, ask = [], set()
-        for p in new:
-            if (v := self.old.get(p)) is not None:
-                self.young[p] = v
-                continue
-            word, mark = p, b""
-            if p[-1:] in self.marks and p[:-1].isalpha():
-                word, mark = p[:-1], self.marks[p[-1]]
-            if (word.isascii() or max(word) <= "\u024f") and word.isalpha():
-                word = word.lower()
-            parts.append((p, word, mark))
-            if word not in self.words:
-                ask.add(word)
-        if len(self.words) + len(ask) > self.most:
-            self.words = {}
-            ask = {word for _, word, _ in parts}
-        wanted = list(ask)
-        self.words.update(zip(wanted, self._ask(wanted), strict=True))
-        for p, word, mark in parts:
-            self.young[p] = self.words[word] + mark
-        get = self.young.__getitem__
-        return [b"".join(map(get, own)) for own in split]
+        self.old: dict[str, bytes] = {}
+        self.young = self._generation()
+
+    def _generation(self) -> dict[str, bytes]:
+        """Remembered pieces; one that isn't there is looked up among those before, or made."""
+        old, word, whole = self.old, self._word, self.tokenizer.encode
+
+        class Pieces(dict):
+            def __missing__(self, piece: str) -> bytes:
+                if (v := old.get(piece)) is None:
+                    stem = piece.rstrip(string.punctuation)
+                    low = stem.lower()
+                    if low.isalpha() and (low.isascii() or max(low) <= "\u024f"):
+                        v = word(low) if len(stem) == len(piece) else word(low) + word(piece[len(stem) :])
+                    else:
+                        v = np.array(whole(piece, add_special_tokens=False).ids, "<u4").tobytes()
+                self[piece] = v
+                return v
+
+        return Pieces()
+
+    def _word(self, word: str) -> bytes:
+        if (v := self.words.get(word)) is None:
+            ids = [t.id for t in self.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.stand_ins))]
+            if len(self.words) >= self.most:
+                self.words.clear()
+            v = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return v
+
+    def of(self, text: str) -> bytes:
+        if len(self.young) > self.most:  # what was remembered longest goes
+            self.old = dict(self.young)
+            self.young = self._generation()
+        return b"".join(map(self.young.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @functools.lru_cache(maxsize=2)
@@ -175,7 +161,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, files: in
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, ARROW, strict=True)], names=[k for k, _ in ARROW])
 
         for batch in small_batches(batches):
-            for doc, coded in zip(batch.column(0).to_pylist(), pieces.of([x or "" for x in batch.column(1).to_pylist()]), strict=True):
+            for doc, coded in zip(batch.column(0).to_pylist(), map(pieces.of, texts_of(batch, "text")), strict=True):
                 held += coded + end
                 ids.append(doc)
                 lens.append(len(coded) // 4 + 1)
@@ -184,9 +170,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, files: in
         if ids:
             yield row()
 
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    ranged = docs.select("doc_id", "text").repartitionByRange(files or partitions(docs), *order)
-    ranged.sortWithinPartitions(*order).mapInArrow(run, FILE_SCHEMA).write.parquet(path)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc()]  # the driver gets a sample of these two numbers, never of texts
+    ranged = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(files or partitions(docs), *order)
+    ranged.sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, FILE_SCHEMA).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
