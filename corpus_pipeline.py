@@ -12,9 +12,13 @@ from specula.sources.package import ship
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go, whatever languages could be learned."""
+    """Documents without a language (no text, or no letter in it) go; of the others ``lang`` becomes the predicted one.
+
+    Where no language could be learned ``lang`` stays as it is.
+    """
     model = language_id.fit(docs.where(~F.coalesce(language_id.held_out(), F.lit(False))))
-    return language_id.predict(docs, model, letters="_letters").where("_letters").select(docs.columns)
+    found = language_id.predict(docs, model, letters="_letters").where("_letters")
+    return found.withColumn("lang", F.coalesce(F.nullif("lang_pred", F.lit("und")), "lang")).select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Benchmark decontamination: passages of a corpus within an edit distance of a benchmark item.
 
-Texts and items are words: lower case, ASCII punctuation as space. An item of n words (``min_words`` or more; fewer
-say too little to search for) is leaked if some window of a text is within floor(n * edit_share) word edits of it.
+Texts and items are words: lower case, ASCII punctuation as space. An item of n words is leaked if some window of a
+text is within floor(n * edit_share) word edits of it. Items of too few words for one edit are leaked by exact
+windows only; their walks are their own words, so they are looked up as they are, without loss. ``min_words`` leaves
+shorter items out where a user wants that; by default every item that has a word is searched for.
 
 Candidates come from CGK embeddings (Chakraborty, Goldenberg and Koucky, "Streaming algorithms for embedding and
 computing edit distance in the low distance regime", 2016): a walk over the words stays or steps on as random bits of
@@ -225,20 +227,52 @@ class SizeClass:
             yield from zip(s[ok].tolist(), self.numbers[r[ok]].tolist(), d[ok].tolist(), self.lens[r[ok]].tolist(), strict=True)
 
 
+class ExactClass(SizeClass):
+    """Items of one number of words that no edit is allowed to: windows are looked up by their first words, then compared."""
+
+    def __init__(self, items: list[np.ndarray], numbers: list[int], vocabulary: int):
+        n = len(items[0])
+        self.lens, self.numbers, self.low, self.most = np.full(len(items), n), np.array(numbers), n, n
+        self.bound, self.sure, self.reach, self.steps, self.repetitions = np.zeros(len(items), int), n, n + 1, n, 1
+        self.items, self.base, self.depth = np.array(items, np.int32), vocabulary + 2, min(n, SAMPLES)
+        self.keys, self.rows = self._table_of(self.items.astype(np.int64))
+
+    def _key(self, columns):
+        return functools.reduce(lambda key, c: key * self.base + c, columns[1:], columns[0])
+
+    def _table_of(self, items):
+        keys = self._key([items[:, k] for k in range(self.depth)])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
+
+    def candidates(self, symbols, outside, ends):
+        starts = np.flatnonzero((symbols[:ends] > 0) & (outside[self.sure : ends + self.sure] == outside[:ends]))
+        key = self._key([symbols.take(starts + k) for k in range(self.depth)])
+        lo, hi = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, "right")
+        n = hi - lo
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(starts, n), self.rows[np.repeat(lo, n) + within]
+
+
 class Index:
     """The items of one block, by size class."""
 
     def __init__(self, items: list[tuple[int, str]], edit_share: float, recall: float, min_words: int, repetitions: list[int] | None = None):
         split = [(i, words(t)) for i, t in items]
-        split = sorted(((i, w) for i, w in split if len(w) >= min_words), key=lambda x: (len(x[1]), x[0]))
+        split = sorted(((i, w) for i, w in split if len(w) >= max(1, min_words)), key=lambda x: (len(x[1]), x[0]))
         names = sorted({x for _, w in split for x in w})
         self.symbol = {w: k + 1 for k, w in enumerate(names)}
         self.classes, low = [], 0
         group: list = []
         for i, w in [*split, (None, None)]:
-            if group and (w is None or len(w) > max(low * 1.3, low + 1)):
+            exact = low * edit_share + 1e-9 < 1
+            if group and (w is None or len(w) > max(low * 1.3, low + 1) or (exact and len(w) > low)):
                 coded = [np.array([self.symbol[x] for x in g], np.int32) for _, g in group]
-                self.classes.append(SizeClass(coded, [g[0] for g in group], edit_share, recall, len(names), len(self.classes) * 10 + 7, repetitions and repetitions[len(self.classes)]))
+                own = [g[0] for g in group]
+                if exact:
+                    self.classes.append(ExactClass(coded, own, len(names)))
+                else:
+                    self.classes.append(SizeClass(coded, own, edit_share, recall, len(names), len(self.classes) * 10 + 7, repetitions and repetitions[len(self.classes)]))
                 group = []
             if w is not None:
                 low = low if group else len(w)
@@ -287,7 +321,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, edit_share: float, recall: fl
         yield index
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, recall: float = 0.95, min_words: int = 5, block_items: int = 2000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, recall: float = 0.95, min_words: int = 1, block_items: int = 2000) -> DataFrame:
     """doc_id, item_id, n_edits, item_words and first_word (of the window) of each document and item that it leaks."""
     out = None
     for index in _blocks(docs, benchmark, edit_share, recall, min_words, block_items):
@@ -304,7 +338,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, recall
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, recall: float = 0.95, min_words: int = 5, block_items: int = 2000) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, recall: float = 0.95, min_words: int = 1, block_items: int = 2000) -> DataFrame:
     """The rows of ``docs`` whose text leaks no item, each judged by itself whatever its doc_id; a map."""
     for index in _blocks(docs, benchmark, edit_share, recall, min_words, block_items):
 

@@ -15,12 +15,16 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{
 class PieceMap:
     """Maps texts piece by piece: ``of(text)`` joins what ``of_word`` gives for each pre-split word.
 
+    ``of_words``, if given, maps all words of a piece at once where white space is parted into words, for what depends
+    on the word before; ``of_special`` a text together with the special string behind it.
+
     A space between two characters that aren't white space always starts a word, so a text may be cut there and
     each piece be looked up. Pieces that touch other white space are put together again first. At most ``most``
     pieces are kept, in two generations, so that memory is bounded and frequent pieces stay.
     """
 
-    def __init__(self, of_word: Callable, join: Callable, special: dict[str, object] | None = None, most: int = 150_000):
+    def __init__(self, of_word: Callable, join: Callable, special: dict[str, object] | None = None, most: int = 150_000, of_words: Callable | None = None, of_special: Callable | None = None):
+        self.of_words, self.of_special = of_words, of_special
         self.of_word, self.join, self.special, self.most = of_word, join, dict(special or {}), most
         self.split = regex.compile(PATTERN).findall
         names = sorted(self.special, key=len, reverse=True)
@@ -32,6 +36,8 @@ class PieceMap:
     def of(self, text: str):
         if self.cut and any(s in text for s in self.special):
             parts = self.cut(text)
+            if self.of_special:
+                return self.join([*(self.of_special(parts[k], parts[k + 1]) for k in range(0, len(parts) - 1, 2)), self._plain(parts[-1])])
             return self.join([self.special[p] if k % 2 else self._plain(p) for k, p in enumerate(parts)])
         return self._plain(text)
 
@@ -69,8 +75,10 @@ class PieceMap:
         return self.join([self._words(pieces[0]), *(self._words(" " + p) if whole(p) else self._missed(p) for p in pieces[1:])])
 
     def _words(self, text: str):
-        out = []
-        for w in self.split(text):
+        out, words = [], self.split(text)
+        if self.of_words and any(w.isspace() and after[0].isspace() for w, after in zip(words, words[1:], strict=False)):
+            return self.of_words(words)
+        for w in words:
             if (v := self.words.get(w)) is None:
                 v = self.of_word(w.encode("utf-8", "surrogatepass"))
                 if len(w) <= 64:

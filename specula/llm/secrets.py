@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specula.llm.common import table, text_or_empty
+from specula.llm.common import table, text_or_empty, with_running
 
 #: The patterns that define the kinds, and the least length of what counts.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -37,33 +37,29 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 KINDS = ("assign", "access", "hex", "markov")
 
 
-def _spans(text: Column, kind: str, pattern: str, look: Column, counts) -> Column:
-    """Spans of a pattern: array of (begin, kind, end, match); ``counts`` says of a match whether it does."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
-    order = KINDS.index(kind)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,kind:int,end:int,match:string>>").alias("out"))
+def _with_spans(df: DataFrame, text: str, kind: str, pattern: str, look: Column, counts, to: str) -> DataFrame:
+    """``df`` with the spans of a pattern in ``to``: array of (begin, kind, end, match); ``counts`` says of a match whether it does.
 
-    def add(acc, x):
-        begin = acc["at"] + F.length(x["0"])
-        end = begin + F.length(x["1"])
-        span = F.struct(begin.alias("begin"), F.lit(order).alias("kind"), end.alias("end"), x["1"].alias("match"))
-        return F.struct(end.alias("at"), F.when(counts(x["1"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("0"), found.alias("1"))
-    return F.when(look, F.aggregate(pairs, start, add, lambda acc: acc["out"])).otherwise(start["out"])
-
-
-def base_spans(text: Column) -> Column:
-    """Spans of the three patterns, by begin, then kind."""
+    Where matches begin are running sums of lengths; the steps grow as the number of matches to the power 1.5.
+    """
+    none, order = F.array().cast("array<string>"), KINDS.index(kind)
+    out = df.withColumn("_found", F.when(look, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
+    out = out.withColumn("_between", F.when(look, F.split(text, pattern)).otherwise(none))
+    ahead = F.transform("_found", lambda m, k: F.length(F.get("_between", k)) + F.coalesce(F.length(F.get("_found", k - 1)), F.lit(0)))
+    out = with_running(out.withColumn("_ahead", ahead), "_ahead", "_begins", F.lit(0), lambda a, b: a + b)
+    span = lambda m, at: F.struct(at.alias("begin"), F.lit(order).alias("kind"), (at + F.length(m)).alias("end"), m.alias("match"))
+    return out.withColumn(to, F.filter(F.zip_with("_found", "_begins", span), lambda x: counts(x["match"]))).drop("_found", "_between", "_ahead", "_begins")
+
+
+def with_base_spans(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``base``: spans of the three patterns, by begin, then kind."""
+    t = F.col(text)
     value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= LEAST["assign"]
     long_enough = lambda kind: lambda m: F.length(m) >= LEAST[kind]
-    return F.array_sort(
-        F.concat(
-            _spans(text, "assign", ASSIGN, text.rlike(r"(?i)(?:passw|secret|token|api_?key)"), value),
-            _spans(text, "access", ACCESS, F.contains(text, F.lit("AKIA")), long_enough("access")),
-            _spans(text, "hex", HEX, text.rlike(HEX), long_enough("hex")),
-        )
-    )
+    out = _with_spans(df, text, "assign", ASSIGN, t.rlike(r"(?i)(?:passw|secret|token|api_?key)"), value, "_assign")
+    out = _with_spans(out, text, "access", ACCESS, F.contains(t, F.lit("AKIA")), long_enough("access"), "_access")
+    out = _with_spans(out, text, "hex", HEX, t.rlike(HEX), long_enough("hex"), "_hex")
+    return out.withColumn("base", F.array_sort(F.concat("_assign", "_access", "_hex"))).drop("_assign", "_access", "_hex")
 
 
 def _pair_counts(samples: DataFrame) -> DataFrame:
@@ -152,15 +148,29 @@ def score(m: Column) -> Column:
     return F.aggregate(cell, F.lit(0.0), lambda acc, x: acc + x) / (F.length(m) - 1)
 
 
+def _apart(spans: str, others: str, block: int = 256) -> Column:
+    """Those of ``spans`` (by begin) that overlap none of ``others``; a block of them is compared with the others near it only."""
+    overlap = lambda m, b: (b["begin"] < m["end"]) & (m["begin"] < b["end"])
+
+    def of_block(k):
+        own = F.slice(spans, k, F.lit(block))
+        first, last = F.get(own, F.lit(0)), F.get(own, F.size(own) - 1)
+        near = F.filter(others, lambda b: (b["begin"] < last["end"]) & (first["begin"] < b["end"]))
+        return F.get(F.transform(F.array(near), lambda n: F.filter(own, lambda m: ~F.exists(n, lambda b: overlap(m, b)))), F.lit(0))
+
+    begins = F.when(F.size(spans) > 0, F.sequence(F.lit(1), F.size(spans), F.lit(block))).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(others) == 0, F.col(spans)).otherwise(F.flatten(F.transform(begins, of_block)))
+
+
 def scan(docs: DataFrame, model: list[float], threshold: float = 2.0, min_chars: int = 20, text: str = "text") -> DataFrame:
-    """``docs`` with ``base`` and ``spans``: arrays of (begin, kind, end, match), spans with those of the models."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    ratios = F.array(*map(F.lit, model))
+    """``docs`` with ``base`` and ``spans``: arrays of (begin, kind, end, match), spans with those of the models.
+
+    Columns of these names are replaced; names with an underscore in front are used on the way.
+    """
     pattern = CANDIDATE % min_chars
-    df = docs.withColumn("base", base_spans(body)).withColumn("_ratios", ratios)
-    more = _spans(body, "markov", pattern, body.rlike(pattern), lambda m: score(m) > threshold)
-    new = F.filter(more, lambda m: ~F.exists("base", lambda b: (b["begin"] < m["end"]) & (m["begin"] < b["end"])))
-    return df.withColumn("spans", F.array_sort(F.concat("base", new))).drop("_ratios")
+    df = with_base_spans(docs.withColumn("_body", F.coalesce(F.col(text), F.lit(""))), "_body").withColumn("_ratios", F.array(*map(F.lit, model)))
+    df = _with_spans(df, "_body", "markov", pattern, F.col("_body").rlike(pattern), lambda m: score(m) > threshold, "_markov")
+    return df.withColumn("spans", F.array_sort(F.concat("base", _apart("_markov", "base")))).drop("_ratios", "_body", "_markov")
 
 
 def fit(docs: DataFrame) -> tuple[list[float], float]:

@@ -1,11 +1,14 @@
 """Exact token counts without token ids, by dynamic programming over prefixes.
 
 For each pre-split word the token count of every prefix follows from the counts of shorter ones: exactly one
-token that ends at a place may follow the tokens before it. A document's counts are its words' counts, added up.
-``token_counts`` can also store them: one signed byte for each byte of the text, the change of the count there,
-from which ``count_at`` and ``longest_within`` answer questions on truncation and budgets later without encoding.
-A stored count is that of the text cut there, with one exception: a cut inside a run of white space or inside a
-contraction such as 'll counts that run as one piece, as the whole text has it.
+token that ends at a place may follow the tokens before it. ``token_counts`` stores them for a whole text: one signed
+byte for each byte of the text, the change of the count there, from which ``count_at`` and ``longest_within`` answer
+questions on truncation and budgets later without encoding. A document's count is its last stored one.
+
+A stored count is that of the text cut there, wherever a character ends. Three things change when more of a text is
+known, and are stored as they are without it: a run of white space at the end is one word, of which the last character
+goes to a word that follows; a contraction such as 'll is a mark and letters until it is whole; and so is a special
+string, which may even lengthen the word before it until it is whole.
 
 A map without a shuffle. Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows stay;
 other columns pass through unless they bear the name of an added column, which then replaces them.
@@ -13,35 +16,75 @@ other columns pass through unless they bear the name of an added column, which t
 
 from __future__ import annotations
 
+from array import array
+from operator import sub
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from specula.llm.bpe_automaton import BpeAutomaton
 from specula.llm.bpe_codec import blocks, schema_with, shared_automaton, with_columns
 from specula.llm.common import table
 from specula.llm.pretokens import PieceMap
 
 
-def token_counts(docs: DataFrame, path: str, limit: int, text: str = "text", store: str | None = None) -> DataFrame:
-    """``docs`` with n_bytes, n_tokens and over_limit (n_tokens > limit), and if asked for the stored counts in ``store``."""
+class PrefixCounts:
+    """Changes of the token count of a text's prefixes, as bytes, through the automaton ``a``."""
+
+    #: Fixed value: what a byte-level vocabulary splits off as a word when it is whole.
+    CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+
+    def __init__(self, a: BpeAutomaton):
+        self.a = a
+        self.marks = {w.encode(): [0, *(n + 1 for n in a.prefix_counts(w[1:-1].encode())), len(a.encode(w.encode()))] for w in self.CONTRACTIONS}
+        self.pieces = PieceMap(self.of_word, b"".join, dict.fromkeys(a.special, b""), of_words=self.of_words, of_special=self.of_special)
+        self.plain = PieceMap(self.of_word, b"".join, of_words=self.of_words)
+
+    @staticmethod
+    def packed(counts: list[int]) -> bytes:
+        """Changes from count to count; an OverflowError if one is more than a signed byte holds."""
+        return array("b", map(sub, counts[1:], counts)).tobytes()
+
+    def counts(self, word: bytes) -> list[int]:
+        return self.marks.get(word) or self.a.prefix_counts(word)
+
+    def of_word(self, word: bytes) -> bytes:
+        return self.packed(self.counts(word))
+
+    def of_words(self, words: list[str]) -> bytes:
+        """Of white space before a word that takes its last character, the whole run is one word until the next character."""
+        all_, before, run = [0], 0, b""
+        for w in words:
+            coded = w.encode("utf-8", "surrogatepass")
+            own = [before + n for n in self.counts(coded)]
+            last = own[-1]
+            if run and w[0].isspace():
+                first = w[0].encode()
+                own[len(first)] = before - self.a.prefix_counts(run)[-1] + self.a.prefix_counts(run + first)[-1]
+            all_ += own[1:]
+            before, run = last, coded if w.isspace() else b""
+        return self.packed(all_)
+
+    def of_special(self, before: str, special: str) -> bytes:
+        """Changes over a text and the special string behind it, which counts as plain text until it is whole."""
+        cut = self.plain.of(before + special[:-1])
+        return cut + self.packed([count_at(cut, len(cut)), count_at(cut, len(before.encode("utf-8", "surrogatepass"))) + 1])
+
+
+def token_counts(docs: DataFrame, path: str, limit: int, text: str = "text", store: str = "prefixes") -> DataFrame:
+    """``docs`` with n_bytes, n_tokens, over_limit (n_tokens > limit) and the stored counts of all prefixes in ``store``."""
     automaton = shared_automaton(docs.sparkSession, path)
-    added = {"n_bytes": T.LongType(), "n_tokens": T.LongType(), "over_limit": T.BooleanType()} | ({store: T.BinaryType()} if store else {})
+    added = {"n_bytes": T.LongType(), "n_tokens": T.LongType(), "over_limit": T.BooleanType(), store: T.BinaryType()}
 
     def run(batches):
-        a = automaton()
-        if store:
-            changes = lambda w: np.diff(a.prefix_counts(w)).astype(np.int8).tobytes()
-            special = {k: b"\x01" + bytes(len(k.encode()) - 1) for k in a.special}
-            pieces = PieceMap(changes, b"".join, special)
-        else:
-            pieces = PieceMap(lambda w: a.prefix_counts(w)[-1], sum, dict.fromkeys(a.special, 1))
+        counts = PrefixCounts(automaton())
         for batch in blocks(batches):
-            texts = [t or "" for t in batch.column(batch.schema.names.index(text)).to_pylist()]
-            found = [pieces.of(t) for t in texts]
-            counts = [int(np.frombuffer(x, np.int8).sum(dtype=np.int64)) for x in found] if store else found
-            columns = {"n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "over_limit": pa.array([n > limit for n in counts], pa.bool_())}
-            yield with_columns(batch, columns | ({store: pa.array(found, pa.binary())} if store else {}))
+            found = [counts.pieces.of(t or "") for t in batch.column(batch.schema.names.index(text)).to_pylist()]
+            n = [count_at(x, len(x)) for x in found]
+            columns = {"n_bytes": pa.array(map(len, found), pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([k > limit for k in n], pa.bool_())}
+            yield with_columns(batch, columns | {store: pa.array(found, pa.binary())})
 
     return docs.mapInArrow(run, schema_with(docs, added))
 

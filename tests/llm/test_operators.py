@@ -54,20 +54,26 @@ def test_codec(spark):
 
 def test_token_counts(spark):
     t = Tokenizer.from_file(BYTE)
-    got = {r["doc_id"]: r for r in token_counts.token_counts(docs(spark, AWKWARD), BYTE, 100, store="prefixes").collect()}
-    plain = {r["doc_id"]: r for r in token_counts.token_counts(docs(spark, AWKWARD), BYTE, 100).collect()}
+    got = {r["doc_id"]: r for r in token_counts.token_counts(docs(spark, AWKWARD), BYTE, 100).collect()}
     for k, x in enumerate(AWKWARD):
         n = len(t.encode(x or "", add_special_tokens=False).ids)
-        for row in (got[k], plain[k]):
-            assert (row["n_bytes"], row["n_tokens"], row["over_limit"]) == (len((x or "").encode()), n, n > 100)
+        assert (got[k]["n_bytes"], got[k]["n_tokens"], got[k]["over_limit"], got[k]["source"]) == (len((x or "").encode()), n, n > 100, "s")
         assert token_counts.count_at(bytes(got[k]["prefixes"]), 1 << 30) == n
     x = "unbelievable characterization of tokenizers"
     stored = bytes(token_counts.token_counts(docs(spark, [x]), BYTE, 5, store="p").first()["p"])
-    for cut in range(len(x) + 1):
-        if not x[:cut].endswith(" "):
-            assert token_counts.count_at(stored, cut) == len(t.encode(x[:cut], add_special_tokens=False).ids)
     assert token_counts.longest_within(stored, 1000) == len(x)
     assert token_counts.longest_within(stored, 0) == 0
+    assert token_counts.token_counts(empty(spark), BYTE, 5).count() == 0
+
+
+def test_stored_counts_at_every_cut():
+    t, counts, r = Tokenizer.from_file(BYTE), token_counts.PrefixCounts(load(BYTE)), random.Random(3)
+    parts = ["a", "the", " ", "  ", "\n", "\n\n", "\r\n", "\t", "'s", "'ll", "'", "'re", "1", "23", ".", "...", "!", "é", "日本", "<|endoftext|>", "-", "\x1c", "😀", "<|", "ation", "ing", "\u2003", " the", "'l", "'v"]
+    for x in [*("".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(500)), *(t for t in AWKWARD if t and len(t) < 100)]:
+        stored = counts.pieces.of(x)
+        assert len(stored) == len(x.encode())
+        for cut in range(len(x) + 1):
+            assert token_counts.count_at(stored, len(x[:cut].encode())) == len(t.encode(x[:cut], add_special_tokens=False).ids), (x, cut)
 
 
 def test_blocks_of_ids():
@@ -254,7 +260,7 @@ def test_sharding(spark, sf):
 
 def brute_leak(text, item, share=0.2):
     w, x = decontamination.words(text), decontamination.words(item)
-    if len(x) < 5:
+    if not x:
         return None
     d = [0] * (len(w) + 1)
     for i, a in enumerate(x, 1):
@@ -268,7 +274,7 @@ def brute_leak(text, item, share=0.2):
 def test_decontamination(spark, sf):
     r = random.Random(9)
     names = [f"w{k}" for k in range(400)]
-    items = [" ".join(r.choices(names, k=n)) for n in r.choices(range(5, 40), k=40)]
+    items = [" ".join(r.choices(names, k=n)) for n in [1, 2, 2, 3, 4, 4, *r.choices(range(5, 40), k=40)]]
     texts = list(AWKWARD)
     for k in range(150):
         w = r.choice(items).split()
@@ -276,7 +282,7 @@ def test_decontamination(spark, sf):
             at = r.randrange(len(w))
             w[at : at + r.choice([0, 1])] = r.choice([[], ["odd"]])
         texts.append(" ".join(r.choices([*names, "other", "else"], k=r.randint(0, 60)) + w + r.choices(names, k=20)))
-    bench = spark.createDataFrame([*enumerate(items), (100, None), (101, ""), (102, "too few words")], "item_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items), (100, None), (101, ""), (102, "few words")], "item_id long, text string")
     got = {(x["doc_id"], x["item_id"]): x["n_edits"] for x in decontamination.leaks(docs(spark, texts), bench).collect()}
     want = {(k, i): e for k, t in enumerate(texts) for i, x in enumerate(items) if (e := brute_leak(t, x)) is not None}
     assert set(got) <= set(want) and all(got[k] >= want[k] for k in got)
