@@ -73,7 +73,7 @@ def saturation(r: Column, g: Column, b: Column) -> Column:
     return F.when(top > 0, (top - low) / top).otherwise(F.lit(0.0))
 
 
-def smoothstep(x: Column, low: float, high: float) -> Column:
+def smoothstep(x: Column, low, high) -> Column:
     t = F.least(F.greatest((x - low) / (high - low), F.lit(0.0)), F.lit(1.0))
     return t * t * (3 - 2 * t)
 
@@ -85,8 +85,8 @@ def hue_distance(h: Column, centre) -> Column:
 
 
 def hue_weight(h: Column, centre: float, half: float) -> Column:
-    """1 at the centre of a band of hues, falling smoothly to 0 at its edges, round the circle."""
-    t = F.least(F.greatest(1 - hue_distance(h, centre) / half, F.lit(0.0)), F.lit(1.0))
+    """1 up to 0.35 of a band's half width from its centre, falling smoothly to 0 at its edges, round the circle."""
+    t = F.least(F.greatest(1 - (hue_distance(h, centre) - half * 0.35) / (half * 0.65), F.lit(0.0)), F.lit(1.0))
     return t * t * (3 - 2 * t)
 
 

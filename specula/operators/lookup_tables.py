@@ -40,18 +40,24 @@ def trilinear(table: Column, n: int, r: Column, g: Column, b: Column) -> Column:
     return mix(*(mix(*row, fg) for row in rows), fb)
 
 
-def tetrahedral(table: Column, n: int, r: Column, g: Column, b: Column) -> Column:
-    """Interpolation in the one of a cell's six tetrahedra that holds the colour."""
-    (i, fr), (j, fg), (k, fb) = (_cell(c, n) for c in (r, g, b))
-    value = lambda di, dj, dk: F.get(table, (i + di) + (j + dj) * n + (k + dk) * (n * n))
-    unit = {"r": (1, 0, 0), "g": (0, 1, 0), "b": (0, 0, 1)}
-    part = {"r": fr, "g": fg, "b": fb}
-    out = None
-    for order in ("rgb", "rbg", "grb", "gbr", "brg", "bgr"):
-        x, y, z = (part[c] for c in order)
-        one = unit[order[0]]
-        two = tuple(p + q for p, q in zip(one, unit[order[1]], strict=True))
-        v = value(0, 0, 0) * (1 - x) + value(*one) * (x - y) + value(*two) * (y - z) + value(1, 1, 1) * z
-        test = (x >= y) & (y >= z)
-        out = F.when(test, v) if out is None else out.when(test, v)
-    return out
+def with_tetrahedra(df: DataFrame, n: int) -> DataFrame:
+    """``df`` (r, g, b) with the four points of the tetrahedron that holds each colour (``_p``) and their weights (``_w``).
+
+    The largest of the three fractions leads the way from the cell's first corner, the least comes last.
+    """
+    cells = {c: _cell(F.col(c), n) for c in "rgb"}
+    out = df.withColumns({"_at": sum(cells[c][0] * n**k for k, c in enumerate("rgb")), **{f"_{c}": cells[c][1] for c in "rgb"}})
+    r, g, b = (F.col(f"_{c}") for c in "rgb")
+    first = F.when((r >= g) & (r >= b), 1).when(g >= b, n).otherwise(n * n)
+    last = F.when((b <= r) & (b <= g), n * n).when(g <= r, n).otherwise(1)
+    out = out.withColumns({"_first": first, "_last": last, "_hi": F.greatest(r, g, b), "_lo": F.least(r, g, b)})
+    hi, lo, whole = F.col("_hi"), F.col("_lo"), 1 + n + n * n
+    mid = r + g + b - hi - lo
+    points = F.array(F.col("_at"), F.col("_at") + F.col("_first"), F.col("_at") + (whole - F.col("_last")), F.col("_at") + whole)
+    out = out.withColumns({"_p": points, "_w": F.array(1 - hi, hi - mid, mid - lo, lo)})
+    return out.drop("_at", "_r", "_g", "_b", "_first", "_last", "_hi", "_lo")
+
+
+def tetrahedral(table: Column) -> Column:
+    """The table's value at a colour, from the columns of :func:`with_tetrahedra`."""
+    return sum(F.get(table, F.get("_p", F.lit(k))) * F.get("_w", F.lit(k)) for k in range(4))

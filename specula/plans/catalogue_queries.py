@@ -146,19 +146,25 @@ _SCORE = "a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey"
 
 
 @query(
-    "WITH t AS (SELECT p_partkey, p_brand, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part), s AS (SELECT a.p_partkey, b.p_partkey AS other, len(list_intersect(a.w, b.w)) AS score FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WHERE a.p_partkey <= 40) SELECT p_partkey, arg_max(other, score * 1000000000 - other) AS best, CAST(max(score) AS INT) AS score FROM s WHERE score > 0 GROUP BY p_partkey"
+    "WITH t AS (SELECT p_partkey, p_brand, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part), s AS (SELECT a.p_partkey, b.p_partkey AS other, len(list_intersect(a.w, b.w)) AS score FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey) SELECT p_partkey, arg_max(other, score * 1000000000 - other) AS best, CAST(max(score) AS INT) AS score FROM s WHERE score > 0 GROUP BY p_partkey"
 )
 def fuzzy_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For the first forty names, as its SQL has it, the one of their brand that shares most words, the smallest key of equals.
+    """For each name the one of its brand that shares most words, the smallest key of equals.
 
-    ``fuzzy_best_all`` answers for every part, by the whole score.
-    Words are joined, not pairs of names: a candidate is a name that shares a word at all.
+    Names, not parts, are joined, and on words: a candidate is a name that shares a word at all. Of a name two keys are
+    kept, as a part leaves out its own. ``fuzzy_best_all`` goes by the whole score.
     """
-    t = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("w"))
-    asked = t.where("p_partkey <= 40")
-    pairs = asked.join(t.withColumnRenamed("p_partkey", "other"), ["p_brand", "w"]).where("p_partkey <> other").groupBy("p_partkey", "other").agg(F.count(F.lit(1)).cast("int").alias("score"))
-    best = F.max(F.struct("score", (-F.col("other")).alias("minus"))).alias("x")
-    return pairs.groupBy("p_partkey").agg(best).select("p_partkey", (-F.col("x.minus")).alias("best"), F.col("x.score").alias("score"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.array_sort(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("name"))
+    least = Window.partitionBy("p_brand", "name").orderBy("p_partkey")
+    keys = parts.withColumn("k", F.row_number().over(least)).where("k <= 2").groupBy("p_brand", "name").agg(F.collect_list("p_partkey").alias("keys"))
+    words = keys.select("p_brand", "name", "keys", F.explode("name").alias("w"))
+    shared = words.drop("keys").join(words.select("p_brand", "w", F.col("name").alias("other"), "keys"), ["p_brand", "w"])
+    scored = shared.groupBy("p_brand", "name", "other").agg(F.count(F.lit(1)).cast("int").alias("score"), F.first("keys").alias("keys"))
+    ranked = F.row_number().over(Window.partitionBy("p_brand", "name").orderBy(F.desc("score"), "best"))
+    two = scored.select("p_brand", "name", "score", F.explode("keys").alias("best")).withColumn("k", ranked).where("k <= 2")
+    two = two.groupBy("p_brand", "name").agg(F.array_sort(F.collect_list(F.struct("k", "best", "score"))).alias("two"))
+    other = F.get(F.filter("two", lambda x: x["best"] != F.col("p_partkey")), F.lit(0))
+    return parts.join(two, ["p_brand", "name"]).select("p_partkey", other.alias("x")).where("x is not null").select("p_partkey", "x.best", "x.score")
 
 
 def best_matches(part: DataFrame) -> DataFrame:
@@ -250,14 +256,27 @@ def unique_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").withColumn("n", n).select("page_id", F.when(F.col("n") == 1, F.col("url")).otherwise(F.concat("url", F.lit(" ·"), F.col("n").cast("string"))).alias("name"))
 
 
-@query("WITH s AS (SELECT DISTINCT source, regexp_extract(source, '^[^0-9]*') AS head, CAST(regexp_extract(source, '[0-9]+') AS INT) AS number FROM documents) SELECT source, CAST(row_number() OVER (ORDER BY head, number) AS INT) AS place FROM s")
+@query("WITH s AS (SELECT DISTINCT source, regexp_extract(source, '^[^0-9]*') AS head, CAST(regexp_extract(source, '[0-9]+') AS INT) AS number FROM documents) SELECT source, CAST(row_number() OVER (ORDER BY head, number, source) AS INT) AS place FROM s")
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in the order of their letters, then of their number. The window runs over distinct names only."""
     s = table(spark, sf_dir, "documents").select("source").distinct().select("source", F.regexp_extract("source", "^[^0-9]*", 0).alias("head"), F.regexp_extract("source", "[0-9]+", 0).cast("int").alias("number"))
-    return s.select("source", F.row_number().over(Window.orderBy("head", "number")).alias("place"))
+    return s.select("source", F.row_number().over(Window.orderBy("head", "number", "source")).alias("place"))
+
+
+_EXIF = "x AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS focal, p_size * 7 / 10.0::DOUBLE AS fnum, CAST(p_size * p_size * 3 AS DOUBLE) AS exp, CAST((p_partkey % 7 - 3) / 3.0 AS DOUBLE) AS bias, '2024:' || lpad(CAST(p_size % 12 + 1 AS VARCHAR), 2, '0') || ':05 10:00' AS dt FROM part)"
 
 
-@query("SELECT c_custkey, CASE WHEN c_acctbal >= 1 THEN printf('%.3fs', c_acctbal) ELSE '1/x' END AS shutter, printf('%05d', c_nationkey) AS code FROM customer")
+@query(
+    f"""WITH {_EXIF} SELECT p_partkey, printf('%.1f mm', focal) AS focal, 'ƒ/' || printf('%.1f', floor(fnum * 100 + 0.5) / 100) AS aperture, CASE WHEN exp = 0 THEN NULL WHEN 1 / exp < 0.001 THEN '1/' || CAST(CAST(floor(exp + 0.5) AS BIGINT) AS VARCHAR) ELSE printf('%.1f', 1 / exp) || 's' END AS shutter,
+CASE WHEN bias > 0 THEN '+' ELSE '' END || printf('%.2f', bias) || ' EV' AS bias, regexp_replace(dt, '^(\\d{{4}}):(\\d{{2}}):(\\d{{2}})', '\\1-\\2-\\3') AS time FROM x"""
+)
 def exif_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers as text."""
-    return table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal") >= 1, F.format_string("%.3fs", F.col("c_acctbal"))).otherwise("1/x").alias("shutter"), F.format_string("%05d", F.col("c_nationkey")).alias("code"))
+    """A camera's numbers as a reader wants them: focal length, aperture, shutter time, exposure bias and time."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    two = F.lpad((F.pmod(size, F.lit(12)) + 1).cast("string"), 2, "0")
+    x = table(spark, sf_dir, "part").select(key, size.alias("focal"), (size * 7 / 10.0).alias("fnum"), (size * size * 3.0).alias("exp"), ((F.pmod(key, F.lit(7)) - 3) / 3.0).alias("bias"), F.concat(F.lit("2024:"), two, F.lit(":05 10:00")).alias("dt"))
+    seconds = F.try_divide(F.lit(1.0), F.col("exp"))
+    shutter = F.when(seconds < 0.001, F.concat(F.lit("1/"), F.floor(F.col("exp") + 0.5).cast("string"))).otherwise(F.concat(F.format_string("%.1f", seconds), F.lit("s")))
+    bias = F.concat(F.when(F.col("bias") > 0, "+").otherwise(""), F.format_string("%.2f", F.col("bias")), F.lit(" EV"))
+    aperture = F.concat(F.lit("ƒ/"), F.format_string("%.1f", F.floor(F.col("fnum") * 100 + 0.5) / 100))
+    return x.select("p_partkey", F.format_string("%.1f mm", F.col("focal").cast("double")).alias("focal"), aperture.alias("aperture"), F.when(F.col("exp") != 0, shutter).alias("shutter"), bias.alias("bias"), F.regexp_replace("dt", r"^(\d{4}):(\d{2}):(\d{2})", "$1-$2-$3").alias("time"))

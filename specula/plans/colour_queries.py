@@ -108,7 +108,7 @@ def smoothstep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {LAB}, h AS (SELECT image, degrees(atan2(round(b, 9), round(a, 9))) AS h FROM lab), p AS (SELECT image, abs((CASE WHEN h < 0 THEN h + 360 ELSE h END) - 30.0) AS d FROM h),
-t AS (SELECT image, least(greatest(1 - (CASE WHEN d > 180 THEN 360 - d ELSE d END) / 45.0, 0.0), 1.0) AS t FROM p) SELECT image, round(t * t * (3 - 2 * t), 6) AS w FROM t"""
+t AS (SELECT image, least(greatest(1 - ((CASE WHEN d > 180 THEN 360 - d ELSE d END) - 45.0 * 0.35) / (45.0 * 0.65), 0.0), 1.0) AS t FROM p) SELECT image, round(t * t * (3 - 2 * t), 6) AS w FROM t"""
 )
 def hue_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, a, b = C.linear_to_lab(*linear())

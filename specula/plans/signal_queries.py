@@ -1,4 +1,4 @@
-"""Signals in order: filters, differences, running maxima, curves. An image is one window group."""
+"""Signals in order: filters, differences, running maxima, curves. An image, one user's events, is held by one task."""
 
 from __future__ import annotations
 
@@ -19,50 +19,65 @@ def kernel(sigma: float, truncate: float = 3.0) -> list[float]:
     return [x / sum(w) for x in w]
 
 
+def reflected(at, n):
+    """A place beyond the ends of n, mirrored at them, the ends themselves repeated, however far out it is."""
+    m = F.pmod(at, 2 * n)
+    return F.when(m >= n, 2 * n - 1 - m).otherwise(m)
+
+
+def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image and s, its (id, x) in order; an image is one user's events."""
+    return signal(spark, sf_dir).groupBy("image").agg(F.array_sort(F.collect_list(F.struct("id", "x"))).alias("s"))
+
+
+def per_sample(df: DataFrame, name: str, value) -> DataFrame:
+    """image, id and ``name`` for each sample; ``value`` gets a function from place to x, the place and the number of samples."""
+    n = F.size("s")
+    of = lambda e, k: F.struct(e["id"].alias("id"), F.round(value(lambda at: F.get("s", at)["x"], k, n), 8).alias(name))
+    return df.select("image", F.explode(F.transform("s", of)).alias("e")).select("image", "e.id", f"e.{name}")
+
+
 def filtered(weights: list[float]):
-    """A weighted sum of the neighbours in order; beyond the ends the signal is reflected, the end itself repeated."""
-    radius, order = len(weights) // 2, Window.partitionBy("image").orderBy("id")
-    n, k = F.count(F.lit(1)).over(Window.partitionBy("image")), F.row_number().over(order)
-    # beyond an end, place -m stands for place m - 1: the two are as far apart as 2 m - 1
-    total = None
-    for d in range(-radius, radius + 1):
-        own = F.lag("x", -d).over(order) if d < 0 else F.lead("x", d).over(order)
-        if d < 0:
-            x = F.coalesce(own, *(F.when(k == p, F.lead("x", -d - 2 * p + 1).over(order) if -d - 2 * p + 1 >= 0 else F.lag("x", 2 * p + d - 1).over(order)) for p in range(1, -d + 1)))
-        elif d > 0:
-            x = F.coalesce(own, *(F.when(n - k + 1 == p, F.lag("x", d - 2 * p + 1).over(order) if d - 2 * p + 1 >= 0 else F.lead("x", 2 * p - d - 1).over(order)) for p in range(1, d + 1)))
-        else:
-            x = F.col("x")
-        term = x * weights[d + radius]
-        total = term if total is None else total + term
-    return total
+    """A weighted sum of the neighbours in order, the signal reflected beyond its ends."""
+    radius = len(weights) // 2
+    return lambda x, k, n: sum(x(reflected(k + d, n)) * weights[d + radius] for d in range(-radius, radius + 1))
 
 
 def _filtered_sql(weights: list[float], name: str = "y") -> str:
     radius = len(weights) // 2
     w = ", ".join(f"({d}, {weights[d + radius]!r})" for d in range(-radius, radius + 1))
+    m = "((s.k - 1 + k.d) % (2 * s.n) + 2 * s.n) % (2 * s.n)"
     return f"""kern_{name} AS (SELECT * FROM (VALUES {w}) t(d, w)), {name} AS (SELECT s.image, s.id, any_value(s.x) AS x, sum(k.w * o.x) AS y FROM numbered s CROSS JOIN kern_{name} k
-JOIN numbered o ON o.image = s.image AND o.k = CASE WHEN s.k + k.d < 1 THEN 1 - (s.k + k.d) WHEN s.k + k.d > s.n THEN 2 * s.n + 1 - (s.k + k.d) ELSE s.k + k.d END GROUP BY s.image, s.id)"""
+JOIN numbered o ON o.image = s.image AND o.k = 1 + CASE WHEN {m} >= s.n THEN 2 * s.n - 1 - {m} ELSE {m} END GROUP BY s.image, s.id)"""
 
 
 NUMBERED = f"{SIG}, numbered AS (SELECT image, id, x, row_number() OVER (PARTITION BY image ORDER BY id) AS k, count(*) OVER (PARTITION BY image) AS n FROM sig)"
-SHARP, WIDE = kernel(0.8), kernel(1.4)
+SHARP = kernel(0.8)
+#: Shares of three Gaussians that stand for an exponential spread, and their sigmas over its decay.
+EXPONENTIAL = ((0.1633, 0.5360), (0.6496, 1.5236), (0.1870, 2.7684))
 
 
 @query(f"WITH {NUMBERED}, {_filtered_sql(SHARP)} SELECT image, id, round(y, 8) AS y FROM y")
 def gauss_fir_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal(spark, sf_dir).select("image", "id", F.round(filtered(SHARP), 8).alias("y"))
+    return per_sample(arrays(spark, sf_dir), "y", filtered(SHARP))
 
 
 @query(f"WITH {NUMBERED}, {_filtered_sql(SHARP)} SELECT image, id, round(x + 0.7 * (x - y), 8) AS y FROM y")
 def unsharp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal(spark, sf_dir).select("image", "id", F.round(F.col("x") + 0.7 * (F.col("x") - filtered(SHARP)), 8).alias("y"))
+    return per_sample(arrays(spark, sf_dir), "y", lambda x, k, n: x(k) + 0.7 * (x(k) - filtered(SHARP)(x, k, n)))
+
 
+def mixture(decay: float) -> list[float]:
+    """Weights of the three Gaussians together."""
+    parts = [(share, kernel(ratio * decay)) for share, ratio in EXPONENTIAL]
+    radius = max(len(w) // 2 for _, w in parts)
+    return [sum(share * w[d + len(w) // 2] for share, w in parts if abs(d) <= len(w) // 2) for d in range(-radius, radius + 1)]
 
-@query(f"WITH {NUMBERED}, {_filtered_sql(SHARP)}, {_filtered_sql(WIDE, 'z')} SELECT image, id, round(0.6 * y.y + 0.4 * z.y, 8) AS y FROM y JOIN z USING (image, id)")
+
+@query(f"WITH {NUMBERED}, {', '.join(_filtered_sql(kernel(ratio), f'y{k}') for k, (_, ratio) in enumerate(EXPONENTIAL))} SELECT image, id, round({' + '.join(f'{share} * y{k}.y' for k, (share, _) in enumerate(EXPONENTIAL))}, 8) AS y FROM y0 JOIN y1 USING (image, id) JOIN y2 USING (image, id)")
 def exp_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An exponential spread as a mixture of two Gaussians."""
-    return signal(spark, sf_dir).select("image", "id", F.round(0.6 * filtered(SHARP) + 0.4 * filtered(WIDE), 8).alias("y"))
+    """An exponential spread as a mixture of three Gaussians, in one pass."""
+    return per_sample(arrays(spark, sf_dir), "y", filtered(mixture(1.0)))
 
 
 @query(f"WITH {SIG} SELECT image, id, round(max(x) OVER (PARTITION BY image ORDER BY id ROWS UNBOUNDED PRECEDING), 8) AS y FROM sig")
@@ -82,16 +97,25 @@ def monotonicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SIG}, d AS (SELECT image, id, x - lag(x) OVER w AS a, lead(x) OVER w - x AS b FROM sig WINDOW w AS (PARTITION BY image ORDER BY id))
-SELECT image, id, round(CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a WHEN a * b <= 0 THEN 0.0 ELSE 2 * a * b / (a + b) END, 8) AS slope FROM d"""
+    f"""WITH {NUMBERED}, d AS (SELECT image, id, k, n, x - lag(x) OVER w AS a, lead(x) OVER w - x AS b, lag(x) OVER w - lag(x, 2) OVER w AS a2, lead(x, 2) OVER w - lead(x) OVER w AS b2 FROM numbered WINDOW w AS (PARTITION BY image ORDER BY id)),
+e AS (SELECT image, id, k, n, a, b, CASE WHEN k = 1 THEN b ELSE a END AS d0, CASE WHEN k = 1 THEN b2 ELSE a2 END AS d1 FROM d)
+SELECT image, id, round(CASE WHEN n = 1 THEN 0.0 WHEN n = 2 THEN d0 WHEN k > 1 AND k < n THEN CASE WHEN a * b <= 0 THEN 0.0 ELSE 2 * a * b / (a + b) END
+WHEN (3 * d0 - d1) * d0 <= 0 THEN 0.0 WHEN d0 * d1 < 0 AND abs(0.5 * (3 * d0 - d1)) > abs(3 * d0) THEN 3 * d0 ELSE 0.5 * (3 * d0 - d1) END, 8) AS slope FROM e"""
 )
 def pchip_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slopes of a monotone cubic: harmonic means inside, 0 where the signal turns, one-sided at the ends."""
-    w = Window.partitionBy("image").orderBy("id")
-    d = signal(spark, sf_dir).select("image", "id", (F.col("x") - F.lag("x").over(w)).alias("a"), (F.lead("x").over(w) - F.col("x")).alias("b"))
-    a, b = F.col("a"), F.col("b")
-    slope = F.when(a.isNull(), b).when(b.isNull(), a).when(a * b <= 0, 0.0).otherwise(2 * a * b / (a + b))
-    return d.select("image", "id", F.round(slope, 8).alias("slope"))
+    """Slopes of a monotone cubic: harmonic means inside, 0 where the signal turns, limited three-point ones at the ends."""
+
+    def slope(x, k, n):
+        a, b = x(k) - x(k - 1), x(k + 1) - x(k)
+        inside = F.when(a * b <= 0, 0.0).otherwise(F.try_divide(2 * a * b, a + b))
+        first = k == 0
+        d0 = F.when(first, b).otherwise(a)
+        d1 = F.when(first, x(k + 2) - x(k + 1)).otherwise(x(k - 1) - x(k - 2))
+        three = 0.5 * (3 * d0 - d1)
+        end = F.when(three * d0 <= 0, 0.0).when((d0 * d1 < 0) & (F.abs(three) > F.abs(3 * d0)), 3 * d0).otherwise(three)
+        return F.when(n == 1, 0.0).when(n == 2, d0).when((k > 0) & (k < n - 1), inside).otherwise(end)
+
+    return per_sample(arrays(spark, sf_dir), "slope", slope)
 
 
 def interpolated(x, knots: list[tuple[float, float]]):

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from specula.functions import colour as C
-from specula.plans.colour_queries import LAB, LIN, RGB, channels, linear, luma_sql
+from specula.plans.colour_queries import LAB, LIN, RGB, channels, f_sql, lin_sql, linear, luma_sql, row_sql
 from specula.plans.registry import query
-from specula.sources.tables import PX, SIG, pixels, signal, table
+from specula.sources.tables import FRAME, HEIGHT, PX, SIG, WIDTH, frames, pixels, signal, table
 
 
 def percentile(column: str, *points: float):
@@ -32,22 +32,43 @@ def summary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("image", F.round("top", 8).alias("top"), *(F.round(F.col("p")[k], 8).alias(n) for k, n in enumerate(("p99", "p95", "p50"))), F.round("mean", 8).alias("mean"))
 
 
-@query(f"WITH {PX}, l AS (SELECT image, {luma_sql()} * 255 AS y FROM px) SELECT image, round(avg(CAST(y <= 3 AS INT)), 8) AS le3, round(avg(CAST(y <= 10 AS INT)), 8) AS le10, round(avg(CAST(y >= 252 AS INT)), 8) AS ge252, round(avg(CAST(y >= 245 AS INT)), 8) AS ge245 FROM l GROUP BY image")
+def _squeeze_sql(clip: str, pile: str) -> str:
+    return f"round(CASE WHEN {clip} <= 1e-4 AND {pile} <= 0.03 THEN 1.0 ELSE greatest(0.0, 1 - {pile} / 0.03 * 0.6) END, 6)"
+
+
+@query(
+    f"""WITH {PX}, l AS (SELECT image, {luma_sql()} * 255 AS y FROM px), h AS (SELECT image, avg(CAST(y <= 3 AS INT)) AS le3, avg(CAST(y <= 10 AS INT)) AS le10, avg(CAST(y >= 252 AS INT)) AS ge252, avg(CAST(y >= 245 AS INT)) AS ge245 FROM l GROUP BY image)
+SELECT image, {', '.join(f'round({c}, 8) AS {c}' for c in ('le3', 'le10', 'ge252', 'ge245'))}, {_squeeze_sql('le3', 'le10')} AS squeeze_lo, {_squeeze_sql('ge252', 'ge245')} AS squeeze_hi FROM h"""
+)
 def health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of pixels at and near either end, and how much that end may still be pressed."""
     y = C.luma(*channels()) * 255
-    share = lambda test, name: F.round(F.avg(test.cast("int")), 8).alias(name)
-    return pixels(spark, sf_dir).groupBy("image").agg(share(y <= 3, "le3"), share(y <= 10, "le10"), share(y >= 252, "ge252"), share(y >= 245, "ge245"))
+    share = lambda test, name: F.avg(test.cast("int")).alias(name)
+    h = pixels(spark, sf_dir).groupBy("image").agg(share(y <= 3, "le3"), share(y <= 10, "le10"), share(y >= 252, "ge252"), share(y >= 245, "ge245"))
+    squeeze = lambda clip, pile: F.round(F.when((F.col(clip) <= 1e-4) & (F.col(pile) <= 0.03), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col(pile) / 0.03 * 0.6)), 6)
+    return h.select("image", *(F.round(c, 8).alias(c) for c in ("le3", "le10", "ge252", "ge245")), squeeze("le3", "le10").alias("squeeze_lo"), squeeze("ge252", "ge245").alias("squeeze_hi"))
+
+
+#: The share of an image that fills a bar, and the bars' power.
+FULL_BAR, BAR_POWER = 0.07, 0.45
 
 
 @query(
-    f"""WITH {SIG}, n AS (SELECT image, least(CAST(floor(x * 255) AS INT), 255) AS bin, count(*) AS n FROM sig GROUP BY 1, 2), i AS (SELECT DISTINCT image FROM sig)
-SELECT i.image, CAST(g.bin AS INT) AS bin, coalesce(n.n, 0) AS n FROM i CROSS JOIN (SELECT unnest(generate_series(0, 255)) AS bin) g LEFT JOIN n ON n.image = i.image AND n.bin = g.bin"""
+    f"""WITH {PX}, c AS (SELECT image, 'y' AS channel, CAST(floor({luma_sql()} * 255) AS INT) AS bin FROM px UNION ALL {' UNION ALL '.join(f"SELECT image, '{c}', CAST(round_even({c} * 255, 0) AS INT) FROM px" for c in RGB)}),
+n AS (SELECT image, channel, bin, count(*) AS n FROM c GROUP BY 1, 2, 3), t AS (SELECT image, channel, sum(n) AS total, coalesce(sum(n) FILTER (WHERE bin = 0), 0) AS low, coalesce(sum(n) FILTER (WHERE bin = 255), 0) AS high FROM n GROUP BY 1, 2)
+SELECT t.image, t.channel, CAST(g.bin AS INT) AS bin, round(power(least(coalesce(n.n, 0) / (total * {FULL_BAR}), 1.0), {BAR_POWER}), 6) AS height, round(low / total, 8) AS low, round(high / total, 8) AS high
+FROM t CROSS JOIN (SELECT unnest(generate_series(0, 255)) AS bin) g LEFT JOIN n ON n.image = t.image AND n.channel = t.channel AND n.bin = g.bin"""
 )
 def histogram256(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 256 bins of each image, empty ones too: each image's bins are filled from its own map of counts."""
-    n = signal(spark, sf_dir).groupBy("image", F.least(F.floor(F.col("x") * 255), F.lit(255)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    counts = n.groupBy("image").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))  # 256 entries at most
-    return counts.select("image", "m", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("bin")).select("image", "bin", F.coalesce(F.try_element_at("m", F.col("bin")), F.lit(0)).alias("n"))
+    """Bars of luma, red, green and blue, all 256 bins, and the shares of the first and last: filled from each channel's own counts."""
+    r, g, b = channels()
+    bins = F.array(F.struct(F.lit("y").alias("channel"), F.floor(C.luma(r, g, b) * 255).cast("int").alias("bin")), *(F.struct(F.lit(n).alias("channel"), C.to_byte(c).alias("bin")) for n, c in zip(RGB, (r, g, b), strict=True)))
+    n = pixels(spark, sf_dir).select("image", F.explode(bins).alias("c")).groupBy("image", "c.channel", "c.bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = n.groupBy("image", "channel").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"), F.sum("n").alias("total"))  # 256 entries at most
+    of = lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0))
+    rows = counts.select("image", "channel", "m", "total", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("bin"))
+    height = F.pow(F.least(of(F.col("bin")) / (F.col("total") * FULL_BAR), F.lit(1.0)), F.lit(BAR_POWER))
+    return rows.select("image", "channel", "bin", F.round(height, 6).alias("height"), F.round(of(F.lit(0)) / F.col("total"), 8).alias("low"), F.round(of(F.lit(255)) / F.col("total"), 8).alias("high"))
 
 
 @query(f"WITH {LIN} SELECT image, round(log2(greatest(quantile_cont({luma_sql()}, 0.5), 1e-9) / 0.18), 8) AS ev FROM lin GROUP BY image")
@@ -77,17 +98,25 @@ def geo_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).groupBy("image").agg(F.round(mean("r"), 8).alias("r"), F.round(mean("g"), 8).alias("g"), F.round(1 / mean("b"), 6).alias("b_factor"))
 
 
+def _gain_sql(c: str) -> str:
+    m = "greatest(m{c}, 1e-6)"
+    return f"CASE WHEN cover >= 0.02 THEN round(least(greatest((({m.format(c='r')} + {m.format(c='g')} + {m.format(c='b')}) / 3) / {m.format(c=c)}, 0.75), 1.25), 6) ELSE 1.0 END"
+
+
 @query(
-    f"""WITH {PX}, s AS (SELECT *, greatest(r, g, b) > 0.1 AND greatest(r, g, b) < 0.98 AS sel FROM px), m AS (SELECT image, avg(r) FILTER (WHERE sel) AS r, avg(g) FILTER (WHERE sel) AS g, avg(b) FILTER (WHERE sel) AS b, avg(CAST(sel AS INT)) AS cover FROM s GROUP BY image)
-SELECT image, round(cover, 8) AS cover, CASE WHEN cover >= 0.05 THEN round(least(greatest(g / r, 0.5), 2.0), 8) ELSE 1.0 END AS gain_r, CASE WHEN cover >= 0.05 THEN round(least(greatest(g / b, 0.5), 2.0), 8) ELSE 1.0 END AS gain_b FROM m"""
+    f"""WITH {PX}, s AS (SELECT *, (CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) ELSE 0.0 END) < 0.22 AND {luma_sql()} > 0.05 AND {luma_sql()} < 0.95 AS sel FROM px),
+m AS (SELECT image, {', '.join(f'avg({lin_sql(c)}) FILTER (WHERE sel) AS m{c}' for c in RGB)}, avg(CAST(sel AS INT)) AS cover FROM s GROUP BY image)
+SELECT image, round(cover, 8) AS cover, {', '.join(f'{_gain_sql(c)} AS gain_{c}' for c in RGB)} FROM m"""
 )
 def grey_world(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clipped gains that make the mean of well-exposed pixels grey; 1 where they are under a twentieth."""
-    top = F.greatest(*channels())
-    df = pixels(spark, sf_dir).withColumn("sel", (top > 0.1) & (top < 0.98))
-    means = df.groupBy("image").agg(*(F.avg(F.when(F.col("sel"), F.col(c))).alias(c) for c in RGB), F.avg(F.col("sel").cast("int")).alias("cover"))
-    gain = lambda c: F.when(F.col("cover") >= 0.05, F.round(F.least(F.greatest(F.col("g") / F.col(c), F.lit(0.5)), F.lit(2.0)), 8)).otherwise(1.0)
-    return means.select("image", F.round("cover", 8).alias("cover"), gain("r").alias("gain_r"), gain("b").alias("gain_b"))
+    """Gains of at most a quarter that make the mean light of unsaturated middle greys grey; 1 where they are under a fiftieth."""
+    r, g, b = channels()
+    y = C.luma(r, g, b)
+    df = pixels(spark, sf_dir).withColumn("sel", (C.saturation(r, g, b) < 0.22) & (y > 0.05) & (y < 0.95))
+    means = df.groupBy("image").agg(*(F.avg(F.when(F.col("sel"), C.srgb_to_linear(F.col(c)))).alias(f"m{c}") for c in RGB), F.avg(F.col("sel").cast("int")).alias("cover"))
+    m = {c: F.greatest(F.col(f"m{c}"), F.lit(1e-6)) for c in RGB}
+    gain = lambda c: F.when(F.col("cover") >= 0.02, F.round(F.least(F.greatest(((m["r"] + m["g"] + m["b"]) / 3) / m[c], F.lit(0.75)), F.lit(1.25)), 6)).otherwise(1.0)
+    return means.select("image", F.round("cover", 8).alias("cover"), *(gain(c).alias(f"gain_{c}") for c in RGB))
 
 
 @query(f"WITH {PX} SELECT image, {', '.join(f'ceil(round(max({c}) * 1.05 * 10000, 6)) / 10000 AS top_{c}' for c in RGB)}, floor(round((min(r) - 0.1) * 10000, 6)) / 10000 AS low FROM px GROUP BY image")
@@ -105,74 +134,102 @@ def pct_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("stage", F.round(100 * F.col("spent") / F.sum("spent").over(Window.partitionBy()), 6).alias("pct"), rank.alias("rank"), (rank <= 3).alias("flagged"))
 
 
-def _weighted(weight_sql: str) -> str:
-    return f"WITH {SIG}, p AS (SELECT image, x, row_number() OVER (PARTITION BY image ORDER BY id) AS k, count(*) OVER (PARTITION BY image) AS n FROM sig), w AS (SELECT image, x, abs(k - (n + 1) / 2.0) / n * 2 AS d, {weight_sql} AS w FROM p) SELECT image, round(CASE WHEN sum(w) > 0 THEN log2(greatest(sum(w * x) / sum(w), 1e-9) / 0.18) ELSE 0.0 END, 6) AS ev FROM w GROUP BY image"
+X, Y = f"(x / {WIDTH}.0 - 0.5)", f"((y / {HEIGHT}.0 - 0.5) * ({HEIGHT} / {WIDTH}.0))"
+RADIUS = f"sqrt({X} * {X} + {Y} * {Y})"
+
+
+def _ev(exposure) -> F:
+    """The correction that brings a measured exposure to middle grey, in stops."""
+    return F.round(F.when(exposure > 0, -F.log2(exposure / 0.184)).otherwise(0.0), 6).alias("ev")
 
 
-def metered(spark: SparkSession, sf_dir: str, weight) -> DataFrame:
-    """Exposure value of each signal by a weight of the place in it; an image is one window group."""
-    one = Window.partitionBy("image")
-    df = signal(spark, sf_dir).withColumns({"k": F.row_number().over(one.orderBy("id")), "n": F.count(F.lit(1)).over(one)})
-    df = df.withColumn("d", F.abs(F.col("k") - (F.col("n") + 1) / 2.0) / F.col("n") * 2).withColumn("w", weight)
-    mean = F.sum(F.col("w") * F.col("x")) / F.sum("w")
-    return df.groupBy("image").agg(F.round(F.when(F.sum("w") > 0, F.log2(F.greatest(mean, F.lit(1e-9)) / 0.18)).otherwise(0.0), 6).alias("ev"))
+def _ev_sql(exposure: str) -> str:
+    return f"round(CASE WHEN {exposure} > 0 THEN -log2({exposure} / 0.184) ELSE 0.0 END, 6) AS ev"
 
 
-@query(f"WITH {SIG} SELECT image, round(log2(greatest(avg(x), 1e-9) / 0.18), 6) AS ev FROM sig GROUP BY image")
+def radial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with d, a pixel's distance from the middle, the long edge being 1. Geometry is known, so no window is needed."""
+    x, y = F.col("x") / float(WIDTH) - 0.5, (F.col("y") / float(HEIGHT) - 0.5) * (HEIGHT / WIDTH)
+    return frames(spark, sf_dir).withColumn("d", F.sqrt(x * x + y * y))
+
+
+@query(f"WITH {SIG} SELECT image, round(-log2(greatest(avg(x), 1e-9) / 0.184), 6) AS ev FROM sig GROUP BY image")
 def meter_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal(spark, sf_dir).groupBy("image").agg(F.round(F.log2(F.greatest(F.avg("x"), F.lit(1e-9)) / 0.18), 6).alias("ev"))
+    return signal(spark, sf_dir).groupBy("image").agg(F.round(-F.log2(F.greatest(F.avg("x"), F.lit(1e-9)) / 0.184), 6).alias("ev"))
 
 
-@query(f"WITH {SIG} SELECT image, round(log2(greatest(quantile_cont(x, 0.5), 1e-9) / 0.18), 6) AS ev FROM sig GROUP BY image")
+@query(f"WITH {SIG} SELECT image, round(-log2(greatest(quantile_cont(x, 0.5), 1e-9) / 0.184), 6) AS ev FROM sig GROUP BY image")
 def meter_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal(spark, sf_dir).groupBy("image").agg(F.round(F.log2(F.greatest(F.expr("percentile(x, 0.5)"), F.lit(1e-9)) / 0.18), 6).alias("ev"))
+    return signal(spark, sf_dir).groupBy("image").agg(F.round(-F.log2(F.greatest(F.expr("percentile(x, 0.5)"), F.lit(1e-9)) / 0.184), 6).alias("ev"))
 
 
-@query(_weighted("exp(-power(abs(k - (n + 1) / 2.0) / n * 2, 2) / (2 * 0.2 * 0.2))"))
+@query(f"WITH {FRAME}, m AS (SELECT image, v, exp(-({X} * {X} + {Y} * {Y}) / 0.08) AS w FROM frame), e AS (SELECT image, sum(v * w) / sum(w) AS e FROM m GROUP BY image) SELECT image, {_ev_sql('e')} FROM e")
 def meter_center(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metered(spark, sf_dir, F.exp(-F.pow("d", F.lit(2.0)) / (2 * 0.2 * 0.2)))
+    """Weights fall off from the middle as a Gaussian of 0.2 of the long edge."""
+    w = F.exp(-F.col("d") * F.col("d") / (2 * 0.2 * 0.2))
+    return radial(spark, sf_dir).groupBy("image").agg(_ev(F.sum(F.col("v") * w) / F.sum(w)))
 
 
-@query(_weighted("CASE WHEN abs(k - (n + 1) / 2.0) / n * 2 <= 0.25 THEN 1.0 ELSE 0.0 END"))
+@query(f"WITH {FRAME}, e AS (SELECT image, coalesce(avg(v) FILTER (WHERE {RADIUS} < 0.15), avg(v)) AS e FROM frame GROUP BY image) SELECT image, {_ev_sql('e')} FROM e")
 def meter_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metered(spark, sf_dir, F.when(F.col("d") <= 0.25, 1.0).otherwise(0.0))
+    """Pixels within 0.15 of the long edge; all, where there are none."""
+    return radial(spark, sf_dir).groupBy("image").agg(_ev(F.coalesce(F.avg(F.when(F.col("d") < 0.15, F.col("v"))), F.avg("v"))))
+
 
+RINGS = ((0.0, 0.05, 0.5), (0.05, 0.25, 0.3), (0.25, 0.5, 0.2))
 
-@query(_weighted("CASE WHEN abs(k - (n + 1) / 2.0) / n * 2 <= 0.33 THEN 1.0 WHEN abs(k - (n + 1) / 2.0) / n * 2 <= 0.66 THEN 0.5 ELSE 0.25 END"))
+
+@query(
+    f"""WITH {FRAME}, m AS (SELECT image, avg(v) AS a, {', '.join(f'avg(v) FILTER (WHERE {RADIUS} >= {lo} AND {RADIUS} < {hi}) AS m{k}' for k, (lo, hi, _) in enumerate(RINGS))} FROM frame GROUP BY image),
+e AS (SELECT image, coalesce(({' + '.join(f'coalesce(m{k} * {w}, 0)' for k, (_, _, w) in enumerate(RINGS))}) / nullif({' + '.join(f'(CASE WHEN m{k} IS NULL THEN 0.0 ELSE {w} END)' for k, (_, _, w) in enumerate(RINGS))}, 0), a) AS e FROM m) SELECT image, {_ev_sql('e')} FROM e"""
+)
 def meter_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metered(spark, sf_dir, F.when(F.col("d") <= 0.33, 1.0).when(F.col("d") <= 0.66, 0.5).otherwise(0.25))
+    """Means of three rings, weighted 0.5, 0.3 and 0.2; an empty ring drops out."""
+    d = F.col("d")
+    means = [F.avg(F.when((d >= lo) & (d < hi), F.col("v"))) for lo, hi, _ in RINGS]
+    total = sum(F.coalesce(m * w, F.lit(0.0)) for m, (_, _, w) in zip(means, RINGS, strict=True))
+    weight = sum(F.when(m.isNull(), 0.0).otherwise(w) for m, (_, _, w) in zip(means, RINGS, strict=True))
+    return radial(spark, sf_dir).groupBy("image").agg(_ev(F.coalesce(F.try_divide(total, weight), F.avg("v"))))
 
 
-@query(f"WITH {SIG} SELECT image, round(log2(greatest(sum(x * x * x) / sum(x * x), 1e-9) / 0.18), 6) AS ev FROM sig GROUP BY image")
+@query(f"WITH {SIG} SELECT image, round(-log2(greatest(CASE WHEN sum(x * x) < 1e-12 THEN avg(x) ELSE sum(x * x * x) / nullif(sum(x * x), 0) END, 1e-9) / 0.184), 6) AS ev FROM sig GROUP BY image")
 def meter_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("x")
-    return signal(spark, sf_dir).groupBy("image").agg(F.round(F.log2(F.greatest(F.sum(x * x * x) / F.sum(x * x), F.lit(1e-9)) / 0.18), 6).alias("ev"))
+    return signal(spark, sf_dir).groupBy("image").agg(F.round(-F.log2(F.greatest(F.when(F.sum(x * x) < 1e-12, F.avg(x)).otherwise(F.try_divide(F.sum(x * x * x), F.sum(x * x))), F.lit(1e-9)) / 0.184), 6).alias("ev"))
 
 
 @query(
-    f"""WITH {SIG}, z AS (SELECT image, x, CAST(floor((row_number() OVER (PARTITION BY image ORDER BY id) - 1) * 5.0 / count(*) OVER (PARTITION BY image)) AS INT) AS zone FROM sig), m AS (SELECT image, zone, avg(x) AS m FROM z GROUP BY image, zone)
-SELECT image, round(log2(greatest(sum(m * (3 - abs(zone - 2))) / sum(3 - abs(zone - 2)), 1e-9) / 0.18), 6) AS ev FROM m GROUP BY image"""
+    f"""WITH {FRAME}, z AS (SELECT image, y // {HEIGHT // 5} AS zy, x // {WIDTH // 5} AS zx, avg(v) AS m FROM frame WHERE y < {HEIGHT // 5 * 5} AND x < {WIDTH // 5 * 5} GROUP BY 1, 2, 3),
+w AS (SELECT image, m, 0.5 * (1 + cos(pi() * sqrt(power((zx - 2) / 2.0, 2) + power((zy - 2) / 2.0, 2)) / sqrt(2.0))) AS w FROM z), e AS (SELECT image, sum(w * m) / sum(w) AS e FROM w GROUP BY image) SELECT image, {_ev_sql('e')} FROM e"""
 )
 def meter_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means of five zones, the middle ones weighing more."""
-    one = Window.partitionBy("image")
-    zone = F.floor((F.row_number().over(one.orderBy("id")) - 1) * 5.0 / F.count(F.lit(1)).over(one)).cast("int")
-    means = signal(spark, sf_dir).withColumn("zone", zone).groupBy("image", "zone").agg(F.avg("x").alias("m"))
-    w = 3 - F.abs(F.col("zone") - 2)
-    return means.groupBy("image").agg(F.round(F.log2(F.greatest(F.sum(F.col("m") * w) / F.sum(w), F.lit(1e-9)) / 0.18), 6).alias("ev"))
+    """Means of 5 x 5 cells, weighted by a raised cosine of their distance from the middle one."""
+    h, w = HEIGHT // 5, WIDTH // 5
+    zy, zx = F.call_function("div", F.col("y"), F.lit(h)), F.call_function("div", F.col("x"), F.lit(w))
+    cells = frames(spark, sf_dir).where((F.col("y") < 5 * h) & (F.col("x") < 5 * w)).groupBy("image", zy.alias("zy"), zx.alias("zx")).agg(F.avg("v").alias("m"))
+    apart = F.sqrt(F.pow((F.col("zx") - 2) / 2.0, F.lit(2.0)) + F.pow((F.col("zy") - 2) / 2.0, F.lit(2.0))) / (2.0**0.5)
+    weight = 0.5 * (1 + F.cos(apart * 3.141592653589793))
+    return cells.groupBy("image").agg(_ev(F.sum(F.col("m") * weight) / F.sum(weight)))
+
+
+def _ramp_sql(x: str, lo: str, hi: str) -> str:
+    t = f"least(greatest(({x} - ({lo})) / nullif(({hi}) - ({lo}), 0), 0.0), 1.0)"
+    return f"coalesce({t} * {t} * (3 - 2 * {t}), 0.0)"
 
 
 @query(
-    f"""WITH {LAB}, q AS (SELECT image, quantile_cont(l, 0.10) AS p10, quantile_cont(l, 0.25) AS p25, quantile_cont(l, 0.75) AS p75 FROM lab GROUP BY image)
-SELECT q.image, round(avg(least(greatest((p25 - l) / nullif(p25 - p10, 0), 0.0), 1.0)), 6) AS shadow, round(avg(least(greatest((l - p25) / nullif(p75 - p25, 0), 0.0), 1.0)), 6) AS high FROM lab JOIN q USING (image) GROUP BY q.image"""
+    f"""WITH {LAB}, q AS (SELECT image, quantile_cont(l, 0.10) AS p10, quantile_cont(l, 0.25) AS p25, quantile_cont(l, 0.75) AS p75, greatest(quantile_cont(l, 0.75) - quantile_cont(l, 0.25), 1.0) AS span FROM lab GROUP BY image)
+SELECT q.image, round(avg(1 - {_ramp_sql('l', 'p25', 'p25 + 0.75 * span')}), 6) AS shadow, round(avg({_ramp_sql('l', 'p75 - 0.75 * span', 'p75')}), 6) AS high, round(avg(1 - {_ramp_sql('l', 'p10', 'p10 + 0.25 * span')}), 6) AS deep FROM lab JOIN q USING (image) GROUP BY q.image"""
 )
 def soft_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean soft weights of shadows and highlights, anchored at each image's own percentiles."""
+    """Mean soft weights of shadows, highlights and the deepest shadows, anchored at each image's own percentiles."""
     lab = pixels(spark, sf_dir).select("image", C.linear_to_lab(*linear())[0].alias("l"))
     q = lab.groupBy("image").agg(percentile("l", 0.10, 0.25, 0.75).alias("p"))
-    p10, p25, p75 = (F.col("p")[k] for k in range(3))
-    ramp = lambda top, span: F.least(F.greatest(top / F.nullif(span, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    return lab.join(q, "image").groupBy("image").agg(F.round(F.avg(ramp(p25 - F.col("l"), p25 - p10)), 6).alias("shadow"), F.round(F.avg(ramp(F.col("l") - p25, p75 - p25)), 6).alias("high"))
+    q = q.select("image", *(F.col("p")[k].alias(n) for k, n in enumerate(("p10", "p25", "p75"))), F.greatest(F.col("p")[2] - F.col("p")[1], F.lit(1.0)).alias("span"))
+    p10, p25, p75, span = (F.col(c) for c in ("p10", "p25", "p75", "span"))
+    ramp = lambda lo, hi: C.smoothstep(F.col("l"), lo, hi)
+    mean = lambda w, name: F.round(F.avg(w), 6).alias(name)
+    return lab.join(q, "image").groupBy("image").agg(mean(1 - ramp(p25, p25 + 0.75 * span), "shadow"), mean(ramp(p75 - 0.75 * span, p75), "high"), mean(1 - ramp(p10, p10 + 0.25 * span), "deep"))
 
 
 @query(
@@ -204,31 +261,54 @@ def hue_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.groupBy("image", band.alias("band")).agg(F.round(F.max(F.when(d > 180, 360 - d).otherwise(d)), 5).alias("turned"))
 
 
-@query(f"WITH {PX}, o AS (SELECT image, m, row_number() OVER (PARTITION BY image ORDER BY m DESC) AS k, count(*) OVER (PARTITION BY image) AS n FROM (SELECT image, greatest(r, g, b) * 1.7 AS m FROM px)) SELECT image, round(greatest(0.6, least(1.0, CASE WHEN max(m) > 0 THEN 1.0 / max(m) ELSE 1.0 END)), 8) AS gain FROM o WHERE k > floor(n * 0.03) GROUP BY image")
+#: The light of display value 254/255, above which a pixel counts as clipped.
+CLIPPED = ((254 / 255 + 0.055) / 1.055) ** 2.4
+
+
+@query(
+    f"""WITH {LIN}, y AS (SELECT image, {luma_sql()} * 1.7 AS y FROM lin), o AS (SELECT image, y, row_number() OVER (PARTITION BY image ORDER BY y DESC) AS k, count(*) OVER (PARTITION BY image) AS n FROM y)
+SELECT image, round(greatest(0.6, least(1.0, CASE WHEN max(y) > 0 THEN {CLIPPED!r} / max(y) ELSE 1.0 END)), 6) AS gain FROM o WHERE k > floor(n * 0.03) GROUP BY image"""
+)
 def clip_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest gain, 0.6 to 1, that leaves at most 3 % of pixels over 1: an order statistic instead of a search.
+    """The largest gain, 0.6 to 1, that leaves the luma of at most 3 % of pixels clipped: an order statistic instead of a search.
 
     The value at a rank comes from each image's counts of values, not from its sorted rows.
     """
-    v = pixels(spark, sf_dir).select("image", (F.greatest(*channels()) * 1.7).alias("m")).groupBy("image", "m").agg(F.count(F.lit(1)).alias("c"))
+    v = pixels(spark, sf_dir).select("image", (C.luma(*linear()) * 1.7).alias("m")).groupBy("image", "m").agg(F.count(F.lit(1)).alias("c"))
     down = Window.partitionBy("image").orderBy(F.desc("m"))
     ranked = v.withColumn("upto", F.sum("c").over(down)).withColumn("n", F.sum("c").over(Window.partitionBy("image")))
     edge = ranked.where(F.col("upto") > F.floor(F.col("n") * 0.03)).groupBy("image").agg(F.max("m").alias("m"))
-    return edge.select("image", F.round(F.greatest(F.lit(0.6), F.least(F.lit(1.0), F.when(F.col("m") > 0, 1.0 / F.col("m")).otherwise(1.0))), 8).alias("gain"))
+    return edge.select("image", F.round(F.greatest(F.lit(0.6), F.least(F.lit(1.0), F.when(F.col("m") > 0, CLIPPED / F.col("m")).otherwise(1.0))), 6).alias("gain"))
 
 
-_TARGETS = "targets AS (SELECT * FROM (VALUES ('low', 35.0, 1.0), ('mid', 50.0, 2.0), ('span', 70.0, 0.5)) t(metric, target, weight))"
+#: What one style's images are measured against; only span and skin count.
+TARGETS = {"span": 82.6, "skin_l": 67.47, "skin_c": 22.81, "skin_h": 54.0}
+_H = "(CASE WHEN degrees(atan2(sb, sa)) < 0 THEN degrees(atan2(sb, sa)) + 360 ELSE degrees(atan2(sb, sa)) END)"
 
 
 @query(
-    f"""WITH {LAB}, {_TARGETS}, q AS (SELECT image, quantile_cont(l, 0.05) AS p5, quantile_cont(l, 0.5) AS p50, quantile_cont(l, 0.95) AS p95 FROM lab GROUP BY image),
-m AS (SELECT image, 'low' AS metric, p5 AS v FROM q UNION ALL SELECT image, 'mid', p50 FROM q UNION ALL SELECT image, 'span', p95 - p5 FROM q)
-SELECT image, round(sum(weight * abs(v - target)), 6) AS score, round(max(CASE WHEN metric = 'span' THEN v END), 6) AS span FROM m JOIN targets USING (metric) GROUP BY image"""
+    f"""WITH {PX.replace('px AS (SELECT', "px AS (SELECT l_returnflag = 'R' AS face,")}, lin AS (SELECT face, image, r AS dr, g AS dg, b AS db, {', '.join(f'{lin_sql(c)} AS {c}' for c in RGB)} FROM px),
+xyz AS (SELECT face, image, least(dr, dg, db) AS low, {', '.join(f"{row_sql(row, 'r', 'g', 'b')} / {w!r} AS {n}" for row, w, n in zip(C.RGB_TO_XYZ, C.WHITE, 'xyz', strict=True))} FROM lin), f AS (SELECT face, image, low, {', '.join(f'{f_sql(n)} AS {n}' for n in 'xyz')} FROM xyz),
+lab AS (SELECT face, image, low, 116 * y - 16 AS l, 500 * (x - y) AS a, 200 * (y - z) AS b, sqrt(power(500 * (x - y), 2) + power(200 * (y - z), 2)) AS c FROM f),
+q AS (SELECT image, quantile_cont(l, 0.5) AS l50, quantile_cont(l, 0.95) - quantile_cont(l, 0.05) AS span, quantile_cont(c, 0.5) AS c50, quantile_cont(c, 0.9) AS c90, quantile_cont(l, 0.25) AS p25, quantile_cont(l, 0.75) AS p75, quantile_cont(b, 0.5) AS b50,
+100 * avg(CAST(low >= {254 / 255!r} AS INT)) AS clip, count(*) FILTER (WHERE face) AS skin_n, quantile_cont(l, 0.5) FILTER (WHERE face) AS sl, quantile_cont(c, 0.5) FILTER (WHERE face) AS sc, quantile_cont(a, 0.5) FILTER (WHERE face) AS sa, quantile_cont(b, 0.5) FILTER (WHERE face) AS sb FROM lab GROUP BY image),
+m AS (SELECT q.image, avg(b - b50) AS mid_db FROM lab JOIN q USING (image) WHERE l >= p25 AND l <= p75 GROUP BY q.image)
+SELECT image, round(l50, 6) AS l50, round(span, 6) AS span, round(c50, 6) AS c50, round(c90, 6) AS c90, round(mid_db, 5) AS mid_db, round(clip, 6) AS clip, skin_n,
+round(abs(span - {TARGETS['span']}) + CASE WHEN skin_n > 200 THEN abs(sl - {TARGETS['skin_l']}) + abs(sc - {TARGETS['skin_c']}) + abs({_H} - {TARGETS['skin_h']}) ELSE 0.0 END, 5) AS score FROM q JOIN m USING (image)"""
 )
 def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far each image's lightness is from its targets: percentiles, unpivoted, joined to weighted targets, summed."""
-    lab = pixels(spark, sf_dir).select("image", C.linear_to_lab(*linear())[0].alias("l"))
-    q = lab.groupBy("image").agg(percentile("l", 0.05, 0.5, 0.95).alias("p"))
-    m = q.select("image", F.col("p")[0].alias("low"), F.col("p")[1].alias("mid"), (F.col("p")[2] - F.col("p")[0]).alias("span")).unpivot("image", ["low", "mid", "span"], "metric", "v")
-    targets = F.broadcast(spark.createDataFrame([("low", 35.0, 1.0), ("mid", 50.0, 2.0), ("span", 70.0, 0.5)], "metric string, target double, weight double"))  # three rows
-    return m.join(targets, "metric").groupBy("image").agg(F.round(F.sum(F.col("weight") * F.abs(F.col("v") - F.col("target"))), 6).alias("score"), F.round(F.max(F.when(F.col("metric") == "span", F.col("v"))), 6).alias("span"))
+    """Each image's measures, and how far its span and, where it has skin enough, its skin are from their targets.
+
+    The skin mask is a column here (rows returned), where an image tool would have a segmentation's.
+    """
+    light, a, b = C.linear_to_lab(*linear())
+    face = (F.col("l_returnflag") == "R").alias("face")
+    lab = pixels(spark, sf_dir, face).select("image", "face", F.least(*channels()).alias("low"), light.alias("l"), a.alias("a"), b.alias("b"), C.chroma(a, b).alias("c"))
+    skin = lambda c: F.expr(f"percentile({c}, 0.5) FILTER (WHERE face)").alias(f"s{c}")
+    q = lab.groupBy("image").agg(percentile("l", 0.5, 0.95, 0.05, 0.25, 0.75).alias("pl"), percentile("c", 0.5, 0.9).alias("pc"), percentile("b", 0.5).alias("pb"), (100 * F.avg((F.col("low") >= 254 / 255).cast("int"))).alias("clip"), F.count_if("face").alias("skin_n"), *map(skin, "lcab"))
+    q = q.select("image", F.col("pl")[0].alias("l50"), (F.col("pl")[1] - F.col("pl")[2]).alias("span"), F.col("pl")[3].alias("p25"), F.col("pl")[4].alias("p75"), F.col("pc")[0].alias("c50"), F.col("pc")[1].alias("c90"), F.col("pb")[0].alias("b50"), "clip", "skin_n", "sl", "sc", "sa", "sb")
+    mid = lab.select("image", "l", "b").join(q.select("image", "p25", "p75", "b50"), "image").where("l between p25 and p75").groupBy("image").agg(F.avg(F.col("b") - F.col("b50")).alias("mid_db"))
+    off = lambda v, name: F.abs(v - TARGETS[name])
+    skin_off = off(F.col("sl"), "skin_l") + off(F.col("sc"), "skin_c") + off(C.hue_degrees(F.col("sa"), F.col("sb")), "skin_h")
+    score = off(F.col("span"), "span") + F.when(F.col("skin_n") > 200, skin_off).otherwise(0.0)
+    return q.join(mid, "image").select("image", *(F.round(c, 6).alias(c) for c in ("l50", "span", "c50", "c90")), F.round("mid_db", 5).alias("mid_db"), F.round("clip", 6).alias("clip"), "skin_n", F.round(score, 5).alias("score"))

@@ -47,8 +47,7 @@ SELECT c.image, {', '.join(f'round(p0.{k} * (1 - hi) + p1.{k} * (hi - mid) + p2.
 {_corner_join('p0', '0')} {_corner_join('p1', "CAST(substr(o, 1, 1) = '{c}' AS INT)")} {_corner_join('p2', "CAST(substr(o, 3, 1) <> '{c}' AS INT)")} {_corner_join('p3', '1')}"""
 )
 def lut_tetrahedral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = L.baked(N, SHAPE)
-    return pixels(spark, sf_dir).select("image", *rounded(RGB, [L.tetrahedral(t, N, *channels()) for t in tables]))
+    return L.with_tetrahedra(pixels(spark, sf_dir), N).select("image", *rounded(RGB, [L.tetrahedral(t) for t in L.baked(N, SHAPE)]))
 
 
 @query(f"WITH {_LUT} SELECT ib * {N * N} + ig * {N} + ir AS line, printf('%.6f %.6f %.6f', r, g, b) AS text FROM lut")

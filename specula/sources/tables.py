@@ -14,21 +14,40 @@ def _unit(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image, r, g, b in 0 to 1, one row a pixel."""
+def pixels(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """image, r, g, b in 0 to 1, one row a pixel, with further columns of its table."""
     df = table(spark, sf_dir, "lineitem")
     return df.select(
         F.col("l_suppkey").alias("image"),
         _unit(F.col("l_quantity") / 50).alias("r"),
         _unit(1 - 10 * F.col("l_discount")).alias("g"),
         _unit(F.col("l_tax") / 0.08).alias("b"),
+        *more,
     )
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image, id (unique, in order) and x in 0 to 1: a one-dimensional signal for each event type."""
+    """image, id (unique, in order) and x in 0 to 1: a one-dimensional signal for each user, of whom more events have more."""
     df = table(spark, sf_dir, "events")
-    return df.select(F.col("event_type").alias("image"), F.col("event_id").alias("id"), F.least(F.col("value") / 500, F.lit(1.0)).alias("x"))
+    return df.select(F.col("user_id").alias("image"), F.col("event_id").alias("id"), F.least(F.col("value") / 500, F.lit(1.0)).alias("x"))
+
+
+#: Rows and columns of a frame.
+HEIGHT, WIDTH = 7, 31
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image, y, x and v in 0 to 1: images of HEIGHT x WIDTH pixels, the mean of what falls on a pixel; empty ones are absent."""
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image"), (F.col("l_linenumber") - 1).alias("y"), F.pmod("l_partkey", F.lit(WIDTH)).cast("int").alias("x"), "l_quantity")
+    return df.groupBy("image", "y", "x").agg((F.avg("l_quantity") / 50).alias("v"))
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, dir and name of files in folders two levels deep."""
+    ends = F.array(*map(F.lit, (".JPG", ".RAF", ".jpg", ".dng", ".tif", ".txt")))
+    df = table(spark, sf_dir, "part")
+    name = F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.lit("_"), F.call_function("div", F.col("p_partkey"), F.lit(2)).cast("string"), F.get(ends, F.pmod("p_size", F.lit(6))))
+    return df.select(F.col("p_partkey").alias("file_id"), F.concat(F.lit("D:/Lib/"), "p_brand", F.lit("/"), "p_type", F.lit("/")).alias("dir"), name.alias("name"))
 
 
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +70,9 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same views as SQL.
 PX = "px AS (SELECT l_suppkey AS image, least(greatest(l_quantity / 50, 0.0), 1.0) AS r, least(greatest(1 - 10 * l_discount, 0.0), 1.0) AS g, least(greatest(l_tax / 0.08, 0.0), 1.0) AS b FROM lineitem)"
-SIG = "sig AS (SELECT event_type AS image, event_id AS id, least(value / 500, 1.0) AS x FROM events)"
+SIG = "sig AS (SELECT user_id AS image, event_id AS id, least(value / 500, 1.0) AS x FROM events)"
+FRAME = "frame AS (SELECT l_suppkey AS image, l_linenumber - 1 AS y, CAST(l_partkey % 31 AS INT) AS x, avg(l_quantity) / 50 AS v FROM lineitem GROUP BY 1, 2, 3)"
+FILES = "files AS (SELECT p_partkey AS file_id, 'D:/Lib/' || p_brand || '/' || p_type || '/' AS dir, replace(p_name, ' ', '_') || '_' || CAST(p_partkey // 2 AS VARCHAR) || (['.JPG', '.RAF', '.jpg', '.dng', '.tif', '.txt'])[p_size % 6 + 1] AS name FROM part)"
 SPEC = "spec AS (SELECT vec_id AS name, label AS family, CAST(embedding AS DOUBLE[]) AS bands FROM embeddings)"
 CAT = "cat AS (SELECT o_custkey AS rel, o_orderpriority AS bucket, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority, o_orderkey AS seq FROM orders)"
 RATE = "rate AS (SELECT c_custkey AS rel, CAST(c_custkey % 7 - 1 AS INTEGER) AS star FROM customer WHERE c_custkey % 7 - 1 > 0)"
