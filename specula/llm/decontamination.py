@@ -16,8 +16,9 @@ most edits allowed, to reach ``recall`` for edits anywhere, at the head, in the
 first word with walks from first words alone, each by itself; if ``most_repetitions`` don't reach it, that is an error. Each candidate's edit distance is then computed
 exactly, hence nothing is reported that isn't one.
 
-Windows are left out only where no match can start: at a word that is in no item (a best window starts with a
-matched word), or where the words in no item already exceed the edits allowed. Nothing is sampled or capped.
+Windows are left out only where no match can start: at a word that can't be the first matched one of any item (a best
+window starts with a matched word), or where the words in no item already exceed the edits allowed. Nothing is sampled
+or capped.
 
 Items go out in blocks of at most ``block_items`` items, each broadcast by itself, so the benchmark may have any
 size; texts are mapped where they lie, whole documents at a time, without a shuffle.
@@ -109,6 +110,9 @@ class SizeClass:
             row[: len(x)] = x
         self.steps = max(SAMPLES, int(1.5 * self.low))
         self.base = vocabulary + 2
+        self.heads = np.zeros(self.base, bool)  # words that can be an item's first matched one
+        for x, n in zip(items, self.bound, strict=True):
+            self.heads[x[: n + 1]] = True
         self.repetitions = repetitions or self._fit(items, seed, vocabulary, recall, most_repetitions)
         self.family = Family(seed, self.repetitions, self.steps, vocabulary)
         self.tables = []
@@ -177,7 +181,7 @@ class SizeClass:
         padded = np.full((len(own), self.most), -1, np.int32)
         for x, y in zip(padded, own, strict=True):
             x[: len(y)] = y
-        sound = (b[sb] > 0) & (edits(padded[pb], lens[pb], np.append(b, np.zeros(self.reach, np.int64)), sb, allowed[pb]) <= allowed[pb])
+        sound = self.heads[b[sb]] & (edits(padded[pb], lens[pb], np.append(b, np.zeros(self.reach, np.int64)), sb, allowed[pb]) <= allowed[pb])
         sb, pb = sb[sound], pb[sound]
         hits = np.zeros(len(own))
         for k in range(tries):
@@ -190,7 +194,7 @@ class SizeClass:
 
     def candidates(self, symbols: np.ndarray, outside: np.ndarray, ends: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts and rows of items that agree in some repetition. ``outside``: running count of words in no item."""
-        starts = np.flatnonzero((symbols[:ends] > 0) & (outside[self.sure : ends + self.sure] - outside[:ends] <= self.bound.max()))
+        starts = np.flatnonzero(self.heads[symbols[:ends]] & (outside[self.sure : ends + self.sure] - outside[:ends] <= self.bound.max()))
         found = []
         for chunk in np.array_split(starts, max(1, len(starts) >> 17)):
             for k, (first, prefixes, keys, rows) in enumerate(self.tables):

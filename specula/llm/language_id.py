@@ -144,8 +144,10 @@ def fit(labelled: DataFrame, per_language: int = 400, in_all: int = 12_800) -> M
             x = [features(t).astype("<u4") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.astype("<f4").tobytes() for v in x], pa.binary())], names=["lang", "x"])
 
+    if len(edges) <= 10_000:
+        drawn = F.broadcast(drawn)  # a row a language
     some = rows.join(drawn, "lang").where((lot < F.col("rate")) | (F.col("lot") == F.col("least"))).select("lang", "text").distinct()
-    got = some.orderBy("lang", F.xxhash64("text"), "text").mapInArrow(run, "lang string, x binary").collect()
+    got = sorted(some.mapInArrow(run, "lang string, x binary").collect(), key=lambda r: (r["lang"], r["x"]))
     labels = [r["lang"] for r in got]
     return Model(sorted(set(labels)), np.array([np.frombuffer(r["x"], "<f4") for r in got]).reshape(-1, PLACES), labels)
 
