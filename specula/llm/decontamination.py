@@ -56,7 +56,7 @@ class Family:
 
     def __init__(self, seed: int, repetitions: int, steps: int, vocabulary: int):
         r = np.random.default_rng(seed)
-        self.bits = [r.integers(0, 2, (steps, vocabulary + 1), dtype=np.int64) for _ in range(repetitions)]
+        self.bits = [r.integers(0, 2, (steps, vocabulary + 1), dtype=np.int8) for _ in range(repetitions)]
         self.steps = [np.sort(r.choice(steps, SAMPLES, replace=False)) for _ in range(repetitions)]
 
     def traces(self, k: int, symbols: np.ndarray, starts: np.ndarray):
@@ -304,7 +304,7 @@ class Index:
         return [(k, item, d, n, at) for (k, item), (d, at, n) in sorted(best.items())]
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=2)
 def _index(items: tuple, edit_share: float, recall: float, min_words: int, repetitions: tuple) -> Index:
     return Index(list(items), edit_share, recall, min_words, list(repetitions))
 
