@@ -89,9 +89,26 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     return df.mapInArrow(run, schema_with(df, {text: T.StringType()}))
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """What ``encode`` and then ``decode`` give, in one pass of one Python process a task."""
+    automaton = shared_automaton(docs.sparkSession, path)
+
+    def run(batches):
+        a = automaton()
+        label = a.label.__getitem__
+        pack = lambda t: struct.pack(f"<{len(t)}I", *t)
+        pieces = PieceMap(lambda w: pack(a.encode(w)), b"".join, {k: pack([v]) for k, v in a.special.items()}, most=100_000)
+        for batch in blocks(batches):
+            out = [pieces.of(t or "") for t in batch.column(batch.schema.names.index(text)).to_pylist()]
+            back = [b"".join(map(label, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in out]
+            yield with_columns(batch, {ids: pa.array(out, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64()), decoded: pa.array(back, pa.string())})
+
+    return docs.mapInArrow(run, schema_with(docs, {ids: T.BinaryType(), "n_tokens": T.LongType(), decoded: T.StringType()}))
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of a document's ids and of the text decoded from them."""
-    coded = decode(encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    coded = round_trip(docs.select("doc_id", "text"), path)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

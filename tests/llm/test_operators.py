@@ -47,6 +47,8 @@ def test_codec(spark):
         assert bytes(got[k]["ids"]) == np.array(ids, "<u4").tobytes()
         assert got[k]["n_tokens"] == len(ids) and got[k]["decoded"] == (x or "")
         assert got[k]["source"] == "s"
+    both = {r["doc_id"]: (bytes(r["ids"]), r["n_tokens"], r["decoded"]) for r in bpe_codec.round_trip(docs(spark, AWKWARD), BYTE).collect()}
+    assert both == {k: (bytes(r["ids"]), r["n_tokens"], r["decoded"]) for k, r in got.items()}
     assert bpe_codec.digests(empty(spark), BYTE).count() == 0
     null = bpe_codec.decode(spark.createDataFrame([(1, None)], "doc_id long, ids binary"), BYTE).first()
     assert null["decoded"] == ""
