@@ -4,9 +4,10 @@ Fingerprints come from whole texts, by a map. Equal ones are one node. Links bet
 self-join of the binary trie of fingerprints: pairs of trie nodes are walked together, differing bits add up, and a
 pair is left when they exceed the budget. To share the walk out, the trie is built in ``bits + 1`` rotations: of two
 fingerprints within the budget at least one block of bits agrees, so in that block's rotation the walk starts in a
-common node, below the block, and each such node is walked in one task. A node with more than ``heavy`` fingerprints
-is walked one level further by Spark itself: its fingerprints are dealt out to pairs of the nodes eight bits below
-that are still within the budget, so a very large group of near copies spreads over many tasks. A fingerprint
+common node, below the block, and each such node is walked in one task. A pair of nodes with more than
+``heavy`` fingerprints is walked further by Spark itself: its fingerprints are dealt out to pairs of the nodes eight
+bits below that are still within the budget, again and again while any is too large, so a very large group of near
+copies spreads over many tasks and none holds more than ``heavy`` of one pair. A fingerprint
 has no more than 2,080 others within two bits, hence links stay in proportion to fingerprints; copies aren't
 expanded into pairs at all.
 
@@ -113,47 +114,73 @@ def _leaves(values, leaf, i, j, bits):
         yield a[near], b[near]
 
 
+#: What names a pair of trie nodes: the rotation, how many levels it was dealt out, and the nodes' leading bits.
+_PAIR = ["turn", "level", "low", "high"]
+
+
+def _dealt(rows: DataFrame, sizes: list[int], bits: int, further: int) -> DataFrame:
+    """Rows of pairs of nodes, dealt out to the pairs of nodes ``further`` bits below that are within ``bits``."""
+    masks = [m for m in range(1 << further) if m.bit_count() <= bits]
+    top = F.get(F.array(*map(F.lit, sizes)), F.col("turn"))
+    width = F.least(F.lit(further), F.lit(WIDTH) - top - F.col("level") * further)  # the last level may be narrower
+    below = F.call_function("shiftrightunsigned", "value", F.lit(WIDTH) - top - F.col("level") * further - width).bitwiseAND(F.call_function("shiftleft", F.lit(1), width) - 1)
+    longer = lambda node: F.call_function("shiftleft", node, width)
+    other = F.when(F.col("own") == F.col("low"), F.col("high")).otherwise(F.col("low"))
+    # the other node's bits below differ from a row's own in a mask; masks past the budget or the level's width fall out
+    near = F.filter(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda m: (F.bit_count(m) + F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= bits) & (m < F.call_function("shiftleft", F.lit(1), width)))
+    mine = longer(F.col("own")).bitwiseOR(below)
+    met = rows.select("turn", "level", "value", mine.alias("mine"), F.transform(near, lambda m: longer(other).bitwiseOR(below.bitwiseXOR(m))).alias("others"))
+    out = met.select("turn", (F.col("level") + 1).alias("below"), "value", "mine", F.explode("others").alias("other"))
+    return out.select("turn", F.col("below").alias("level"), F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), F.col("mine").alias("own"), "value")
+
+
+def _shared_out(rows: DataFrame, sizes: list[int], bits: int, heavy: int, further: int) -> DataFrame:
+    """``rows`` with every pair of nodes above ``heavy`` rows dealt out, level by level, until none is left.
+
+    At the last level a node is one fingerprint, so a pair has two rows and the levels end.
+    """
+    done = None
+    while True:
+        of_pair = rows.groupBy(*_PAIR).agg(F.count(F.lit(1)).alias("n"), ((F.col("low") == F.col("high")) | (F.min("own") < F.max("own"))).alias("is_met"))
+        large = written(of_pair.where(F.col("n") > max(heavy, 2)).drop("n"), "large-nodes")
+        small = rows.join(large, _PAIR, "left_anti").select(rows.columns)
+        done = small if done is None else done.unionByName(small)
+        if large.isEmpty():
+            return done
+        # a node whose fellow holds no fingerprint has no links in this pair
+        rows = written(_dealt(rows.join(large.where("is_met"), _PAIR, "left_semi").select(rows.columns), sizes, bits, further), "dealt-nodes")
+
+
 def links(nodes: DataFrame, bits: int = 2, heavy: int = 20_000, further: int = 8) -> DataFrame:
     """Pairs (a, b) of different values of ``fp`` within ``bits`` differing bits. ``nodes``: distinct values of fp."""
     turns = bits + 1
     edges = [WIDTH * k // turns for k in range(turns + 1)]
     turned = [F.expr(f"shiftleft(fp, {e}) | shiftrightunsigned(fp, {WIDTH - e})") if e else F.col("fp") for e in edges[:-1]]
     sizes = [b - a for a, b in zip(edges, edges[1:], strict=False)]
-    rows = nodes.select(F.posexplode(F.array(*[F.struct(t.alias("value"), F.shiftrightunsigned(t, WIDTH - n).alias("block")) for t, n in zip(turned, sizes, strict=True)])).alias("turn", "x")).select("turn", "x.value", "x.block")
-    large = rows.groupBy("turn", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy).select("turn", "block", F.lit(True).alias("is_large"))
-    # at most 3/heavy of the fingerprints are such nodes; which side is sent is left to Spark, by size
-    rows = rows.join(large, ["turn", "block"], "left")
-    masks = [m for m in range(1 << further) if m.bit_count() <= bits]
-    by_turn = None
-    for k in range(turns):
-        e = F.shiftrightunsigned("value", WIDTH - sizes[k] - further).bitwiseAND((1 << further) - 1)
-        by_turn = F.when(F.col("turn") == k, e) if by_turn is None else by_turn.when(F.col("turn") == k, e)
-    rows = rows.withColumn("own", F.when(F.col("is_large"), by_turn).otherwise(F.lit(0)).cast("int"))
-    others = F.when(F.col("is_large"), F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("own").bitwiseXOR(m))).otherwise(F.array(F.lit(0)))
-    dealt = rows.select("turn", "block", "own", "value", F.explode(others).alias("other")).select("turn", "block", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "value")
+    rows = nodes.select(F.posexplode(F.array(*[F.struct(t.alias("value"), F.shiftrightunsigned(t, WIDTH - n).alias("low")) for t, n in zip(turned, sizes, strict=True)])).alias("turn", "x"))
+    rows = rows.select("turn", F.lit(0).alias("level"), "x.low", F.col("x.low").alias("high"), F.col("x.low").alias("own"), "x.value")
+    dealt = _shared_out(rows, sizes, bits, heavy, further)
 
     def run(batches):
         import pyarrow as pa
 
         for t in _whole_keys(batches):
-            turn, block = t.column("turn").to_numpy(), t.column("block").to_numpy()
-            low, high, own = (t.column(c).to_numpy() for c in ("low", "high", "own"))
+            turn, level, low, high, own = (t.column(c).to_numpy() for c in (*_PAIR, "own"))
             values = t.column("value").to_numpy().view(np.uint64)
-            order = np.lexsort((values, own, high, low, block, turn))
-            turn, block, low, high, own, values = (x[order] for x in (turn, block, low, high, own, values))
+            order = np.lexsort((values, own, high, low, level, turn))
+            turn, level, low, high, own, values = (x[order] for x in (turn, level, low, high, own, values))
             new = np.ones(len(values), bool)
-            new[1:] = (turn[1:] != turn[:-1]) | (block[1:] != block[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (own[1:] != own[:-1])
+            new[1:] = (turn[1:] != turn[:-1]) | (level[1:] != level[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (own[1:] != own[:-1])
             lo = np.flatnonzero(new)
             hi = np.append(lo[1:], len(values))
             alone = low[lo] == high[lo]
             twin = np.zeros(len(lo), bool)  # the second node of a pair of different nodes
-            twin[1:] = (~alone[1:]) & (turn[lo[1:]] == turn[lo[:-1]]) & (block[lo[1:]] == block[lo[:-1]]) & (low[lo[1:]] == low[lo[:-1]]) & (high[lo[1:]] == high[lo[:-1]])
+            twin[1:] = (~alone[1:]) & (turn[lo[1:]] == turn[lo[:-1]]) & (level[lo[1:]] == level[lo[:-1]]) & (low[lo[1:]] == low[lo[:-1]]) & (high[lo[1:]] == high[lo[:-1]])
             for k in range(turns):
                 t_ = turn[lo] == k
                 a = np.flatnonzero(t_ & alone & (hi - lo > 1))
                 b = np.flatnonzero(t_ & twin)
-                # nodes of ordinary blocks and deeper ones of large blocks start at the bit below the block: the walk
-                # finds the common bits again
+                # nodes of every level start at the bit below the block: the walk finds the common bits again
                 start = np.concatenate([np.stack([lo[a], hi[a], lo[a], hi[a], 0 * a], 1), np.stack([lo[b - 1], hi[b - 1], lo[b], hi[b], 0 * b], 1)]).astype(np.int64)
                 for i, j in walk(values, start, WIDTH - 1 - sizes[k], bits):
                     e = edges[k]
@@ -161,20 +188,18 @@ def links(nodes: DataFrame, bits: int = 2, heavy: int = 20_000, further: int = 8
                     x, y = back(values[i]).view(np.int64), back(values[j]).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-    key = ["turn", "block", "low", "high"]
-    return dealt.repartition(partitions(nodes), *key).sortWithinPartitions(*key).mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.repartition(partitions(nodes), *_PAIR).sortWithinPartitions(*_PAIR).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _whole_keys(batches, most: int = 100_000):
     """Tables of at least ``most`` rows that end where a key ends; input sorted by key."""
     held, n = [], 0
-    key = ["turn", "block", "low", "high"]
     for batch in batches:
         held.append(pa.Table.from_batches([batch]))
         n += batch.num_rows
         if n >= most:
             t = pa.concat_tables(held)
-            cols = [t.column(c).to_numpy() for c in key]
+            cols = [t.column(c).to_numpy() for c in _PAIR]
             differs = np.zeros(n - 1, bool)
             for c in cols:
                 differs |= c[1:] != c[:-1]

@@ -140,6 +140,18 @@ def test_links_of_fingerprints(spark, heavy):
     assert got == want
 
 
+def test_links_in_one_deep_node(spark):
+    """Fingerprints that agree in their first 40 bits are dealt out over several levels."""
+    r = np.random.default_rng(6)
+    head = np.uint64(0xF123456789000000)
+    tails = r.integers(0, 1 << 24, 40, dtype=np.uint64)
+    near = [tails ^ (np.uint64(1) << r.integers(0, 24, 40).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 24, 40).astype(np.uint64)) for _ in range(8)]
+    v = (head | np.unique(np.concatenate([tails, *near]))).view(np.int64).tolist()
+    want = {(min(a, b), max(a, b)) for i, a in enumerate(v) for b in v[i + 1 :] if ((a ^ b) % 2**64).bit_count() <= 2}
+    nodes = spark.createDataFrame([(k,) for k in v], "fp long")
+    assert {(row["a"], row["b"]) for row in simhash.links(nodes, heavy=20).collect()} == want
+
+
 def brute_lines(texts, min_words=5):
     seen, out = [], []
 
