@@ -40,15 +40,22 @@ def _f_inverse(t: Column) -> Column:
     return F.when(t > 6 / 29, t * t * t).otherwise((t * 116 - 16) / (24389 / 27))
 
 
-def linear_to_lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    x, y, z = (_f(v / w) for v, w in zip(matrix(RGB_TO_XYZ, r, g, b), WHITE, strict=True))
+def xyz_to_lab(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    x, y, z = (_f(v / w) for v, w in zip((x, y, z), WHITE, strict=True))
     return 116 * y - 16, 500 * (x - y), 200 * (y - z)
 
 
-def lab_to_linear(light: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
+def lab_to_xyz(light: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
     y = (light + 16) / 116
-    x, z = y + a / 500, y - b / 200
-    return matrix(XYZ_TO_RGB, *(_f_inverse(v) * w for v, w in zip((x, y, z), WHITE, strict=True)))
+    return tuple(_f_inverse(v) * w for v, w in zip((y + a / 500, y, y - b / 200), WHITE, strict=True))
+
+
+def linear_to_lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    return xyz_to_lab(*matrix(RGB_TO_XYZ, r, g, b))
+
+
+def lab_to_linear(light: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
+    return matrix(XYZ_TO_RGB, *lab_to_xyz(light, a, b))
 
 
 def lightness(y: Column) -> Column:

@@ -23,5 +23,5 @@ def query(sql: str | None = None):
     return add
 
 
-for _module in ("colour_queries", "statistics_queries", "catalogue_queries", "signal_queries", "table_queries", "stage_queries", "name_queries", "frame_queries", "setting_queries"):
+for _module in ("colour_queries", "statistics_queries", "catalogue_queries", "signal_queries", "table_queries", "stage_queries", "name_queries", "frame_queries", "setting_queries", "measure_queries"):
     importlib.import_module(f"specula.plans.{_module}")

@@ -2,38 +2,108 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specula.functions import colour as C
-from specula.plans.colour_queries import LAB, LIN, RGB, linear, luma_sql, rounded
+from specula.plans.colour_queries import LAB, LIN, RGB, channels, f_inverse_sql, f_sql, lin_sql, linear, luma_sql, rounded, srgb_sql
 from specula.plans.registry import query
-from specula.sources.tables import pixels
+from specula.plans.statistics_queries import _squeeze_sql
+from specula.sources.tables import PX, pixels
 
 BANDS = [30.0 * k for k in range(10)]
 GAINS = [1.0, 1.05, 0.95, 1.1, 0.9, 1.0, 1.02, 0.98, 1.04, 0.96]
 
 
-@query(f"WITH {LIN}, y AS (SELECT image, {luma_sql()} AS y FROM lin), m AS (SELECT image, quantile_cont(y, 0.5) AS m FROM y GROUP BY image) SELECT image, round(m, 8) AS median, round(least(greatest(log2(0.18 / greatest(m, 1e-6)), -3.0), 3.0), 8) AS ev FROM m")
+#: Lightness that a style aims at for the 5th, 50th and 95th percentile; the least luminance; the gain's limit in stops.
+AIMS, LEAST, LIMIT = (10.8, 58.8, 93.7), 1e-6, 3.0
+
+
+def _aims() -> tuple[float, float, float]:
+    """Luminance of the aims, which keep apart by 2 %."""
+    low, mid, high = (((x + 16) / 116) ** 3 if x > 8 else x / (24389 / 27) for x in AIMS)
+    return min(low, mid * 0.98), mid, max(high, mid * 1.02)
+
+
+_QUANTILES = "y AS (SELECT *, {y} AS y FROM {of}), q AS (SELECT image, " + ", ".join(f"greatest(quantile_cont(greatest(y, 0.0), {p}), {LEAST}) AS q{n}" for n, p in ((5, 0.05), (50, 0.5), (95, 0.95))) + " FROM y GROUP BY image)"
+_T = "log2(greatest(y, 1e-6))"
+
+
+def _curve_sql(t5: str, t50: str, t95: str) -> str:
+    """Output over input of the curve through the ends and three points, between stops; knots that meet are pushed apart."""
+    xs = [f"log2({LEAST})", "(log2(q5) + 1e-7)", "(log2(q50) + 2e-7)", "(log2(q95) + 3e-7)"]
+    ys = [f"log2({LEAST})", f"log2({t5})", f"log2({t50})", f"log2({t95})"]
+    parts = " ".join(f"WHEN {_T} < {xs[k + 1]} THEN {ys[k]} + ({_T} - {xs[k]}) * (({ys[k + 1]} - {ys[k]}) / ({xs[k + 1]} - {xs[k]}))" for k in range(3))
+    return f"power(2, CASE {parts} ELSE {ys[3]} END) / greatest(y, {LEAST})"
+
+
+def measured(df: DataFrame, y: Column) -> DataFrame:
+    """q5, q50 and q95 of each image's luminance, exact; a row an image."""
+    p = F.percentile(F.greatest(y, F.lit(0.0)), F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+    return df.groupBy("image").agg(p.alias("p")).select("image", *(F.greatest(F.get("p", F.lit(k)), F.lit(LEAST)).alias(f"q{n}") for k, n in enumerate((5, 50, 95))))
+
+
+def curve_gain(y: Column, aims) -> Column:
+    """Output over input of a curve through the ends and three points, between stops; knots that meet are pushed apart."""
+    least = F.log2(F.lit(LEAST))
+    xs = [least, *(F.log2(F.col(f"q{n}")) + k * 1e-7 for k, n in ((1, 5), (2, 50), (3, 95)))]
+    ys = [least, *(F.log2(a) for a in aims)]
+    t = F.log2(F.greatest(y, F.lit(LEAST)))
+    part = lambda k: ys[k] + (t - xs[k]) * ((ys[k + 1] - ys[k]) / (xs[k + 1] - xs[k]))
+    out = F.when(t < xs[1], part(0)).when(t < xs[2], part(1)).when(t < xs[3], part(2)).otherwise(ys[3])
+    return F.pow(F.lit(2.0), out) / F.greatest(y, F.lit(LEAST))
+
+
+@query(
+    f"""WITH {LIN}, {_QUANTILES.format(y=luma_sql(), of='lin')} SELECT image, {', '.join(f"round(116 * {f_sql(f'q{n}')} - 16, 6) AS l{n}" for n in (5, 50, 95))}, {', '.join(f'round({a!r}, 8) AS aim{n}' for a, n in zip(_aims(), (5, 50, 95), strict=True))}, round(log2({_aims()[1]!r} / q50), 6) AS ev FROM q"""
+)
 def tone_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    y = pixels(spark, sf_dir).select("image", C.luma(*linear()).alias("y"))
-    m = y.groupBy("image").agg(F.expr("percentile(y, 0.5)").alias("m"))
-    ev = F.least(F.greatest(F.log2(0.18 / F.greatest("m", F.lit(1e-6))), F.lit(-3.0)), F.lit(3.0))
-    return m.select("image", F.round("m", 8).alias("median"), F.round(ev, 8).alias("ev"))
+    """Where each image's dark, middle and bright percentiles lie, where a style wants them, and the stops between the middles."""
+    q = measured(pixels(spark, sf_dir), C.luma(*linear()))
+    aims = (F.round(F.lit(a), 8).alias(f"aim{n}") for a, n in zip(_aims(), (5, 50, 95), strict=True))
+    return q.select("image", *(F.round(C.lightness(F.col(f"q{n}")), 6).alias(f"l{n}") for n in (5, 50, 95)), *aims, F.round(F.log2(F.lit(_aims()[1]) / F.col("q50")), 6).alias("ev"))
 
 
 @query(
-    f"""WITH {LIN}, y AS (SELECT *, {luma_sql()} AS y FROM lin), m AS (SELECT image, power(2, least(greatest(log2(0.18 / greatest(quantile_cont(y, 0.5), 1e-6)), -3.0), 3.0)) AS k FROM y GROUP BY image), g AS (SELECT y.image, r * k AS r, g * k AS g, b * k AS b FROM y JOIN m USING (image))
-SELECT image, {', '.join(f'round(CASE WHEN {c} <= 0.8 THEN {c} ELSE 0.8 + 0.2 * (1 - exp(-({c} - 0.8) / 0.2)) END, 8) AS {c}' for c in RGB)} FROM g"""
+    f"""WITH {LIN}, {_QUANTILES.format(y=luma_sql(), of='lin')}, k AS (SELECT image, r, g, b, least(greatest({_curve_sql(*map(repr, _aims()))}, {2**-LIMIT}), {2**LIMIT}) AS k FROM y JOIN q USING (image)), o AS (SELECT image, r * k AS r, g * k AS g, b * k AS b FROM k), w AS (SELECT *, {luma_sql()} AS y, greatest(r, g, b) AS m FROM o),
+f AS (SELECT *, CASE WHEN m > 1 AND m > y THEN (1 - least(y, 1.0)) / (m - least(y, 1.0)) ELSE 1.0 END AS f FROM w) SELECT image, {', '.join(f'round(greatest(y + ({c} - y) * f, 0.0), 7) AS {c}' for c in RGB)} FROM f"""
 )
 def tone_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each image brought to middle grey, with a soft shoulder above 0.8. Measures are a row an image."""
-    lin = pixels(spark, sf_dir).select("image", *(c.alias(n) for c, n in zip(linear(), RGB, strict=True)))
-    m = lin.groupBy("image").agg(F.percentile(C.luma(*(F.col(c) for c in RGB)), 0.5).alias("m"))
-    k = F.pow(F.lit(2.0), F.least(F.greatest(F.log2(0.18 / F.greatest("m", F.lit(1e-6))), F.lit(-3.0)), F.lit(3.0)))
-    graded = lin.join(m.select("image", k.alias("k")), "image")
-    soft = lambda v: F.when(v <= 0.8, v).otherwise(0.8 + 0.2 * (1 - F.exp(-(v - 0.8) / 0.2)))
-    return graded.select("image", *rounded(RGB, [soft(F.col(c) * F.col("k")) for c in RGB]))
+    """Each image's three percentiles brought to a style's, hues kept: one gain a pixel, then into the gamut."""
+    lin = pixels(spark, sf_dir).select("image", *(c.alias(n) for c, n in zip(linear(), RGB, strict=True))).withColumn("y", C.luma(*channels()))
+    df = lin.join(measured(lin, F.col("y")), "image")
+    df = df.withColumn("k", F.least(F.greatest(curve_gain(F.col("y"), [F.lit(a) for a in _aims()]), F.lit(2**-LIMIT)), F.lit(2**LIMIT)))
+    df = df.select("image", *((c * F.col("k")).alias(n) for c, n in zip(channels(), RGB, strict=True)))
+    return df.select("image", *rounded(RGB, [F.greatest(c, F.lit(0.0)) for c in C.fit_gamut(*channels())], 7))
+
+
+#: A style's most for darker blacks; the shapes (distance to the middle) and floors of both ends; the most for whites.
+BLACK_DOWN, BLACK_SHAPE, BLACK_FLOOR, WHITE_SHAPE, WHITE_FLOOR, WHITE_MOST = 11.0, -53.1, 4.0, 31.8, 78.0, 8.0
+
+
+@query(
+    f"""WITH {PX}, d AS (SELECT image, r AS dr, g AS dg, b AS db, {luma_sql()} * 255 AS grey FROM px), h AS (SELECT image, avg(CAST(grey <= 3 AS INT)) AS le3, avg(CAST(grey <= 10 AS INT)) AS le10, avg(CAST(grey >= 252 AS INT)) AS ge252, avg(CAST(grey >= 245 AS INT)) AS ge245 FROM d GROUP BY image), lin AS (SELECT image, {', '.join(f'{lin_sql(c)} AS {c}' for c in RGB)} FROM px),
+{_QUANTILES.format(y=luma_sql(), of='lin')}, l AS (SELECT q.*, {_squeeze_sql('le3', 'le10')} AS k_lo, {_squeeze_sql('ge252', 'ge245')} AS k_hi, {', '.join(f"116 * {f_sql(f'q{n}')} - 16 AS l{n}" for n in (5, 50, 95))} FROM q JOIN h USING (image)),
+s AS (SELECT *, l5 - greatest(least({BLACK_DOWN}, greatest(0.0, l5 - l50 - ({BLACK_SHAPE})), l5 - {BLACK_FLOOR}) * k_lo, -30.0) AS a5, l95 - greatest(least(greatest(0.0, l95 - l50 - {WHITE_SHAPE}), {WHITE_MOST}, l95 - {WHITE_FLOOR}) * k_hi, 0.0) AS a95 FROM l),
+a AS (SELECT *, least(greatest({f_inverse_sql('((a5 + 16) / 116)')}, {LEAST}), q50 * 0.98) AS t5, greatest({f_inverse_sql('((a95 + 16) / 116)')}, q50 * 1.02) AS t95 FROM s), k AS (SELECT image, r, g, b, {_curve_sql('t5', 'q50', 't95')} AS k FROM y JOIN a USING (image))
+SELECT image, {', '.join(f"round(least({srgb_sql(f'({c} * k)')}, 1.0), 6) AS {c}" for c in RGB)} FROM k"""
+)
+def settle_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finished image's ends drawn to a shape round its own middle, down only, and less where an end has already lost detail."""
+    df = pixels(spark, sf_dir).select("image", (C.luma(*channels()) * 255).alias("grey"), *(c.alias(n) for c, n in zip(linear(), RGB, strict=True))).withColumn("y", C.luma(*channels()))
+    share = lambda test: F.avg(test.cast("int"))
+    grey, zero = F.col("grey"), F.lit(0.0)
+    h = df.groupBy("image").agg(share(grey <= 3).alias("le3"), share(grey <= 10).alias("le10"), share(grey >= 252).alias("ge252"), share(grey >= 245).alias("ge245"))
+    squeeze = lambda clip, pile: F.round(F.when((F.col(clip) <= 1e-4) & (F.col(pile) <= 0.03), 1.0).otherwise(F.greatest(zero, 1 - F.col(pile) / 0.03 * 0.6)), 6)
+    q = measured(df, F.col("y")).join(h, "image").withColumns({f"l{n}": C.lightness(F.col(f"q{n}")) for n in (5, 50, 95)})
+    l5, l50, l95 = (F.col(f"l{n}") for n in (5, 50, 95))
+    dark = F.least(F.lit(BLACK_DOWN), F.greatest(zero, l5 - l50 - BLACK_SHAPE), l5 - BLACK_FLOOR) * squeeze("le3", "le10")
+    bright = F.least(F.greatest(zero, l95 - l50 - WHITE_SHAPE), F.lit(WHITE_MOST), l95 - WHITE_FLOOR) * squeeze("ge252", "ge245")
+    q = q.withColumns({"a5": l5 - F.greatest(dark, F.lit(-30.0)), "a95": l95 - F.greatest(bright, zero)})
+    t5 = F.least(F.greatest(C.from_lightness(F.col("a5")), F.lit(LEAST)), F.col("q50") * 0.98)
+    q = q.select("image", "q5", "q50", "q95", t5.alias("t5"), F.greatest(C.from_lightness(F.col("a95")), F.col("q50") * 1.02).alias("t95"))
+    df = df.select("image", "y", *RGB).join(q, "image").withColumn("k", curve_gain(F.col("y"), [F.col("t5"), F.col("q50"), F.col("t95")]))
+    return df.select("image", *rounded(RGB, [F.least(C.linear_to_srgb(c * F.col("k")), F.lit(1.0)) for c in channels()], 6))
 
 
 def _hue_sql() -> str:
