@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +20,3 @@ def query(sql: str | None = None):
         return f
 
     return add
-
-
-for _module in ("colour_queries", "statistics_queries", "catalogue_queries", "signal_queries", "table_queries", "stage_queries", "name_queries", "frame_queries", "setting_queries", "measure_queries"):
-    importlib.import_module(f"specula.plans.{_module}")

@@ -2,12 +2,14 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from specula.functions import colour as C
 from specula.operators import lookup_tables as L
-from specula.plans.signal_queries import filtered, interpolated, kernel
+from specula.plans.measure_queries import cubic_weights, eigenvalues
+from specula.plans.signal_queries import filtered, interpolated, kernel, per_sample
 
 
 def one(spark, column, **values):
@@ -47,17 +49,30 @@ def test_filter_reflects_at_ends(spark, n):
     r = len(w) // 2
     at = lambda k: x[(k if (k := k % (2 * n)) < n else 2 * n - 1 - k)]
     want = [sum(w[d + r] * at(k + d) for d in range(-r, r + 1)) for k in range(n)]
-    df = spark.createDataFrame([("i", k, v) for k, v in enumerate(x)], "image string, id long, x double")
-    got = [row["y"] for row in df.select("id", filtered(w).alias("y")).orderBy("id").collect()]
-    if n > 2 * r:
-        assert got == pytest.approx(want)
-    else:
-        assert len(got) == n
+    df = spark.createDataFrame([("i", [(k, v) for k, v in enumerate(x)])], "image string, s array<struct<id: long, x: double>>")
+    got = [row["y"] for row in per_sample(df, "y", filtered(w)).orderBy("id").collect()]
+    assert got == pytest.approx(want, abs=1e-7)
+
+
+def test_cubic_weights(spark):
+    for t in (0.0, 0.3, 1.0):
+        w = [one(spark, c, t=t) for c in cubic_weights(F.col("t"))]
+        assert sum(w) == pytest.approx(1) and sum(k * v for k, v in enumerate(w)) == pytest.approx(1 + t)
+
+
+def test_eigenvalues(spark):
+    for m in ([[2.0, 0.5, 0.1], [0.5, 1.0, 0.2], [0.1, 0.2, 3.0]], [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]):
+        cells = [m[0][0], m[1][1], m[2][2], m[0][1], m[0][2], m[1][2]]
+        want = np.linalg.eigvalsh(np.array(m))
+        assert [one(spark, c, x=0.0) for c in eigenvalues(*map(F.lit, cells))] == pytest.approx([want[-1], want[0]])
 
 
 def test_identity_table(spark):
-    for f in (L.trilinear, L.tetrahedral):
-        t = L.baked(5, lambda r, g, b: (r, g, b))
-        for rgb in ((0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (0.3, 0.77, 0.5), (0.25, 0.25, 0.9)):
-            got = [one(spark, f(c, 5, F.col("r"), F.col("g"), F.col("b")), r=rgb[0], g=rgb[1], b=rgb[2]) for c in t]
-            assert got == pytest.approx(rgb)
+    tables = L.baked(5, lambda r, g, b: (r, g, b))
+    for rgb in ((0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (0.3, 0.77, 0.5), (0.25, 0.25, 0.9)):
+        df = spark.createDataFrame([rgb], "r double, g double, b double")
+        for row in (
+            df.select(*(L.trilinear(t, 5, F.col("r"), F.col("g"), F.col("b")).alias(f"c{k}") for k, t in enumerate(tables))).first(),
+            L.with_tetrahedra(df, 5).select(*(L.tetrahedral(t).alias(f"c{k}") for k, t in enumerate(tables))).first(),
+        ):
+            assert list(row) == pytest.approx(rgb)
