@@ -15,7 +15,7 @@ from specula.plans.registry import query
 from specula.plans.signal_queries import arrays, interpolated
 from specula.plans.stage_queries import _hue_sql
 from specula.plans.table_queries import _CELLS, _LUT, N, SHAPE
-from specula.sources.tables import PX, SIG, SPEC, files, pixels, signal, spectra, table
+from specula.sources.tables import FRAME, HEIGHT, PX, SIG, SPEC, WIDTH, files, frames, pixels, signal, spectra, table
 
 # --- differences between an image and a copy with red and green lowered
 
@@ -540,3 +540,73 @@ def planck_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = df.select("kelvin", *(total(r).alias(n) for r, n in zip(RESPONSES, "xyz", strict=True)))
     whole = F.col("x") + F.col("y") + F.col("z")
     return df.select("kelvin", F.round(F.col("x") / whole, 8).alias("x"), F.round(F.col("y") / whole, 8).alias("y"))
+
+
+#: Sensor noise in codes, and the step of differences.
+NOISE, EPS = 0.005, 0.01
+_SHIFTS = [tuple(sign * (k == axis) for k in range(3)) for axis in range(3) for sign in (1, -1)]
+_GRAM = ("rr", "gg", "bb", "rg", "rb", "gb")
+
+
+@query(
+    f"""WITH {_LUT}, pts AS (SELECT k, 0.1 + 0.8 * (k % 4) / 3 AS r, 0.1 + 0.8 * (k // 4 % 4) / 3 AS g, 0.1 + 0.8 * (k // 16) / 3 AS b FROM (SELECT unnest(range(0, 64)) AS k)), sh AS (SELECT * FROM (VALUES {', '.join(f'({n}, {r * EPS}, {g * EPS}, {b * EPS})' for n, (r, g, b) in enumerate(_SHIFTS))}) t(s, dr, dg, db)),
+src AS (SELECT k * 10 + s AS n, r + dr AS r, g + dg AS g, b + db AS b FROM pts CROSS JOIN sh), {_through_sql('seen', 'src', 'lut')}, lin AS (SELECT n, {', '.join(f'{lin_sql(c)} AS {c}' for c in RGB)} FROM seen), lms AS (SELECT n, {', '.join(f"cbrt({row_sql(row, 'r', 'g', 'b')}) AS {m}" for row, m in zip(C.RGB_TO_LMS, 'pqs', strict=True))} FROM lin),
+ok AS (SELECT n // 10 AS k, n % 10 AS s, {', '.join(f"{row_sql(row, 'p', 'q', 's')} AS {m}" for row, m in zip(C.LMS_TO_OKLAB, ('v0', 'v1', 'v2'), strict=True))} FROM lms), slope AS (SELECT k, {', '.join(f'(max(v{m}) FILTER (WHERE s = {2 * a}) - max(v{m}) FILTER (WHERE s = {2 * a + 1})) / {2 * EPS} AS j{m}{c}' for m in range(3) for a, c in enumerate(RGB))} FROM ok GROUP BY k),
+j AS (SELECT k, {', '.join(f"{' + '.join(f'j{m}{x} * j{m}{y}' for m in range(3))} AS {x}{y}" for x, y in _GRAM)}, {NOISE} * sqrt({' + '.join(f'j0{c} * j0{c}' for c in RGB)}) AS light, {NOISE} * sqrt({' + '.join(f'j{m}{c} * j{m}{c}' for m in (1, 2) for c in RGB)}) AS colour FROM slope), {_EIGEN_SQL}
+SELECT CAST(k AS INT) AS k, round(light, 8) AS sigma_light, round(colour, 8) AS sigma_colour, round(sqrt(q + 2 * p * cos(v)), 6) AS stretch, round(sqrt(q + 2 * p * cos(v)) / greatest(sqrt(greatest(q + 2 * p * cos(v + {2 * math.pi / 3!r}), 0.0)), 1e-9), 4) AS unevenness FROM v"""
+)
+def noise_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a table spreads sensor noise: deviations in lightness and colour, the largest stretch and how uneven stretches are."""
+    tables, k = L.baked(N, SHAPE), F.col("id").cast("int")
+    at = lambda x: 0.1 + 0.8 * x / 3
+    df = spark.range(64).select(k.alias("k"), at(k % 4).alias("r"), at(F.floor(k / 4) % 4).alias("g"), at(F.floor(k / 16)).alias("b"))
+    unit = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    moves = F.explode(F.array(*(F.struct(F.lit(n).alias("s"), *(F.lit(d * EPS).alias(f"d{c}") for c, d in zip(RGB, shift, strict=True))) for n, shift in enumerate(_SHIFTS)))).alias("m")
+    df = df.select("k", *RGB, moves).select("k", "m.s", *((F.col(c) + F.col(f"m.d{c}")).alias(c) for c in RGB))
+    df = df.select("k", "s", *(unit(L.trilinear(t, N, *channels())).alias(c) for c, t in zip(RGB, tables, strict=True)))
+    df = df.select("k", "s", *(v.alias(c) for c, v in zip(RGB, linear(), strict=True)))
+    df = df.select("k", "s", *(v.alias(f"v{m}") for m, v in enumerate(C.oklab(*channels()))))
+    of = lambda m, s: F.max(F.when(F.col("s") == s, F.col(f"v{m}")))
+    df = df.groupBy("k").agg(*(((of(m, 2 * a) - of(m, 2 * a + 1)) / (2 * EPS)).alias(f"j{m}{c}") for m in range(3) for a, c in enumerate(RGB)))  # six rows a point
+    total = lambda x, y, rows=range(3): sum(F.col(f"j{m}{x}") * F.col(f"j{m}{y}") for m in rows)
+    spread = lambda rows: NOISE * F.sqrt(sum(total(c, c, rows) for c in RGB))
+    df = df.select("k", spread((0,)).alias("light"), spread((1, 2)).alias("colour"), *(total(*xy).alias(xy) for xy in _GRAM))
+    top, low = eigenvalues(*map(F.col, _GRAM))
+    uneven = F.sqrt(top) / F.greatest(F.sqrt(F.greatest(low, F.lit(0.0))), F.lit(1e-9))
+    return df.select("k", F.round("light", 8).alias("sigma_light"), F.round("colour", 8).alias("sigma_colour"), F.round(F.sqrt(top), 6).alias("stretch"), F.round(uneven, 4).alias("unevenness"))
+
+
+#: The long side of a small copy.
+SMALL = 16
+
+
+def nearest(n: int) -> list[int]:
+    """Places that a small copy takes from ``n``, by the nearest centre."""
+    m = round(n * SMALL / max(HEIGHT, WIDTH))
+    return [round((k + 0.5) * n / m - 0.5) for k in range(m)]
+
+
+@query(
+    f"""WITH {FRAME}, ys AS (SELECT * FROM (VALUES {', '.join(f'({k}, {y})' for k, y in enumerate(nearest(HEIGHT)))}) t(small_y, y)), xs AS (SELECT * FROM (VALUES {', '.join(f'({k}, {x})' for k, x in enumerate(nearest(WIDTH)))}) t(small_x, x)) SELECT image, CAST(small_y AS INT) AS y, CAST(small_x AS INT) AS x, round(v, 8) AS v FROM frame JOIN ys USING (y) JOIN xs USING (x)"""
+)
+def nn_downscale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small copy of each frame by its nearest pixels; a filter and a renumbering, without a shuffle of its own."""
+    place = lambda c, n: (F.array_position(F.lit(nearest(n)), F.col(c).cast("int")) - 1).cast("int")
+    df = frames(spark, sf_dir).where(F.col("y").isin(nearest(HEIGHT)) & F.col("x").isin(nearest(WIDTH)))
+    return df.select("image", place("y", HEIGHT).alias("y"), place("x", WIDTH).alias("x"), F.round("v", 8).alias("v"))
+
+
+#: Ends of the three densities that a table spans.
+SPAN = ((-0.1, 2.2), (0.0, 2.4), (0.05, 2.0))
+
+
+@query(
+    f"""SELECT CAST(k % {N} AS INT) AS ir, CAST(k // {N} % {N} AS INT) AS ig, CAST(k // {N * N} AS INT) AS ib, {', '.join(f'round(power(10, -{d}), 8) AS {c}' for c, d in zip(RGB, ('(r * 0.9 + g * 0.1)', '(g * 0.8 + b * 0.2)', '(b * 0.7 + r * 0.3)'), strict=True))}
+FROM (SELECT k, {', '.join(f'{lo} + {(hi - lo) / (N - 1)!r} * (k // {N ** n} % {N}) AS {c}' for n, (c, (lo, hi)) in enumerate(zip(RGB, SPAN, strict=True)))} FROM (SELECT unnest(range(0, {N ** 3})) AS k))"""
+)
+def lut_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of three densities at the points of a table that spans their ranges."""
+    df = L.lattice(spark, N).select("ir", "ig", "ib", *((lo + (hi - lo) / (N - 1) * F.col(f"i{c}")).alias(c) for c, (lo, hi) in zip(RGB, SPAN, strict=True)))
+    r, g, b = channels()
+    dyes = (r * 0.9 + g * 0.1, g * 0.8 + b * 0.2, b * 0.7 + r * 0.3)
+    return df.select("ir", "ig", "ib", *rounded(RGB, [F.pow(F.lit(10.0), -d) for d in dyes]))
