@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from specula.llm import collocations, fill_in_middle, line_dedup
+from specula.llm import collocations, embedding_dedup, fill_in_middle, line_dedup
 from specula.llm.bpe_codec import op2_bpe_codec
 from specula.llm.collocations import op13_collocations
 from specula.llm.decontamination import op10_decontamination
+from specula.llm.embedding_dedup import op11_embedding_dedup
 from specula.llm.fill_in_middle import op12_fill_in_middle
 from specula.llm.language_id import op7_language_id
 from specula.llm.line_dedup import op5_line_dedup
@@ -29,9 +30,10 @@ QUERIES = {
         op8_neighbours,
         op9_kd_sharding,
         op10_decontamination,
+        op11_embedding_dedup,
         op12_fill_in_middle,
         op13_collocations,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op12_fill_in_middle": fill_in_middle.SQL, "op13_collocations": collocations.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op11_embedding_dedup": embedding_dedup.SQL, "op12_fill_in_middle": fill_in_middle.SQL, "op13_collocations": collocations.SQL}
