@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 from specula.functions import colour as C
 from specula.operators import lookup_tables as L
 from specula.plans.colour_queries import LAB, LIN, RGB, channels, lin_sql, linear, luma_sql, rounded, srgb_sql
+from specula.operators.ranges import per_sample
 from specula.plans.registry import query
-from specula.plans.signal_queries import KNOTS, NUMBERED, arrays, interpolated, kernel
+from specula.plans.signal_queries import KNOTS, NUMBERED, stencils, interpolated, kernel
 from specula.plans.table_queries import _LUT, N, SHAPE
 from specula.sources.tables import FRAME, HEIGHT, PX, SIG, WIDTH, frames, pixels, signal, table
 
@@ -318,9 +319,8 @@ def interp_curve3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {NUMBERED}, d AS (SELECT image, lead(x) OVER w - 2 * x + lag(x) OVER w AS d2 FROM sig WINDOW w AS (PARTITION BY image ORDER BY id)) SELECT image, round(coalesce(max(abs(d2)), 0.0), 8) AS bend FROM d GROUP BY image")
 def second_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest second difference of each signal."""
-    s = arrays(spark, sf_dir)
-    bends = F.transform(F.slice("s", F.lit(2), F.greatest(F.size("s") - 2, F.lit(0))), lambda e, k: F.abs(F.get("s", k + 2)["x"] - 2 * e["x"] + F.get("s", k)["x"]))
-    return s.select("image", F.round(F.coalesce(F.array_max(bends), F.lit(0.0)), 8).alias("bend"))
+    bend = lambda x, k, n: F.abs(x(1)["x"] - 2 * x(0)["x"] + x(-1)["x"])
+    return per_sample(stencils(spark, sf_dir, 1, False), ["image"], [], {"bend": bend}).groupBy("image").agg(F.round(F.coalesce(F.max("bend"), F.lit(0.0)), 8).alias("bend"))
 
 
 # --- tables

@@ -11,8 +11,9 @@ from specula.functions import colour as C
 from specula.operators import lookup_tables as L
 from specula.plans.colour_queries import LAB, LIN, RGB, channels, f_inverse_sql, f_sql, lin_sql, linear, rounded, row_sql, srgb_sql
 from specula.plans.frame_queries import C1, C2, C3, M1, M2, SAME, _COUPLERS
+from specula.operators.ranges import per_sample
 from specula.plans.registry import query
-from specula.plans.signal_queries import arrays, interpolated
+from specula.plans.signal_queries import stencils, interpolated
 from specula.plans.stage_queries import _hue_sql
 from specula.plans.table_queries import _CELLS, _LUT, N, SHAPE
 from specula.sources.tables import FRAME, HEIGHT, PX, SIG, SPEC, WIDTH, files, frames, pixels, signal, spectra, table
@@ -194,16 +195,15 @@ SELECT e.image, coalesce(hi - lo, 0) * {STEP} AS encoded, coalesce(a.n, 0) * {ST
 )
 def dynamic_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stops that are encoded, that are rendered with enough slope, and that are lost at either end."""
-    s = arrays(spark, sf_dir)
-    places = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda k: F.get("s", k)["id"] % 7 > 0)
-    df = s.withColumn("p", places).withColumns({"lo": F.get("p", F.lit(0)), "hi": F.get("p", F.size("p") - 1)})
-    log = lambda k: F.log10(F.greatest(F.get("s", k)["x"], F.lit(1e-4)))
+    log = lambda e: F.log10(F.greatest(e["x"], F.lit(1e-4)))
+    slope = lambda x, k, n: F.when(x(1).isNotNull(), F.round(F.abs(log(x(1)) - log(x(0))) / STEP, 9) > ACTIVE)
+    rows = per_sample(stencils(spark, sf_dir, 1, False), ["image"], ["id", "k"], {"active": slope})
+    used = F.when(F.col("id") % 7 > 0, F.col("k"))
+    ends = rows.groupBy("image").agg(F.min(used).alias("lo"), F.max(used).alias("hi"))
+    active = rows.where("active").join(ends, "image").where("k >= lo AND k < hi").groupBy("image").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count(F.lit(1)).alias("n"))
     lo, hi = F.col("lo"), F.col("hi")
-    active = F.filter(F.sequence(lo, F.greatest(hi - 1, lo)), lambda k: (k < hi) & (F.round(F.abs(log(k + 1) - log(k)) / STEP, 9) > ACTIVE))
-    df = df.withColumn("a", active)
     stops = lambda name, *x: (F.coalesce(*x, F.lit(0)) * STEP).alias(name)
-    first, last = F.get("a", F.lit(0)), F.get("a", F.size("a") - 1)
-    return df.select("image", stops("encoded", hi - lo), stops("active", F.nullif(F.size("a"), F.lit(-1))), stops("toe", first - lo, hi - lo), stops("shoulder", hi - 1 - last, hi - lo))
+    return ends.join(active, "image", "left").select("image", stops("encoded", hi - lo), stops("active", F.col("n")), stops("toe", F.col("first") - lo, hi - lo), stops("shoulder", hi - 1 - F.col("last"), hi - lo))
 
 
 _D = {(c, a): f"(q{a}.{c} - p{a}.{c})" for c in RGB for a in RGB}

@@ -1,4 +1,4 @@
-"""Signals in order: filters, differences, running maxima, curves. An image, one user's events, is held by one task."""
+"""Signals in order: filters, differences, running maxima, curves. Signals are cut into blocks, so they can be of any length."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from specula.operators.ranges import BLOCK, blocks, carried, numbered, per_sample, recursive_gaussian, young_van_vliet
 from specula.plans.registry import query
 from specula.sources.tables import SIG, signal
 
@@ -19,28 +20,16 @@ def kernel(sigma: float, truncate: float = 3.0) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def reflected(at, n):
-    """A place beyond the ends of n, mirrored at them, the ends themselves repeated, however far out it is."""
-    m = F.pmod(at, 2 * n)
-    return F.when(m >= n, 2 * n - 1 - m).otherwise(m)
+def stencils(spark: SparkSession, sf_dir: str, reach: int, mirrored: bool = True) -> DataFrame:
+    """Blocks of the signals with ``reach`` samples more at each side."""
+    return blocks(numbered(signal(spark, sf_dir), ["image"], "id"), ["image"], ["id", "x"], reach, mirrored)
 
 
-def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image and s, its (id, x) in order; an image is one user's events."""
-    return signal(spark, sf_dir).groupBy("image").agg(F.array_sort(F.collect_list(F.struct("id", "x"))).alias("s"))
-
-
-def per_sample(df: DataFrame, name: str, value) -> DataFrame:
-    """image, id and ``name`` for each sample; ``value`` gets a function from place to x, the place and the number of samples."""
-    n = F.size("s")
-    of = lambda e, k: F.struct(e["id"].alias("id"), F.round(value(lambda at: F.get("s", at)["x"], k, n), 8).alias(name))
-    return df.select("image", F.explode(F.transform("s", of)).alias("e")).select("image", "e.id", f"e.{name}")
-
-
-def filtered(weights: list[float]):
-    """A weighted sum of the neighbours in order, the signal reflected beyond its ends."""
+def smoothed(spark: SparkSession, sf_dir: str, weights: list[float], value=lambda x, y: y) -> DataFrame:
+    """image, id and y: a weighted sum of the neighbours in order, the signal reflected beyond its ends."""
     radius = len(weights) // 2
-    return lambda x, k, n: sum(x(reflected(k + d, n)) * weights[d + radius] for d in range(-radius, radius + 1))
+    y = lambda x: sum(x(d)["x"] * weights[d + radius] for d in range(-radius, radius + 1))
+    return per_sample(stencils(spark, sf_dir, radius), ["image"], ["id"], {"y": lambda x, k, n: F.round(value(x(0)["x"], y(x)), 8)})
 
 
 def _filtered_sql(weights: list[float], name: str = "y") -> str:
@@ -59,12 +48,12 @@ EXPONENTIAL = ((0.1633, 0.5360), (0.6496, 1.5236), (0.1870, 2.7684))
 
 @query(f"WITH {NUMBERED}, {_filtered_sql(SHARP)} SELECT image, id, round(y, 8) AS y FROM y")
 def gauss_fir_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_sample(arrays(spark, sf_dir), "y", filtered(SHARP))
+    return smoothed(spark, sf_dir, SHARP)
 
 
 @query(f"WITH {NUMBERED}, {_filtered_sql(SHARP)} SELECT image, id, round(x + 0.7 * (x - y), 8) AS y FROM y")
 def unsharp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_sample(arrays(spark, sf_dir), "y", lambda x, k, n: x(k) + 0.7 * (x(k) - filtered(SHARP)(x, k, n)))
+    return smoothed(spark, sf_dir, SHARP, lambda x, y: x + 0.7 * (x - y))
 
 
 def mixture(decay: float) -> list[float]:
@@ -77,12 +66,16 @@ def mixture(decay: float) -> list[float]:
 @query(f"WITH {NUMBERED}, {', '.join(_filtered_sql(kernel(ratio), f'y{k}') for k, (_, ratio) in enumerate(EXPONENTIAL))} SELECT image, id, round({' + '.join(f'{share} * y{k}.y' for k, (share, _) in enumerate(EXPONENTIAL))}, 8) AS y FROM y0 JOIN y1 USING (image, id) JOIN y2 USING (image, id)")
 def exp_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An exponential spread as a mixture of three Gaussians, in one pass."""
-    return per_sample(arrays(spark, sf_dir), "y", filtered(mixture(1.0)))
+    return smoothed(spark, sf_dir, mixture(1.0))
 
 
 @query(f"WITH {SIG} SELECT image, id, round(max(x) OVER (PARTITION BY image ORDER BY id ROWS UNBOUNDED PRECEDING), 8) AS y FROM sig")
 def running_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal(spark, sf_dir).select("image", "id", F.round(F.max("x").over(Window.partitionBy("image").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)), 8).alias("y"))
+    """The maximum so far: inside blocks by a window, from block to block carried."""
+    rows = numbered(signal(spark, sf_dir), ["image"], "id").withColumn("block", F.call_function("div", F.col("k"), F.lit(BLOCK)))
+    before = carried(rows.groupBy("image", "block").agg(F.max("x").alias("before")), ["image"], "block", {"before": (F.max, F.greatest, None)})
+    so_far = F.max("x").over(Window.partitionBy("image", "block").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(before, ["image", "block"]).select("image", "id", F.round(F.greatest(so_far, "before"), 8).alias("y"))
 
 
 _D = f"{SIG}, d AS (SELECT image, x, x - lag(x) OVER w AS d, lead(x) OVER w - 2 * x + lag(x) OVER w AS d2 FROM sig WINDOW w AS (PARTITION BY image ORDER BY id))"
@@ -90,9 +83,10 @@ _D = f"{SIG}, d AS (SELECT image, x, x - lag(x) OVER w AS d, lead(x) OVER w - 2
 
 @query(f"WITH {_D} SELECT image, count(*) FILTER (WHERE d < 0) AS falls, round(least(0.0, min(d)), 8) AS worst, round(avg(abs(d)), 8) AS variation, round(max(abs(d2)), 8) AS bend FROM d GROUP BY image")
 def monotonicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Falls, the worst of them, total variation and the largest second difference, from one window."""
-    w = Window.partitionBy("image").orderBy("id")
-    d = signal(spark, sf_dir).select("image", (F.col("x") - F.lag("x").over(w)).alias("d"), (F.lead("x").over(w) - 2 * F.col("x") + F.lag("x").over(w)).alias("d2"))
+    """Falls, the worst of them, total variation and the largest second difference."""
+    d = lambda x, k, n: x(0)["x"] - x(-1)["x"]
+    bend = lambda x, k, n: x(1)["x"] - 2 * x(0)["x"] + x(-1)["x"]
+    d = per_sample(stencils(spark, sf_dir, 1, False), ["image"], [], {"d": d, "d2": bend})
     return d.groupBy("image").agg(F.count_if(F.col("d") < 0).alias("falls"), F.round(F.least(F.lit(0.0), F.min("d")), 8).alias("worst"), F.round(F.avg(F.abs("d")), 8).alias("variation"), F.round(F.max(F.abs("d2")), 8).alias("bend"))
 
 
@@ -105,17 +99,36 @@ WHEN (3 * d0 - d1) * d0 <= 0 THEN 0.0 WHEN d0 * d1 < 0 AND abs(0.5 * (3 * d0 - d
 def pchip_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slopes of a monotone cubic: harmonic means inside, 0 where the signal turns, limited three-point ones at the ends."""
 
-    def slope(x, k, n):
-        a, b = x(k) - x(k - 1), x(k + 1) - x(k)
+    def slope(at, k, n):
+        x = lambda d: at(d)["x"]
+        a, b = x(0) - x(-1), x(1) - x(0)
         inside = F.when(a * b <= 0, 0.0).otherwise(F.try_divide(2 * a * b, a + b))
         first = k == 0
         d0 = F.when(first, b).otherwise(a)
-        d1 = F.when(first, x(k + 2) - x(k + 1)).otherwise(x(k - 1) - x(k - 2))
+        d1 = F.when(first, x(2) - x(1)).otherwise(x(-1) - x(-2))
         three = 0.5 * (3 * d0 - d1)
         end = F.when(three * d0 <= 0, 0.0).when((d0 * d1 < 0) & (F.abs(three) > F.abs(3 * d0)), 3 * d0).otherwise(three)
-        return F.when(n == 1, 0.0).when(n == 2, d0).when((k > 0) & (k < n - 1), inside).otherwise(end)
+        return F.round(F.when(n == 1, 0.0).when(n == 2, d0).when((k > 0) & (k < n - 1), inside).otherwise(end), 8)
+
+    return per_sample(stencils(spark, sf_dir, 2, False), ["image"], ["id"], {"slope": slope})
+
+
+SIGMA = 4.0
+_GAIN, _W = young_van_vliet(SIGMA)
+
+
+def _sweep_sql(name: str, source: str, x: str, order: str, key: str = "image") -> str:
+    """A recursion over the samples of ``source`` one by one, all signals together."""
+    return f"""{name}_n AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS place FROM {source}),
+{name} AS (SELECT * REPLACE ({x} AS {x}), {_GAIN!r} * {x} + {_W[0]!r} * {x} + {_W[1]!r} * {x} + {_W[2]!r} * {x} AS w1, {x} AS w2, {x} AS w3 FROM {name}_n WHERE place = 1
+UNION ALL SELECT n.*, {_GAIN!r} * n.{x} + {_W[0]!r} * p.w1 + {_W[1]!r} * p.w2 + {_W[2]!r} * p.w3, p.w1, p.w2 FROM {name} p JOIN {name}_n n ON {' AND '.join(f'n.{c.strip()} = p.{c.strip()}' for c in key.split(','))} AND n.place = p.place + 1)"""
+
 
-    return per_sample(arrays(spark, sf_dir), "slope", slope)
+@query(f"WITH RECURSIVE {SIG}, {_sweep_sql('forth', 'sig', 'x', 'id')}, out AS (SELECT image, id, w1 AS y FROM forth), {_sweep_sql('back', 'out', 'y', 'id DESC')} SELECT image, id, round(w1, 8) AS y FROM back")
+def iir_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Gaussian of any width as a recursion forth and back, the blocks' states composed by a scan."""
+    out = recursive_gaussian(signal(spark, sf_dir), ["image"], "id", "x", "y", SIGMA)
+    return out.select("image", "id", F.round("y", 8).alias("y"))
 
 
 def interpolated(x, knots: list[tuple[float, float]]):
