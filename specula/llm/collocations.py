@@ -30,7 +30,7 @@ from specula.llm.common import drop_written, partitions, table, written
 LONGEST = 4
 SIEVE_MOST = 27
 #: Bytes of text that are split into words at once, and words that are counted at once.
-SLICE, COUNTED = 4 << 20, 1 << 20
+SLICE, COUNTED = 1 << 20, 1 << 18
 #: Separators of pieces become a word that no text can hold, letters A-Z small ones.
 _END = b"."
 _TO = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")
@@ -101,7 +101,7 @@ def _counted(batches):
                     w.add(_END)
                     if w.n >= COUNTED:
                         yield lang, *held.pop(lang).take()
-            while sum(w.n * 8 + w.bytes for w in held.values()) > 8 * SLICE:  # many languages
+            while sum(w.n * 8 + w.bytes for w in held.values()) > 32 * SLICE:  # many languages
                 lang = max(held, key=lambda k: held[k].n * 8 + held[k].bytes)
                 yield lang, *held.pop(lang).take()
     for lang, w in held.items():
@@ -176,8 +176,10 @@ def edges(docs: DataFrame, least: int = 30, longest: int = LONGEST) -> DataFrame
             both, half = np.unique(np.stack([ahead[0] * len(words) + ahead[1], ahead[2] * len(words) + ahead[3]]), return_inverse=True)
             half = half.reshape(2, -1)
             _, first, n = np.unique(half[0] * len(both) + half[1], return_index=True, return_counts=True)
-            grams = [b" ".join([words[w] for w in g if w]) for g in ahead[:, first].T.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams, pa.binary()).cast(pa.string()), pa.array(size[first].astype(np.int32)), pa.array(n)], names=["lang", "gram", "k", "n"])
+            for at in range(0, len(first), 20_000):
+                some = first[at : at + 20_000]
+                grams = [b" ".join([words[w] for w in g if w]) for g in ahead[:, some].T.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams, pa.binary()).cast(pa.string()), pa.array(size[some].astype(np.int32)), pa.array(n[at : at + 20_000])], names=["lang", "gram", "k", "n"])
 
     made = _rows(docs).mapInArrow(run, "lang string, gram string, k int, n bigint")
     return made.groupBy("lang", "gram").agg(F.first("k").alias("k"), F.sum("n").alias("n"))
