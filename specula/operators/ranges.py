@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from specula.sources.shared import written
+
 #: Samples of a block, numbers of a chunk, and blocks that a first level of a scan takes together.
 BLOCK, CHUNK, FAN = 256, 4096, 4096
 
@@ -133,15 +135,19 @@ def _powers(weights: list[float]) -> Callable[[int], list[list[float]]]:
     return power
 
 
-def recursive_gaussian(df: DataFrame, keys: list[str], at: str, value: str, to: str, sigma: float, size: int = BLOCK, fan: int = BLOCK) -> DataFrame:
+def recursive_gaussian(df: DataFrame, keys: list[str], at: str, value: str, to: str, sigma: float, length: int | None = None, size: int = BLOCK, fan: int = BLOCK) -> DataFrame:
     """keys, ``at`` and ``to``: ``value`` smoothed along ``at`` by a third-order recursion forth and back.
 
     Its cost doesn't depend on ``sigma``. The recursion starts as if the first sample had always been there, and back as
-    if the last output had. Two scans over blocks' states; the samples themselves are shuffled once after numbering.
+    if the last output had. Two scans over blocks' states; the samples themselves are shuffled once after numbering, and
+    blocks, which each scan reads twice, are written tables. With ``length``, ``at`` already counts each signal from 0
+    to ``length`` - 1.
     """
     gain, weights = young_van_vliet(sigma)
     power = _powers(weights)
-    cut = blocks(numbered(df.select(*keys, F.col(at).alias("_at"), F.col(value).cast("double").alias("_x")), keys, "_at"), keys, ["_at", "_x"], size=size)
+    rows = df.select(*keys, F.col(at).alias("_at"), F.col(value).cast("double").alias("_x"))
+    rows = numbered(rows, keys, "_at") if length is None else rows.withColumns({"k": F.col("_at").cast("bigint"), "n": F.lit(length).cast("bigint")})
+    cut = written(blocks(rows, keys, ["_at", "_x"], size=size), "signal-blocks")
 
     def run(x: Column, state: Column) -> Column:
         """The last three outputs, latest first in ``state``, then this block's."""
@@ -159,6 +165,6 @@ def recursive_gaussian(df: DataFrame, keys: list[str], at: str, value: str, to:
         return both.withColumn(to_, F.slice(whole, F.lit(4), F.size(x))).drop("o", "state")
 
     forth = swept(cut.withColumn("_x", F.col("s._x")), "_x", F.get("_x", F.lit(0)), F.col("block"), "_y")
-    back = forth.select(*keys, "block", "n", F.col("s._at").alias("_at"), F.reverse("_y").alias("_y"))
+    back = written(forth.select(*keys, "block", "n", F.col("s._at").alias("_at"), F.reverse("_y").alias("_y")), "signal-forth")
     back = swept(back, "_y", F.get("_y", F.lit(0)), _div(F.col("n") - 1, size) - F.col("block"), "_z")
     return back.select(*keys, F.explode(F.arrays_zip("_at", F.reverse("_z").alias("_z"))).alias("_e")).select(*keys, F.col("_e._at").alias(at), F.col("_e._z").alias(to))

@@ -42,6 +42,13 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("image", "y", "x").agg((F.avg("l_quantity") / 50).alias("v"))
 
 
+def full_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`frames` with every pixel: an absent one has its image's mean."""
+    some = frames(spark, sf_dir)
+    every = some.groupBy("image").agg(F.avg("v").alias("m")).select("image", "m", F.explode(F.sequence(F.lit(0), F.lit(HEIGHT - 1))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("x"))
+    return every.join(some, ["image", "y", "x"], "left").select("image", "y", "x", F.coalesce("v", "m").alias("v"))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id, dir and name of files in folders two levels deep."""
     ends = F.array(*map(F.lit, (".JPG", ".RAF", ".jpg", ".dng", ".tif", ".txt")))
@@ -72,6 +79,7 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 PX = "px AS (SELECT l_suppkey AS image, least(greatest(l_quantity / 50, 0.0), 1.0) AS r, least(greatest(1 - 10 * l_discount, 0.0), 1.0) AS g, least(greatest(l_tax / 0.08, 0.0), 1.0) AS b FROM lineitem)"
 SIG = "sig AS (SELECT user_id AS image, event_id AS id, least(value / 500, 1.0) AS x FROM events)"
 FRAME = "frame AS (SELECT l_suppkey AS image, l_linenumber - 1 AS y, CAST(l_partkey % 31 AS INT) AS x, avg(l_quantity) / 50 AS v FROM lineitem GROUP BY 1, 2, 3)"
+FULL = FRAME + ", lines AS (SELECT unnest(range(0, 7)) AS y), places AS (SELECT unnest(range(0, 31)) AS x), whole AS (SELECT m.image, lines.y, places.x, coalesce(f.v, m.m) AS v FROM (SELECT image, avg(v) AS m FROM frame GROUP BY image) m, lines, places LEFT JOIN frame f ON f.image = m.image AND f.y = lines.y AND f.x = places.x)"
 FILES = "files AS (SELECT p_partkey AS file_id, 'D:/Lib/' || p_brand || '/' || p_type || '/' AS dir, replace(p_name, ' ', '_') || '_' || CAST(p_partkey // 2 AS VARCHAR) || (['.JPG', '.RAF', '.jpg', '.dng', '.tif', '.txt'])[p_size % 6 + 1] AS name FROM part)"
 SPEC = "spec AS (SELECT vec_id AS name, label AS family, CAST(embedding AS DOUBLE[]) AS bands FROM embeddings)"
 CAT = "cat AS (SELECT o_custkey AS rel, o_orderpriority AS bucket, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority, o_orderkey AS seq FROM orders)"
