@@ -275,11 +275,17 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
 
 
 def first_of_each(scored: DataFrame, top: int) -> DataFrame:
-    """The first ``top`` of each language by score, a and phrase, with their rank; first those of each share of a language."""
+    """The first ``top`` of each language by score, a and phrase, with their rank.
+
+    First those of each share of a language, as many shares as partitions; then of 16 shares, so that the last task of a
+    language gets 16 * ``top`` rows at most.
+    """
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    share = F.pmod(F.xxhash64("phrase"), F.lit(max(partitions(scored), 8)))
-    some = scored.withColumn("_share", share).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_share").orderBy(*order))).where(F.col("rank") <= top)
-    return some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint")).where(F.col("rank") <= top).drop("_share")
+    out = scored
+    for shares in (max(partitions(scored), 16), 16, 1):
+        within = Window.partitionBy("lang", "_share").orderBy(*order)
+        out = out.withColumn("_share", F.pmod(F.xxhash64("phrase"), F.lit(shares))).withColumn("rank", F.row_number().over(within).cast("bigint")).where(F.col("rank") <= top)
+    return out.drop("_share")
 
 
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
