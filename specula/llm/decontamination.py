@@ -13,9 +13,15 @@ item whose sampled words agree are a candidate. An item is embedded from its fir
 first one matched, as many as edits are allowed: the words before may be changed or cut off. This is repeated with
 other bits and steps; the number of times is fitted on the driver, by simulation on the class's own items with the
 most edits allowed, to reach ``recall`` for edits anywhere, at the head, in the middle, at the tail, and after the
-first word with walks from first words alone, each by itself; if ``most_repetitions`` don't reach it, that is an error. Each candidate's edit distance is then computed
+first word with walks from first words alone, each by itself. Each candidate's edit distance is then computed
 exactly, hence nothing is reported that isn't one.
 
+Items of any length: one of more than ``LONG`` words is cut into pieces, of which one at least is within its equal share
+of the edits wherever the item is leaked. Pieces are walked like items, and where one is met, the whole item is compared
+with all windows around by one table of distances. Where walks would have to be repeated more than 400 times (a large
+``edit_share``), items are cut into one more piece than edits are allowed, so that one is left as it was, and are looked
+up by those: an exact way, without loss.
+
 Windows are left out only where no match can start: at a word that can't be the first matched one of any item (a best
 window starts with a matched word), or where the words in no item already exceed the edits allowed. Nothing is sampled
 or capped.
@@ -24,7 +30,8 @@ Items go out in blocks of at most ``block_items`` items, each broadcast by itsel
 size; texts are mapped where they lie, whole documents at a time, without a shuffle.
 
 Defined results: null or empty texts and items match nothing; repeated documents each give their rows; items equal
-in words are each reported; for a document and an item the fewest edits, then the first window; empty tables give
+in words are each reported; for a document and an item the fewest edits of the windows found (of all windows around
+for items in pieces), then the first window; empty tables give
 no rows; further columns are ignored.
 """
 
@@ -44,6 +51,8 @@ from specula.llm.common import table
 
 _SPACES = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 SAMPLES = 3
+#: Items of more words are cut into pieces of PIECE words or a little more.
+LONG, PIECE = 60, 40
 KINDS = ("anywhere", "head", "middle", "tail", "later")
 
 
@@ -258,32 +267,80 @@ class ExactClass(SizeClass):
         return np.repeat(starts, n), self.rows[np.repeat(lo, n) + within]
 
 
+def pieces_of(n: int, count: int) -> list[tuple[int, int]]:
+    """First and end of ``count`` parts of n words, as equal as can be."""
+    cuts = [n * k // count for k in range(count + 1)]
+    return [*zip(cuts, cuts[1:], strict=False)]
+
+
+def nearest_window(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
+    """The fewest edits between an item and any window of a text, and the first word of the first such window."""
+    backward = text[::-1]
+    d, ramp = np.zeros(len(text) + 1, np.int32), np.arange(len(text) + 1, dtype=np.int32)
+    for k, word in enumerate(item[::-1], 1):  # windows start anywhere backward, that is, end anywhere
+        new = np.empty_like(d)
+        new[0] = k
+        np.minimum(d[:-1] + (backward != word), d[1:] + 1, out=new[1:])
+        d = np.minimum.accumulate(new - ramp) + ramp
+    least = int(d.min())
+    return least, len(text) - int(np.flatnonzero(d == least)[-1])
+
+
 class Index:
-    """The items of one block, by size class."""
+    """The items of one block, by size class. A unit is an item or a piece of one.
+
+    repetitions: for each group of units of similar size, as fitted before; -1 where units are looked up by exact parts.
+    """
 
     def __init__(self, items: list[tuple[int, str]], edit_share: float, recall: float, min_words: int, repetitions: list[int] | None = None):
         split = [(i, words(t)) for i, t in items]
-        split = sorted(((i, w) for i, w in split if len(w) >= max(1, min_words)), key=lambda x: (len(x[1]), x[0]))
+        split = [(i, w) for i, w in split if len(w) >= max(1, min_words)]
         names = sorted({x for _, w in split for x in w})
         self.symbol = {w: k + 1 for k, w in enumerate(names)}
-        self.classes, low = [], 0
-        group: list = []
-        for i, w in [*split, (None, None)]:
+        self.wholes = [(i, np.array([self.symbol[x] for x in w], np.int32), int(len(w) * edit_share + 1e-9)) for i, w in split]
+        #: whole, first word in it, and whether it is a piece: then its whole is compared where it is met
+        self.units: list[tuple[int, int, bool]] = []
+        cut = []
+        for k, (_, w, _) in enumerate(self.wholes):
+            for first, end in pieces_of(len(w), -(-len(w) // PIECE) if len(w) > LONG else 1):
+                cut.append((len(w[first:end]), len(self.units), w[first:end]))
+                self.units.append((k, first, len(w) > LONG))
+        self.classes: list[SizeClass] = []
+        self.repetitions: list[int] = []
+        low, group = 0, []
+        for n, unit, w in [*sorted(cut, key=lambda x: x[:2]), (0, -1, None)]:
             exact = low * edit_share + 1e-9 < 1
-            if group and (w is None or len(w) > max(low * 1.3, low + 1) or (exact and len(w) > low)):
-                coded = [np.array([self.symbol[x] for x in g], np.int32) for _, g in group]
-                own = [g[0] for g in group]
-                if exact:
-                    self.classes.append(ExactClass(coded, own, len(names)))
-                else:
-                    self.classes.append(SizeClass(coded, own, edit_share, recall, len(names), len(self.classes) * 10 + 7, repetitions and repetitions[len(self.classes)]))
+            if group and (w is None or n > max(low * 1.3, low + 1) or (exact and n > low)):
+                known = repetitions[len(self.repetitions)] if repetitions else None
+                self.repetitions.append(self._group(group, exact, edit_share, recall, len(names), known))
                 group = []
             if w is not None:
-                low = low if group else len(w)
-                group.append((i, w))
-        self.repetitions = [c.repetitions for c in self.classes]
+                low = low if group else n
+                group.append((unit, w))
         self.gap = max((max(c.reach, c.steps) + 2 for c in self.classes), default=1)
 
+    def _group(self, group, exact: bool, edit_share: float, recall: float, vocabulary: int, known: int | None) -> int:
+        """Adds the classes of a group of units and gives its repetitions."""
+        numbers, coded = [u for u, _ in group], [w for _, w in group]
+        if exact:
+            self.classes.append(ExactClass(coded, numbers, vocabulary))
+            return 1
+        if known != -1:
+            try:
+                self.classes.append(SizeClass(coded, numbers, edit_share, recall, vocabulary, len(self.repetitions) * 10 + 7, known))
+                return self.classes[-1].repetitions
+            except ValueError:
+                pass
+        parts: dict[int, list] = {}
+        for unit, w in group:
+            whole, begin, _ = self.units[unit]
+            for first, end in pieces_of(len(w), min(int(len(w) * edit_share + 1e-9) + 1, len(w))):
+                parts.setdefault(end - first, []).append((len(self.units), w[first:end]))
+                self.units.append((whole, begin + first, True))
+        for of_size in parts.values():
+            self.classes.append(ExactClass([w for _, w in of_size], [u for u, _ in of_size], vocabulary))
+        return -1
+
     def search(self, texts: list[str | None]):
         """(text's place, item, edits, words of the item, first word of the window) for whole texts."""
         get, zeros = self.symbol.get, [0] * self.gap
@@ -296,14 +353,37 @@ class Index:
         symbols = np.array(flat + zeros, np.int64)
         outside = np.concatenate([[0], np.cumsum(symbols == 0)])
         begins_ = np.array(begins)
+        ends = np.append(begins_[1:], len(flat)) - self.gap
         best: dict = {}
+        met: dict[tuple[int, int], set[int]] = {}
         for c in self.classes:
-            for start, item, d, n in c.matches(symbols, outside, len(flat)):
+            for start, unit, d, n in c.matches(symbols, outside, len(flat)):
                 k = int(np.searchsorted(begins_, start, "right")) - 1
-                best[k, item] = min(best.get((k, item), (1 << 30, 0, 0)), (d, start - begins[k], n))
+                whole, first, piece = self.units[unit]
+                if piece:
+                    met.setdefault((k, whole), set()).add(start - first)
+                else:
+                    item = self.wholes[whole][0]
+                    best[k, item] = min(best.get((k, item), (1 << 30, 0, 0)), (d, start - begins[k], n))
+        for (k, whole), starts in met.items():
+            item, w, e = self.wholes[whole]
+            for low, high in _joined(sorted(starts), 2 * e + 1):
+                low, high = max(low - e, begins[k]), min(high + len(w) + 2 * e, int(ends[k]))
+                d, at = nearest_window(w, symbols[low:high])
+                if d <= e:
+                    best[k, item] = min(best.get((k, item), (1 << 30, 0, 0)), (d, low + at - begins[k], len(w)))
         return [(k, item, d, n, at) for (k, item), (d, at, n) in sorted(best.items())]
 
 
+def _joined(places: list[int], apart: int):
+    """First and last of runs of places less than ``apart`` apart."""
+    begin = places[0]
+    for a, b in zip(places, [*places[1:], None], strict=True):
+        if b is None or b - a >= apart:
+            yield begin, a
+            begin = b
+
+
 @functools.lru_cache(maxsize=2)
 def _index(items: tuple, edit_share: float, recall: float, min_words: int, repetitions: tuple) -> Index:
     return Index(list(items), edit_share, recall, min_words, list(repetitions))
