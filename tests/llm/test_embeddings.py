@@ -59,3 +59,23 @@ def test_all_pairs(spark, kind, target, heavy):
     got = sorted((tuple(r) for r in embedding_dedup.near_duplicates(df, 0.98, target, heavy).collect()), key=str)
     assert got == brute(rows, 0.98) and sum(r[1] > 0 for r in got) > 100
     assert embedding_dedup.near_duplicates(df.where("false"), 0.98).count() == 0
+
+
+def test_neighbours_of_vectors_of_every_length(spark):
+    from pyspark.sql import functions as F
+
+    from specula.llm import neighbours
+
+    r = np.random.default_rng(3)
+    rows = [(k, r.normal(size=(8, 16, 3)[k % 3 if k % 7 else 0]).tolist()) for k in range(150)] + [(500, [1.0]), (501, None), (510, [0.0] * 8), (520, [2.0])]
+    got = {}
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for x in neighbours.neighbours(df, F.col("vec_id") % 10 == 0, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append(x["vec_id"])
+    vec = {k: np.array(v) for k, v in rows if v and any(v)}
+    hits = total = 0
+    for q in (k for k in vec if k % 10 == 0):
+        near = sorted((-(vec[q] @ v) / np.linalg.norm(vec[q]) / np.linalg.norm(v), k) for k, v in vec.items() if k != q and len(v) == len(vec[q]))[:4]
+        assert len(got.get(q, [])) == len(near)
+        hits, total = hits + len({k for _, k in near} & set(got.get(q, []))), total + len(near)
+    assert hits >= 0.9 * total and got[500] == [520] and 510 not in got
