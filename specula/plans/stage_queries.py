@@ -8,13 +8,9 @@ from pyspark.sql import functions as F
 from specula.functions import colour as C
 from specula.plans.colour_queries import LAB, LIN, RGB, channels, f_inverse_sql, f_sql, lin_sql, linear, luma_sql, rounded, srgb_sql
 from specula.plans.registry import query
-from specula.plans.statistics_queries import _squeeze_sql
+from specula.plans.statistics_queries import _ramp_sql, _squeeze_sql, percentile
 from specula.sources.tables import PX, pixels
 
-BANDS = [30.0 * k for k in range(10)]
-GAINS = [1.0, 1.05, 0.95, 1.1, 0.9, 1.0, 1.02, 0.98, 1.04, 0.96]
-
-
 #: Lightness that a style aims at for the 5th, 50th and 95th percentile; the least luminance; the gain's limit in stops.
 AIMS, LEAST, LIMIT = (10.8, 58.8, 93.7), 1e-6, 3.0
 
@@ -110,24 +106,75 @@ def _hue_sql() -> str:
     return "(CASE WHEN degrees(atan2(round(b, 9), round(a, 9))) < 0 THEN degrees(atan2(round(b, 9), round(a, 9))) + 360 ELSE degrees(atan2(round(b, 9), round(a, 9))) END)"
 
 
-@query(f"WITH {LAB} SELECT image, round(avg(a) FILTER (WHERE l < 35), 6) AS shadow_a, round(avg(b) FILTER (WHERE l < 35), 6) AS shadow_b, round(avg(a) FILTER (WHERE l > 70), 6) AS high_a, round(avg(b) FILTER (WHERE l > 70), 6) AS high_b FROM lab GROUP BY image")
+#: a* and b* of shadows, middle and highlights of a style, each against the image's medians; what the
+#: deepest shadows get; the most that a part is moved; and the weight from which on the middle counts wholly.
+SHADOWS, MIDDLE, HIGHLIGHTS, DEEPEST, MOVE, WHOLE = (-1.48, 0.75), (0.77, 4.81), (0.77, 0.23), (1.9, 1.0), 2.5, 0.70
+#: Centres, half widths, changes of chroma and of lightness of ten bands of hue, the style's own changes of
+#: chroma for them, the chroma about which colours begin to count, and the most by which bands together raise it.
+BANDS = ((15.0, 34.0, -0.08, 3.0), (45.0, 34.0, 0.20, 2.0), (75.0, 34.0, -0.05, 0.0), (105.0, 34.0, -0.18, -3.0), (135.0, 34.0, 0.0, 0.0), (165.0, 34.0, 0.0, 3.0), (255.0, 34.0, -0.14, 3.0), (285.0, 34.0, -0.03, 6.0), (315.0, 34.0, -0.32, 4.0), (345.0, 34.0, -0.24, 4.0))
+OWN, VIVID, MOST = (0.0, 0.0, 0.0, -0.247, -0.236, 0.0, 0.0, -0.229, -0.334, -0.193), 12.0, 0.45
+
+
+def _lab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image and l, a, b to nine digits, so that what lies on an image's own percentile does so on any machine."""
+    return pixels(spark, sf_dir).select("image", *rounded("lab", C.linear_to_lab(*linear()), 9))
+
+
+_LAB9 = f"{LAB}, p AS (SELECT image, round(l, 9) AS l, round(a, 9) AS a, round(b, 9) AS b FROM lab)"
+
+
+def _moved_sql(c: str, k: int) -> str:
+    part = lambda sel, to: f"least(greatest({to[k]} - (avg({c}) FILTER (WHERE {sel}) - any_value(m{c})), {-MOVE}), {MOVE})"
+    return f"{part('l <= p25', SHADOWS)} AS sh_{c}, {part('l >= p90', HIGHLIGHTS)} AS hi_{c}, {part('l >= p25 AND l <= p75', MIDDLE)} AS mid_{c}"
+
+
+@query(
+    f"""WITH {_LAB9}, q AS (SELECT image, round(quantile_cont(l, 0.10), 9) AS p10, round(quantile_cont(l, 0.25), 9) AS p25, round(quantile_cont(l, 0.75), 9) AS p75, round(quantile_cont(l, 0.90), 9) AS p90, median(a) AS ma, median(b) AS mb FROM p GROUP BY image),
+d AS (SELECT image, {_moved_sql('a', 0)}, {_moved_sql('b', 1)} FROM p JOIN q USING (image) GROUP BY image),
+w AS (SELECT p.*, d.* EXCLUDE (image), 1 - {_ramp_sql('l', 'p25', 'p25 + 0.75 * greatest(p75 - p25, 1.0)')} AS ws, {_ramp_sql('l', 'p75 - 0.75 * greatest(p75 - p25, 1.0)', 'p75')} AS wh, 1 - {_ramp_sql('l', 'p10', 'p10 + 0.25 * greatest(p75 - p25, 1.0)')} AS wd FROM p JOIN q USING (image) JOIN d USING (image)),
+m AS (SELECT *, least(least(greatest(1 - ws - wh, 0.0), 1.0) / {WHOLE}, 1.0) AS wm FROM w)
+SELECT image, round(l, 6) AS l, {', '.join(f'round({c} + sh_{c} * ws + hi_{c} * wh + {DEEPEST[k]} * wd + mid_{c} * wm, 6) AS {c}' for k, c in enumerate('ab'))} FROM m"""
+)
 def grade_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean colour of shadows and of highlights."""
-    light, a, b = C.linear_to_lab(*linear())
-    lab = pixels(spark, sf_dir).select("image", light.alias("l"), a.alias("a"), b.alias("b"))
-    mean = lambda c, test, name: F.round(F.avg(F.when(test, F.col(c))), 6).alias(name)
-    dark, bright = F.col("l") < 35, F.col("l") > 70
-    return lab.groupBy("image").agg(mean("a", dark, "shadow_a"), mean("b", dark, "shadow_b"), mean("a", bright, "high_a"), mean("b", bright, "high_b"))
+    """Shadows, middle and highlights of each image taken to a style's colours, by soft weights and within a limit.
+
+    Two aggregates, percentiles and the parts' means, are joined back as a row an image.
+    """
+    lab = _lab(spark, sf_dir)
+    q = lab.groupBy("image").agg(percentile("l", 0.10, 0.25, 0.75, 0.90).alias("p"), *[percentile(c, 0.5)[0].alias(f"m{c}") for c in "ab"])
+    q = q.select("image", "ma", "mb", *[F.round(F.col("p")[k], 9).alias(n) for k, n in enumerate(("p10", "p25", "p75", "p90"))])
+    parts = {"sh": (F.col("l") <= F.col("p25"), SHADOWS), "hi": (F.col("l") >= F.col("p90"), HIGHLIGHTS), "mid": ((F.col("l") >= F.col("p25")) & (F.col("l") <= F.col("p75")), MIDDLE)}
+    lack = lambda sel, c, to: F.least(F.greatest(to - (F.avg(F.when(sel, F.col(c))) - F.first(f"m{c}")), F.lit(-MOVE)), F.lit(MOVE))
+    d = lab.join(q, "image").groupBy("image").agg(*[F.first(n).alias(n) for n in ("p10", "p25", "p75")], *[lack(sel, c, to[k]).alias(f"{n}_{c}") for n, (sel, to) in parts.items() for k, c in enumerate("ab")])
+    df = lab.join(d.withColumn("span", F.greatest(F.col("p75") - F.col("p25"), F.lit(1.0))), "image")
+    ramp = lambda lo, hi: C.smoothstep(F.col("l"), lo, hi)
+    p10, p25, p75, span = (F.col(c) for c in ("p10", "p25", "p75", "span"))
+    df = df.withColumns({"ws": 1 - ramp(p25, p25 + 0.75 * span), "wh": ramp(p75 - 0.75 * span, p75), "wd": 1 - ramp(p10, p10 + 0.25 * span)})
+    df = df.withColumn("wm", F.least(F.least(F.greatest(1 - F.col("ws") - F.col("wh"), F.lit(0.0)), F.lit(1.0)) / WHOLE, F.lit(1.0)))
+    new = lambda k, c: F.round(F.col(c) + F.col(f"sh_{c}") * F.col("ws") + F.col(f"hi_{c}") * F.col("wh") + DEEPEST[k] * F.col("wd") + F.col(f"mid_{c}") * F.col("wm"), 6).alias(c)
+    return df.select("image", F.round("l", 6).alias("l"), *[new(k, c) for k, c in enumerate("ab")])
+
+
+def _band_sql(centre: float, half: float) -> str:
+    t = f"least(greatest(1 - ((CASE WHEN abs(h - {centre}) > 180 THEN 360 - abs(h - {centre}) ELSE abs(h - {centre}) END) - {half * 0.35!r}) / {half * 0.65!r}, 0.0), 1.0)"
+    return f"({t} * {t} * (3 - 2 * {t}))"
 
 
 @query(
-    f"""WITH {LAB}, h AS (SELECT image, sqrt(a * a + b * b) AS c, {_hue_sql()} AS h FROM lab), w AS (SELECT *, {', '.join(f'power(least(greatest(1 - (CASE WHEN abs(h - {c!r}) > 180 THEN 360 - abs(h - {c!r}) ELSE abs(h - {c!r}) END) / 30.0, 0.0), 1.0), 2) AS w{k}' for k, c in enumerate(BANDS))} FROM h)
-SELECT image, round(avg(c * (1 + ({' + '.join(f'w{k} * {g - 1!r}' for k, g in enumerate(GAINS))}))), 6) AS chroma FROM w GROUP BY image"""
+    f"""WITH {_LAB9}, h AS (SELECT *, sqrt(a * a + b * b) AS c, {_hue_sql()} AS h FROM p), v AS (SELECT *, {_ramp_sql('c', repr(VIVID * 0.6), repr(VIVID * 1.4))} AS live FROM h),
+k AS (SELECT *, live * ({' + '.join(f'{_band_sql(c, w)} * {k + o!r}' for (c, w, k, _), o in zip(BANDS, OWN, strict=True))}) AS k, live * ({' + '.join(f'{_band_sql(c, w)} * {d!r}' for c, w, _, d in BANDS)}) AS d FROM v),
+s AS (SELECT *, CASE WHEN k > {MOST} THEN {MOST} / k ELSE 1.0 END AS s FROM k), n AS (SELECT *, c * greatest(1 + k * s, 0.0) AS now FROM s), q AS (SELECT image, median(c) AS m0, median(now) AS m1 FROM n GROUP BY image),
+f AS (SELECT n.*, (CASE WHEN m1 > 1e-6 THEN m0 / m1 ELSE 1.0 END) * now / greatest(c, 1e-6) AS f FROM n JOIN q USING (image))
+SELECT image, round(least(greatest(l + least(greatest(d * s, -6.0), 8.0) * live, 0.0), 100.0), 6) AS l, round(a * f, 6) + 0.0 AS a, round(b * f, 6) + 0.0 AS b FROM f"""
 )
 def grade_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chroma mixed by ten bands of hue, each with its own gain, constants of the plan."""
-    _, a, b = C.linear_to_lab(*linear())
-    lab = pixels(spark, sf_dir).select("image", C.chroma(a, b).alias("c"), C.hue_degrees(F.round(a, 9), F.round(b, 9)).alias("h"))
-    weight = lambda centre: F.pow(F.least(F.greatest(1 - C.hue_distance(F.col("h"), centre) / 30.0, F.lit(0.0)), F.lit(1.0)), F.lit(2.0))
-    gain = 1 + sum(weight(c) * (g - 1) for c, g in zip(BANDS, GAINS, strict=True))
-    return lab.groupBy("image").agg(F.round(F.avg(F.col("c") * gain), 6).alias("chroma"))
+    """Chroma, and some lightness, by ten bands of hue; greys stay, gains are capped, the image's median chroma is kept."""
+    df = _lab(spark, sf_dir).withColumns({"c": C.chroma(F.col("a"), F.col("b")), "h": C.hue_degrees(F.col("a"), F.col("b"))})
+    df = df.withColumn("live", C.smoothstep(F.col("c"), VIVID * 0.6, VIVID * 1.4))
+    weight = [C.hue_weight(F.col("h"), c, w) for c, w, _, _ in BANDS]
+    df = df.withColumns({"k": F.col("live") * sum(w * (k + o) for w, (_, _, k, _), o in zip(weight, BANDS, OWN, strict=True)), "d": F.col("live") * sum(w * d for w, (_, _, _, d) in zip(weight, BANDS, strict=True))})
+    df = df.withColumn("s", F.when(F.col("k") > MOST, MOST / F.col("k")).otherwise(1.0)).withColumn("now", F.col("c") * F.greatest(1 + F.col("k") * F.col("s"), F.lit(0.0)))
+    q = df.groupBy("image").agg(percentile("c", 0.5)[0].alias("m0"), percentile("now", 0.5)[0].alias("m1"))
+    df = df.join(q, "image").withColumn("f", F.when(F.col("m1") > 1e-6, F.col("m0") / F.col("m1")).otherwise(1.0) * F.col("now") / F.greatest("c", F.lit(1e-6)))
+    light = F.least(F.greatest(F.col("l") + F.least(F.greatest(F.col("d") * F.col("s"), F.lit(-6.0)), F.lit(8.0)) * F.col("live"), F.lit(0.0)), F.lit(100.0))
+    return df.select("image", F.round(light, 6).alias("l"), *[(F.round(F.col(c) * F.col("f"), 6) + 0.0).alias(c) for c in "ab"])
