@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from specula.functions import colour as C
 from specula.operators import lookup_tables as L
+from specula.operators import ranges
 from specula.plans.measure_queries import cubic_weights, eigenvalues
-from specula.plans.signal_queries import filtered, interpolated, kernel, per_sample
+from specula.plans.signal_queries import interpolated, kernel
 
 
 def one(spark, column, **values):
@@ -49,8 +50,10 @@ def test_filter_reflects_at_ends(spark, n):
     r = len(w) // 2
     at = lambda k: x[(k if (k := k % (2 * n)) < n else 2 * n - 1 - k)]
     want = [sum(w[d + r] * at(k + d) for d in range(-r, r + 1)) for k in range(n)]
-    df = spark.createDataFrame([("i", [(k, v) for k, v in enumerate(x)])], "image string, s array<struct<id: long, x: double>>")
-    got = [row["y"] for row in per_sample(df, "y", filtered(w)).orderBy("id").collect()]
+    df = spark.createDataFrame([("i", k, v) for k, v in enumerate(x)], "image string, id long, x double")
+    made = ranges.blocks(ranges.numbered(df, ["image"], "id"), ["image"], ["id", "x"], r)
+    y = lambda v, k, n: sum(v(d)["x"] * w[d + r] for d in range(-r, r + 1))
+    got = [row["y"] for row in ranges.per_sample(made, ["image"], ["id"], {"y": y}).orderBy("id").collect()]
     assert got == pytest.approx(want, abs=1e-7)
 
 
