@@ -26,7 +26,7 @@ def by_signal(df, value):
     return out
 
 
-@pytest.mark.parametrize("step,chunk,fan", [(1, 4, 2), (5, 16, 3), (1, 4096, 4096)])
+@pytest.mark.parametrize("step,chunk,fan", [(1, 4, 2), (5, 16, 3)])
 def test_numbering(spark, monkeypatch, step, chunk, fan):
     monkeypatch.setattr(ranges, "CHUNK", chunk)
     monkeypatch.setattr(ranges, "FAN", fan)
@@ -45,7 +45,7 @@ def mirrored(x, at):
 def test_halos_of_each_sample(spark):
     sig, df = signals(spark)
     numbered = ranges.numbered(df, ["image"], "at")
-    for reach, size in ((2, 4), (5, 4), (9, 8), (1, 256)):
+    for reach, size in ((2, 4), (9, 8)):
         made = ranges.blocks(numbered, ["image"], ["at", "x"], reach, size=size)
         assert made.agg(F.max(F.size("s"))).first()[0] <= size + 2 * reach
         value = {"y": lambda x, k, n: sum(x(d)["x"] * (d + 3) for d in range(-reach, reach + 1)), "end": lambda x, k, n: n - k}  # noqa: B023
@@ -65,7 +65,7 @@ def test_carried(spark, monkeypatch):
     assert {(r["s"], r["o"]): (r["v"], r["m"]) for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("sigma,size,fan", [(0.7, 4, 2), (3.0, 4, 3), (12.0, 8, 2), (5.0, 256, 256)])
+@pytest.mark.parametrize("sigma,size,fan", [(0.7, 4, 2), (12.0, 8, 3)])
 def test_recursive_gaussian(spark, sigma, size, fan):
     sig, df = signals(spark, 3)
     gain, w = ranges.young_van_vliet(sigma)
@@ -117,7 +117,7 @@ def test_filters_over_tiles(spark, h, w, radius, size):
     assert np.allclose(got, want)
 
 
-@pytest.mark.parametrize("h,w,longest", [(7, 31, 12), (30, 20, 10), (9, 9, 9), (5, 4, 40), (10, 7, 9)])
+@pytest.mark.parametrize("h,w,longest", [(7, 31, 12), (5, 4, 40), (10, 7, 9)])
 def test_area_downscale(spark, h, w, longest):
     v, df = frame(spark, h, w)
     s = min(longest / max(h, w), 1)
