@@ -53,11 +53,16 @@ def schema_with(df: DataFrame, added: dict[str, T.DataType]) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name not in added] + [T.StructField(k, t) for k, t in added.items()])
 
 
-def blocks(batches, rows: int = 500):
-    """Arrow batches in blocks of few rows, so that what is made from long texts stays small."""
+def blocks(batches, rows: int = 500, most_bytes: int = 4 << 20):
+    """Arrow batches in blocks of few rows and bytes (one row at least), so that what is made from long texts stays small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, rows)
+            while part.num_rows > 1 and part.nbytes > most_bytes:
+                part = part.slice(0, part.num_rows // 2)
+            yield part
+            at += part.num_rows
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

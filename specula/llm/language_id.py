@@ -1,9 +1,11 @@
 """Language identification by hierarchical discrimination.
 
 A linear support vector machine for each language family, one against the rest, picks the family; inside it
-one-versus-one machines, one for each pair of its languages, vote; in a family of more than ``PAIRED`` languages one
-machine for each against the rest of the family decides instead, so machines grow with languages only. Features are letter 1- to 3-grams of words with
-their edges, hashed to 4,096 places and counted over the whole text by array operations, as shares of the total.
+one-versus-one machines, one for each pair of its languages, vote. A family of more than ``CLOSE`` languages is cut
+into sub-families first, in halves along the direction in which its languages' means differ most, with a machine for
+each cut, until ``CLOSE`` or fewer are left to vote; so machines grow with languages, not with their square. Features
+are letter 1- to 3-grams of words with their edges, hashed to 4,096 places and counted over the whole text by array
+operations in slices of ``SLICE`` characters, as shares of the total.
 
 Machines are fitted on the driver from a bounded sample of labelled rows, about ``per_language`` for each language or,
 where languages are many, an equal share of ``in_all`` (the documented bound), one at least; chosen by a hash of doc_id
@@ -30,7 +32,8 @@ from specula.llm.bpe_codec import blocks, schema_with, with_columns
 from specula.llm.common import table
 
 PLACES = 4096
-PAIRED = 20
+CLOSE = 8
+SLICE = 1 << 18
 #: Families of languages by ISO 639-1 code. A language not listed is a family by itself.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -50,12 +53,23 @@ def _letters() -> np.ndarray:
 
 
 def features(text: str) -> np.ndarray:
-    """Counts of the places of all 1- to 3-grams of a text's words, edges of words included."""
+    """Counts of the places of all 1- to 3-grams of a text's words, edges of words included.
+
+    Long texts are counted in slices, each with the character before it and the one behind it.
+    """
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = np.concatenate([[False], _letters()[points], [False]])
-    c = np.where(letter, np.concatenate([[0], points, [0]]), 32).astype(np.uint32)
+    points = np.concatenate([np.zeros(1, np.uint32), points, np.zeros(1, np.uint32)])
+    return sum(_counts(points[k : k + SLICE + 2], k > 0) for k in range(0, max(1, len(points) - 2), SLICE))
+
+
+def _counts(points: np.ndarray, goes_on: bool) -> np.ndarray:
+    """Grams of all but the first and last of ``points``; pairs with the first one only where no slice before had them."""
+    letter = _letters()[points]
+    letter[[0, -1]] &= points[[0, -1]] > 0
+    c = np.where(letter, points, 32).astype(np.uint32)
     x, y, z = c * np.uint32(0x9E3779B1), c * np.uint32(0x85EBCA77), c * np.uint32(0xC2B2AE3D)
-    grams = (x[letter], (x[:-1] + y[1:])[letter[:-1] | letter[1:]] + np.uint32(7), (x[:-2] + y[1:-1] + z[2:])[letter[1:-1]] + np.uint32(13))
+    pairs = (x[:-1] + y[1:])[int(goes_on) :][(letter[:-1] | letter[1:])[int(goes_on) :]]
+    grams = (x[1:-1][letter[1:-1]], pairs + np.uint32(7), (x[:-2] + y[1:-1] + z[2:])[letter[1:-1]] + np.uint32(13))
     return sum(np.bincount((g ^ (g >> np.uint32(15))) % np.uint32(PLACES), minlength=PLACES) for g in grams)
 
 
@@ -72,8 +86,16 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 200.0, rounds: int = 150
     return np.append(w[:-1], w[-1] * 0.05)
 
 
+def halves(codes: list[str], mean: dict[str, np.ndarray]) -> tuple[list[str], list[str]]:
+    """Languages in two halves along the direction in which their means differ most."""
+    m = np.array([mean[c] for c in codes])
+    along = (m - m.mean(0)) @ np.linalg.svd(m - m.mean(0), full_matrices=False)[2][0]
+    order = [c for _, c in sorted(zip(along.tolist(), codes, strict=True))]
+    return sorted(order[: len(order) // 2]), sorted(order[len(order) // 2 :])
+
+
 class Model:
-    """``weights``: PLACES rows, a column for each machine; ``bias``; families and their languages."""
+    """``weights``: PLACES rows, a column for each machine; ``bias``; families and their languages, and how these are cut."""
 
     def __init__(self, languages: list[str], x: np.ndarray, labels: list[str]):
         self.languages = languages
@@ -81,20 +103,26 @@ class Model:
         for code in languages:
             self.families.setdefault(FAMILY_OF.get(code.lower()[:2], code), []).append(code)
         labels_ = np.array(labels)
-        family = np.array([FAMILY_OF.get(code.lower()[:2], code) for code in labels])
         share = (x / np.maximum(1, x.sum(1, keepdims=True))).astype(np.float64) * 30
         self.machines: list[tuple] = []
         columns = []
-        tasks = [("family", f) for f in self.families] if len(self.families) > 1 else []
-        tasks += [("pair", a, b) for codes in self.families.values() if len(codes) <= PAIRED for a, b in combinations(codes, 2)]
-        tasks += [("one", a) for codes in self.families.values() if len(codes) > PAIRED for a in codes]
-        for task in tasks:
-            use = np.isin(labels_, task[1:]) if task[0] == "pair" else np.ones(len(x), bool) if task[0] == "family" else family == FAMILY_OF.get(task[1].lower()[:2], task[1])
-            y = np.where(family == task[1], 1.0, -1.0) if task[0] == "family" else np.where(labels_ == task[1], 1.0, -1.0)
-            w = fit_svm(share[use], y[use])
+        tasks = [(("family", f), codes, [c for c in languages if c not in codes]) for f, codes in self.families.items()] if len(self.families) > 1 else []
+        self.cuts: dict[tuple, tuple[tuple, tuple]] = {}  # languages of a family or sub-family: those of its halves
+        todo = [tuple(codes) for codes in self.families.values()]
+        mean = {c: share[labels_ == c].mean(0) for codes in todo if len(codes) > CLOSE for c in codes}
+        for codes in todo:
+            if len(codes) > CLOSE:
+                self.cuts[codes] = left, right = tuple(map(tuple, halves(list(codes), mean)))
+                tasks.append((("cut", codes), left, right))
+                todo += [left, right]
+            else:
+                tasks += [(("pair", a, b), [a], [b]) for a, b in combinations(codes, 2)]
+        for key, these, those in tasks:
+            use = np.isin(labels_, [*these, *those])
+            w = fit_svm(share[use], np.where(np.isin(labels_[use], these), 1.0, -1.0))
             steep = 3 / max(1e-9, np.median(np.abs(share[use] @ w[:-1] + w[-1])))
             columns.append(np.append(w[:-1] * 30, w[-1]))
-            self.machines.append((*task, steep))
+            self.machines.append((*key, steep))
         self.weights = np.array([c[:-1] for c in columns]).T.reshape(PLACES, len(columns)) if columns else np.zeros((PLACES, 0))
         self.bias = np.array([c[-1] for c in columns])
 
@@ -110,12 +138,10 @@ class Model:
                 continue
             family = max(self.families, key=lambda f: (sure[("family", f)][row] if len(self.families) > 1 else 1.0, f))
             score = float(sure[("family", family)][row]) if len(self.families) > 1 else 1.0
-            codes = self.families[family]
-            if len(codes) > PAIRED:
-                best = max(codes, key=lambda c: (sure[("one", c)][row], c))
-                out.append(best)
-                scores.append(score * float(sure[("one", best)][row]))
-                continue
+            codes = tuple(self.families[family])
+            while codes in self.cuts:
+                p = float(sure[("cut", codes)][row])
+                codes, score = self.cuts[codes][p <= 0.5], score * max(p, 1 - p)
             votes = {c: [0, 0.0] for c in codes}
             for a, b in combinations(codes, 2):
                 p = float(sure[("pair", a, b)][row])

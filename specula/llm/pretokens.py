@@ -11,6 +11,9 @@ WHITE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the splitting pattern of byte-level vocabularies.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
+#: Characters of the longest piece that is remembered: what is kept is bounded in bytes, not only in pieces.
+LONGEST = 64
+
 
 class PieceMap:
     """Maps texts piece by piece: ``of(text)`` joins what ``of_word`` gives for each pre-split word.
@@ -20,7 +23,8 @@ class PieceMap:
 
     A space between two characters that aren't white space always starts a word, so a text may be cut there and
     each piece be looked up. Pieces that touch other white space are put together again first. At most ``most``
-    pieces are kept, in two generations, so that memory is bounded and frequent pieces stay.
+    pieces of at most ``LONGEST`` characters are kept, in two generations, so that memory is bounded and frequent
+    pieces stay; longer ones are mapped each time anew.
     """
 
     def __init__(self, of_word: Callable, join: Callable, special: dict[str, object] | None = None, most: int = 150_000, of_words: Callable | None = None, of_special: Callable | None = None):
@@ -59,9 +63,10 @@ class PieceMap:
             if not piece or piece[0].isspace() or piece[-1].isspace():
                 return None
             v = self._words(" " + piece)
-        if len(self.young) >= self.most:
-            self.old, self.young = self.young, {}
-        self.young[piece] = v
+        if len(piece) <= LONGEST:
+            if len(self.young) >= self.most:
+                self.old, self.young = self.young, {}
+            self.young[piece] = v
         return v
 
     def _merged(self, text: str):
@@ -81,7 +86,7 @@ class PieceMap:
         for w in words:
             if (v := self.words.get(w)) is None:
                 v = self.of_word(w.encode("utf-8", "surrogatepass"))
-                if len(w) <= 64:
+                if len(w) <= LONGEST:
                     if len(self.words) >= self.most:
                         self.words.clear()
                     self.words[w] = v

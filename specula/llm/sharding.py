@@ -4,18 +4,19 @@ The tree starts with all documents and the number of shards. A node of k shards
 going left, at the point of the widest metadata dimension where the left side has its share of the bytes: a
 weighted median. Dimensions are numbers, scaled to 0 to 1 over the table: length, language and mean word length,
 which copies of a text share. Which is widest is its spread inside the node. Documents that tie in it are told
-apart by a hash of their text, then by doc_id, so that copies keep together as long as the law, equal bytes,
-allows, and a group of any size may be cut.
+apart by a hash of their text, then by one of doc_id and of a row's number among rows equal to it, so that copies
+keep together as long as the law, equal bytes, allows, and a group of any size may be cut, rows repeated whole too.
+Such rows are numbered without gathering them: equal ones are counted, and the counts are laid out again in runs.
 
 Medians are found by counting, not sorting: all nodes of a level sum their bytes in 1,024 bins of the ordering
 key, the driver reads that small table and narrows each node to one bin, until a bin is under 1/2000 of a shard or
 a single key. What reaches the driver is nodes x bins, whatever the data's size. The slot of a row in its shard is
-the count of the chunks before it, plus its place in its own chunk; chunks are made by doc_id's hash and hold
-about 250,000 rows each, so no shard needs to be sorted in one task.
+the count of the chunks before it, plus its place in its own chunk; chunks are made by a hash of text, doc_id and
+number and hold about 250,000 rows each, so no shard needs to be sorted in one task.
 
 Defined results: a null text has no bytes (size 8) and the checksum of the empty text; null language or source is
-the value below all; rows that repeat, doc_id included, keep together in key order and take separate slots; an
-empty table gives no rows; further columns are dropped by the query.
+the value below all; rows that repeat, doc_id included (or null), are told apart by their number, may come into
+several shards and take separate slots; an empty table gives no rows; further columns are dropped by the query.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from specula.llm.common import drop_written, table, text_or_empty, written
+from specula.llm.common import drop_written, partitions, table, text_or_empty, written
 
 BINS = 1024
 TIE_BITS = 40  # of the ordering key, below 22 bits of the dimension's value
+OWN_BITS = 16  # of these, for what tells copies of a text apart
 
 
 def ordering_key(value, tie):
@@ -111,21 +113,34 @@ def slots(rows: DataFrame, by: str, order: list[str], chunk_rows: int = 250_000)
 
 
 def metadata(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, the ties' hash and the raw dimensions of each document."""
+    """doc_id, copy, size, text_crc32, the raw dimensions and the tie of each document."""
     text = F.encode(text_or_empty(), "UTF-8")
     head = F.rpad(F.substring(F.hex(F.encode(F.coalesce(F.col("lang"), F.lit("")), "UTF-8")), 1, 12), 12, "0")
     spaces = F.length(text_or_empty()) - F.length(F.replace(text_or_empty(), F.lit(" ")))
-    tie = F.shiftrightunsigned(F.xxhash64(text_or_empty()), 64 - 28)
-    own = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - 12)
-    return docs.select(
+    of_each = docs.select(
         "doc_id",
         (F.octet_length(text) + 8).cast("bigint").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.log2(F.octet_length(text) + 8.0).alias("length"),
         F.conv(head, 16, 10).cast("double").alias("language"),
         F.log2(F.length(text_or_empty()) / (spaces + 1) + 1.0).alias("word_length"),
-        F.shiftleft(tie, 12).bitwiseOR(own).alias("tie"),
+        F.xxhash64(text_or_empty()).alias("text_hash"),
     )
+    return numbered(of_each)
+
+
+def numbered(rows: DataFrame, run: int = 10_000) -> DataFrame:
+    """``rows`` with ``copy``, from 0 among equal rows, and ``tie``: bits of text_hash, then of doc_id and copy.
+
+    Equal rows are counted, partial counts first; counts come back as runs of ``run`` rows, which are dealt out anew.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    runs = counted.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(run).cast("bigint"))))
+    dealt = runs.repartition(partitions(rows), F.xxhash64("doc_id", "text_hash", "_from"))
+    every = dealt.withColumn("copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + run, F.col("_n")) - 1))).drop("_from", "_n")
+    of_text = F.shiftrightunsigned("text_hash", 64 - TIE_BITS + OWN_BITS)
+    own = F.shiftrightunsigned(F.xxhash64("doc_id", "copy"), 64 - OWN_BITS)
+    return every.withColumn("tie", F.shiftleft(of_text, OWN_BITS).bitwiseOR(own)).drop("text_hash")
 
 
 def scaled(rows: DataFrame, dims: list[str]) -> DataFrame:
@@ -137,7 +152,8 @@ def scaled(rows: DataFrame, dims: list[str]) -> DataFrame:
 
 def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = ["length", "language", "word_length"]
-    rows = scaled(written(metadata(table(spark, sf_dir, "documents")), "shard-metadata"), dims)
-    placed = assign(rows, dims, "size", "tie", 24)
-    out = slots(placed.select("doc_id", "size", "text_crc32", "shard"), "shard", ["text_crc32", "doc_id"])
+    kept = written(metadata(table(spark, sf_dir, "documents")), "shard-metadata")
+    placed = assign(scaled(kept, dims), dims, "size", "tie", 24)
+    drop_written(kept)
+    out = slots(placed.select("doc_id", "copy", "size", "text_crc32", "shard"), "shard", ["text_crc32", "doc_id", "copy"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

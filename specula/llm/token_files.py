@@ -33,6 +33,7 @@ from pyspark.sql.window import Window
 from specula.llm.bpe_automaton import byte_symbols
 from specula.llm.bpe_codec import blocks as small_batches
 from specula.llm.common import partitions, shared_dir, table, texts_of
+from specula.llm.pretokens import LONGEST
 
 BLOCK = 4096
 SEGMENT = 64 * BLOCK
@@ -80,7 +81,7 @@ def unpack_segment(data: bytes) -> np.ndarray:
 
 
 class LibraryPieces:
-    """Ids of texts by the tokenizers library, asked for each word once while it is remembered.
+    """Ids of texts by the tokenizers library, asked for each word once while it is remembered (64 characters at most).
 
     For vocabularies that lower case, drop white space and keep letters apart from other characters: the ids of a text
     are then those of its pieces between spaces and line ends, one after another, and a piece of letters with ASCII
@@ -109,7 +110,8 @@ class LibraryPieces:
                         v = word(low) if len(stem) == len(piece) else word(low) + word(piece[len(stem) :])
                     else:
                         v = np.array(whole(piece, add_special_tokens=False).ids, "<u4").tobytes()
-                self[piece] = v
+                if len(piece) <= LONGEST:
+                    self[piece] = v
                 return v
 
         return Pieces()
@@ -119,7 +121,9 @@ class LibraryPieces:
             ids = [t.id for t in self.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.stand_ins))]
             if len(self.words) >= self.most:
                 self.words.clear()
-            v = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+            v = struct.pack(f"<{len(ids)}I", *ids)
+            if len(word) <= LONGEST:
+                self.words[word] = v
         return v
 
     def of(self, text: str) -> bytes:
