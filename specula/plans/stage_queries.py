@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specula.functions import colour as C
-from specula.plans.colour_queries import LAB, LIN, RGB, channels, f_inverse_sql, f_sql, lin_sql, linear, luma_sql, rounded, srgb_sql
+from specula.plans.colour_queries import LAB, LIN, RGB, channels, f_inverse_sql, f_sql, lin_sql, linear, luma_sql, rounded, row_sql, srgb_sql
 from specula.plans.registry import query
 from specula.plans.statistics_queries import _ramp_sql, _squeeze_sql, percentile
 from specula.sources.tables import PX, pixels
@@ -128,19 +128,29 @@ def _moved_sql(c: str, k: int) -> str:
     return f"{part('l <= p25', SHADOWS)} AS sh_{c}, {part('l >= p90', HIGHLIGHTS)} AS hi_{c}, {part('l >= p25 AND l <= p75', MIDDLE)} AS mid_{c}"
 
 
-@query(
-    f"""WITH {_LAB9}, q AS (SELECT image, round(quantile_cont(l, 0.10), 9) AS p10, round(quantile_cont(l, 0.25), 9) AS p25, round(quantile_cont(l, 0.75), 9) AS p75, round(quantile_cont(l, 0.90), 9) AS p90, median(a) AS ma, median(b) AS mb FROM p GROUP BY image),
-d AS (SELECT image, {_moved_sql('a', 0)}, {_moved_sql('b', 1)} FROM p JOIN q USING (image) GROUP BY image),
-w AS (SELECT p.*, d.* EXCLUDE (image), 1 - {_ramp_sql('l', 'p25', 'p25 + 0.75 * greatest(p75 - p25, 1.0)')} AS ws, {_ramp_sql('l', 'p75 - 0.75 * greatest(p75 - p25, 1.0)', 'p75')} AS wh, 1 - {_ramp_sql('l', 'p10', 'p10 + 0.25 * greatest(p75 - p25, 1.0)')} AS wd FROM p JOIN q USING (image) JOIN d USING (image)),
-m AS (SELECT *, least(least(greatest(1 - ws - wh, 0.0), 1.0) / {WHOLE}, 1.0) AS wm FROM w)
-SELECT image, round(l, 6) AS l, {', '.join(f'round({c} + sh_{c} * ws + hi_{c} * wh + {DEEPEST[k]} * wd + mid_{c} * wm, 6) AS {c}' for k, c in enumerate('ab'))} FROM m"""
-)
-def grade_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _split_sql(of: str, to: str) -> str:
+    """Tables that end with ``to``: the step of :func:`split` over the table ``of``; names in between start with ``to``."""
+    q, d, w, m = (f"{to}_{n}" for n in "qdwm")
+    return f"""{q} AS (SELECT image, round(quantile_cont(l, 0.10), 9) AS p10, round(quantile_cont(l, 0.25), 9) AS p25, round(quantile_cont(l, 0.75), 9) AS p75, round(quantile_cont(l, 0.90), 9) AS p90, median(a) AS ma, median(b) AS mb FROM {of} GROUP BY image),
+{d} AS (SELECT image, {_moved_sql('a', 0)}, {_moved_sql('b', 1)} FROM {of} JOIN {q} USING (image) GROUP BY image),
+{w} AS (SELECT {of}.*, {d}.* EXCLUDE (image), 1 - {_ramp_sql('l', 'p25', 'p25 + 0.75 * greatest(p75 - p25, 1.0)')} AS ws, {_ramp_sql('l', 'p75 - 0.75 * greatest(p75 - p25, 1.0)', 'p75')} AS wh, 1 - {_ramp_sql('l', 'p10', 'p10 + 0.25 * greatest(p75 - p25, 1.0)')} AS wd FROM {of} JOIN {q} USING (image) JOIN {d} USING (image)),
+{m} AS (SELECT *, least(least(greatest(1 - ws - wh, 0.0), 1.0) / {WHOLE}, 1.0) AS wm FROM {w}),
+{to} AS (SELECT image, l, {', '.join(f'{c} + sh_{c} * ws + hi_{c} * wh + {DEEPEST[k]} * wd + mid_{c} * wm AS {c}' for k, c in enumerate('ab'))} FROM {m})"""
+
+
+def _six_sql(of: str) -> str:
+    return f"SELECT image, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in 'lab')} FROM {of}"
+
+
+def _six(lab: DataFrame) -> DataFrame:
+    return lab.select("image", *[(F.round(c, 6) + 0.0).alias(c) for c in "lab"])
+
+
+def split(lab: DataFrame) -> DataFrame:
     """Shadows, middle and highlights of each image taken to a style's colours, by soft weights and within a limit.
 
     Two aggregates, percentiles and the parts' means, are joined back as a row an image.
     """
-    lab = _lab(spark, sf_dir)
     q = lab.groupBy("image").agg(percentile("l", 0.10, 0.25, 0.75, 0.90).alias("p"), *[percentile(c, 0.5)[0].alias(f"m{c}") for c in "ab"])
     q = q.select("image", "ma", "mb", *[F.round(F.col("p")[k], 9).alias(n) for k, n in enumerate(("p10", "p25", "p75", "p90"))])
     parts = {"sh": (F.col("l") <= F.col("p25"), SHADOWS), "hi": (F.col("l") >= F.col("p90"), HIGHLIGHTS), "mid": ((F.col("l") >= F.col("p25")) & (F.col("l") <= F.col("p75")), MIDDLE)}
@@ -151,8 +161,13 @@ def grade_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     p10, p25, p75, span = (F.col(c) for c in ("p10", "p25", "p75", "span"))
     df = df.withColumns({"ws": 1 - ramp(p25, p25 + 0.75 * span), "wh": ramp(p75 - 0.75 * span, p75), "wd": 1 - ramp(p10, p10 + 0.25 * span)})
     df = df.withColumn("wm", F.least(F.least(F.greatest(1 - F.col("ws") - F.col("wh"), F.lit(0.0)), F.lit(1.0)) / WHOLE, F.lit(1.0)))
-    new = lambda k, c: F.round(F.col(c) + F.col(f"sh_{c}") * F.col("ws") + F.col(f"hi_{c}") * F.col("wh") + DEEPEST[k] * F.col("wd") + F.col(f"mid_{c}") * F.col("wm"), 6).alias(c)
-    return df.select("image", F.round("l", 6).alias("l"), *[new(k, c) for k, c in enumerate("ab")])
+    new = lambda k, c: (F.col(c) + F.col(f"sh_{c}") * F.col("ws") + F.col(f"hi_{c}") * F.col("wh") + DEEPEST[k] * F.col("wd") + F.col(f"mid_{c}") * F.col("wm")).alias(c)
+    return df.select("image", "l", *[new(k, c) for k, c in enumerate("ab")])
+
+
+@query(f"WITH {_LAB9}, {_split_sql('p', 'sp')} {_six_sql('sp')}")
+def grade_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _six(split(_lab(spark, sf_dir)))
 
 
 def _band_sql(centre: float, half: float) -> str:
@@ -160,16 +175,19 @@ def _band_sql(centre: float, half: float) -> str:
     return f"({t} * {t} * (3 - 2 * {t}))"
 
 
-@query(
-    f"""WITH {_LAB9}, h AS (SELECT *, sqrt(a * a + b * b) AS c, {_hue_sql()} AS h FROM p), v AS (SELECT *, {_ramp_sql('c', repr(VIVID * 0.6), repr(VIVID * 1.4))} AS live FROM h),
-k AS (SELECT *, live * ({' + '.join(f'{_band_sql(c, w)} * {k + o!r}' for (c, w, k, _), o in zip(BANDS, OWN, strict=True))}) AS k, live * ({' + '.join(f'{_band_sql(c, w)} * {d!r}' for c, w, _, d in BANDS)}) AS d FROM v),
-s AS (SELECT *, CASE WHEN k > {MOST} THEN {MOST} / k ELSE 1.0 END AS s FROM k), n AS (SELECT *, c * greatest(1 + k * s, 0.0) AS now FROM s), q AS (SELECT image, median(c) AS m0, median(now) AS m1 FROM n GROUP BY image),
-f AS (SELECT n.*, (CASE WHEN m1 > 1e-6 THEN m0 / m1 ELSE 1.0 END) * now / greatest(c, 1e-6) AS f FROM n JOIN q USING (image))
-SELECT image, round(least(greatest(l + least(greatest(d * s, -6.0), 8.0) * live, 0.0), 100.0), 6) AS l, round(a * f, 6) + 0.0 AS a, round(b * f, 6) + 0.0 AS b FROM f"""
-)
-def grade_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _mix_sql(of: str, to: str) -> str:
+    """Tables that end with ``to``: the step of :func:`mix` over the table ``of``."""
+    h, v, k, s, n, q, f = (f"{to}_{x}" for x in "hvksnqf")
+    return f"""{h} AS (SELECT *, sqrt(a * a + b * b) AS c, {_hue_sql()} AS h FROM {of}), {v} AS (SELECT *, {_ramp_sql('c', repr(VIVID * 0.6), repr(VIVID * 1.4))} AS live FROM {h}),
+{k} AS (SELECT *, live * ({' + '.join(f'{_band_sql(c, w)} * {k + o!r}' for (c, w, k, _), o in zip(BANDS, OWN, strict=True))}) AS k, live * ({' + '.join(f'{_band_sql(c, w)} * {d!r}' for c, w, _, d in BANDS)}) AS d FROM {v}),
+{s} AS (SELECT *, CASE WHEN k > {MOST} THEN {MOST} / k ELSE 1.0 END AS s FROM {k}), {n} AS (SELECT *, c * greatest(1 + k * s, 0.0) AS now FROM {s}), {q} AS (SELECT image, median(c) AS m0, median(now) AS m1 FROM {n} GROUP BY image),
+{f} AS (SELECT {n}.*, (CASE WHEN m1 > 1e-6 THEN m0 / m1 ELSE 1.0 END) * now / greatest(c, 1e-6) AS f FROM {n} JOIN {q} USING (image)),
+{to} AS (SELECT image, least(greatest(l + least(greatest(d * s, -6.0), 8.0) * live, 0.0), 100.0) AS l, a * f AS a, b * f AS b FROM {f})"""
+
+
+def mix(lab: DataFrame) -> DataFrame:
     """Chroma, and some lightness, by ten bands of hue; greys stay, gains are capped, the image's median chroma is kept."""
-    df = _lab(spark, sf_dir).withColumns({"c": C.chroma(F.col("a"), F.col("b")), "h": C.hue_degrees(F.col("a"), F.col("b"))})
+    df = lab.withColumns({"c": C.chroma(F.col("a"), F.col("b")), "h": C.hue_degrees(F.col("a"), F.col("b"))})
     df = df.withColumn("live", C.smoothstep(F.col("c"), VIVID * 0.6, VIVID * 1.4))
     weight = [C.hue_weight(F.col("h"), c, w) for c, w, _, _ in BANDS]
     df = df.withColumns({"k": F.col("live") * sum(w * (k + o) for w, (_, _, k, _), o in zip(weight, BANDS, OWN, strict=True)), "d": F.col("live") * sum(w * d for w, (_, _, _, d) in zip(weight, BANDS, strict=True))})
@@ -177,4 +195,103 @@ def grade_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = df.groupBy("image").agg(percentile("c", 0.5)[0].alias("m0"), percentile("now", 0.5)[0].alias("m1"))
     df = df.join(q, "image").withColumn("f", F.when(F.col("m1") > 1e-6, F.col("m0") / F.col("m1")).otherwise(1.0) * F.col("now") / F.greatest("c", F.lit(1e-6)))
     light = F.least(F.greatest(F.col("l") + F.least(F.greatest(F.col("d") * F.col("s"), F.lit(-6.0)), F.lit(8.0)) * F.col("live"), F.lit(0.0)), F.lit(100.0))
-    return df.select("image", F.round(light, 6).alias("l"), *[(F.round(F.col(c) * F.col("f"), 6) + 0.0).alias(c) for c in "ab"])
+    return df.select("image", light.alias("l"), *[(F.col(c) * F.col("f")).alias(c) for c in "ab"])
+
+
+@query(f"WITH {_LAB9}, {_mix_sql('p', 'mx')} {_six_sql('mx')}")
+def grade_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _six(mix(_lab(spark, sf_dir)))
+
+
+#: Lightness, chroma and hue that a style gives skin, the most that each is moved (in L*, as a share, in
+#: degrees), the gain of contrast round skin's own median, and the weight from which on a pixel counts wholly.
+SKIN, SKIN_MOVE, SKIN_CONTRAST, SKIN_WHOLE = (67.47, 22.81, 54.0), (12.0, 0.6, 50.0), 1.45, 0.70
+#: Centre and half width of skin's window of hue, and the weight at its centre.
+SKIN_HUE, SKIN_PEAK = (35.0, 26.0), 0.6
+
+
+def _skin_sql(of: str, to: str) -> str:
+    """Tables that end with ``to``: the step of :func:`skin` over the table ``of``."""
+    h, w, q, d, t = (f"{to}_{n}" for n in "hwqdt")
+    limited = lambda x, most: f"least(greatest({x}, {-most}), {most})"
+    turn = f"({SKIN[2]} - degrees(atan2(sb, sa)) + 540.0)"
+    return f"""{h} AS (SELECT *, sqrt(a * a + b * b) AS c, {_hue_sql()} AS h FROM {of}), {w} AS (SELECT *, round({_band_sql(*SKIN_HUE)} * {_ramp_sql('c', repr(VIVID * 0.6), repr(VIVID * 1.4))} * {SKIN_PEAK}, 9) AS w FROM {h}),
+{q} AS (SELECT image, median(l) AS sl, median(c) AS sc, median(a) AS sa, median(b) AS sb FROM {w} WHERE w > 0.5 GROUP BY image),
+{d} AS (SELECT image, sl, {limited(f'{SKIN[0]} - sl', SKIN_MOVE[0])} AS dl, {limited(f'{SKIN[1]} / greatest(sc, 1e-6) - 1', SKIN_MOVE[1])} AS dc, {limited(f'{turn} - 360 * floor({turn} / 360) - 180', SKIN_MOVE[2])} AS dh FROM {q}),
+{t} AS (SELECT image, l, a, b, sl, dl, CASE WHEN sl IS NULL THEN 0.0 ELSE least(w / {SKIN_WHOLE}, 1.0) END AS n, coalesce(dc, 0.0) AS dc, radians(coalesce(dh, 0.0)) AS dh FROM {w} LEFT JOIN {d} USING (image)),
+{to} AS (SELECT image, CASE WHEN sl IS NULL THEN l ELSE least(greatest(least(greatest(l + (l - sl) * {SKIN_CONTRAST - 1!r} * n, 0.0), 100.0) + dl * n, 0.0), 100.0) END AS l, (1 + dc * n) * (a * cos(dh * n) - b * sin(dh * n)) AS a, (1 + dc * n) * (a * sin(dh * n) + b * cos(dh * n)) AS b FROM {t})"""
+
+
+def skin(lab: DataFrame) -> DataFrame:
+    """Skin, by a soft window of hue and chroma, taken to a style's lightness, chroma and hue, each within its limit.
+
+    Its medians are one aggregate, a row an image; images without a pixel in the window's middle stay as they are.
+    """
+    df = lab.withColumn("c", C.chroma(F.col("a"), F.col("b")))
+    w = C.hue_weight(C.hue_degrees(F.col("a"), F.col("b")), *SKIN_HUE) * C.smoothstep(F.col("c"), VIVID * 0.6, VIVID * 1.4) * SKIN_PEAK
+    df = df.withColumn("w", F.round(w, 9))
+    q = df.where("w > 0.5").groupBy("image").agg(*[percentile(c, 0.5)[0].alias(f"s{c}") for c in "lcab"])
+    limited = lambda x, k: F.least(F.greatest(x, F.lit(-SKIN_MOVE[k])), F.lit(SKIN_MOVE[k]))
+    turn = F.pmod(SKIN[2] - F.degrees(F.atan2("sb", "sa")) + 540.0, F.lit(360.0)) - 180
+    d = q.select("image", "sl", limited(SKIN[0] - F.col("sl"), 0).alias("dl"), limited(SKIN[1] / F.greatest("sc", F.lit(1e-6)) - 1, 1).alias("dc"), F.radians(limited(turn, 2)).alias("dh"))
+    df = df.join(d, "image", "left").withColumn("n", F.when(F.col("sl").isNull(), 0.0).otherwise(F.least(F.col("w") / SKIN_WHOLE, F.lit(1.0))))
+    light = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(100.0))
+    df = df.withColumns({"k": 1 + F.coalesce("dc", F.lit(0.0)) * F.col("n"), "t": F.coalesce("dh", F.lit(0.0)) * F.col("n")})
+    new = F.when(F.col("sl").isNull(), F.col("l")).otherwise(light(light(F.col("l") + (F.col("l") - F.col("sl")) * (SKIN_CONTRAST - 1) * F.col("n")) + F.col("dl") * F.col("n")))
+    a, b, cos, sin = F.col("a"), F.col("b"), F.cos("t"), F.sin("t")
+    return df.select("image", new.alias("l"), (F.col("k") * (a * cos - b * sin)).alias("a"), (F.col("k") * (a * sin + b * cos)).alias("b"))
+
+
+@query(f"WITH {_LAB9}, {_skin_sql('p', 'sk')} {_six_sql('sk')}")
+def grade_skin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _six(skin(_lab(spark, sf_dir)))
+
+
+#: Rounds in which a colour that doesn't come back from the gamut loses chroma, what is left of it, and how far off it may be.
+ROUNDS, LEFT, OFF = 5, 0.8, 0.5
+UNIT = ("u_r", "u_g", "u_b")  # channels on the way; b is taken
+
+
+def _unit_sql(l: str, a: str, b: str) -> str:  # noqa: E741
+    """u_r, u_g and u_b of colours, cut to 0 to 1."""
+    x, y, z = f"({f_inverse_sql(f'(({l} + 16) / 116 + {a} / 500)')} * {C.WHITE[0]!r})", f_inverse_sql(f"(({l} + 16) / 116)"), f"({f_inverse_sql(f'(({l} + 16) / 116 - {b} / 200)')} * {C.WHITE[2]!r})"
+    return ", ".join(f"least(greatest({row_sql(row, x, y, z)}, 0.0), 1.0) AS u_{n}" for row, n in zip(C.XYZ_TO_RGB, RGB, strict=True))
+
+
+def _gamut_sql(of: str, to: str) -> str:
+    """Tables that end with ``to``: r, g, b of the table ``of``, brought into the gamut."""
+    out, at = [], of
+    for k in range(ROUNDS):
+        u, f, n = f"{to}_u{k}", f"{to}_f{k}", f"{to}_n{k}"
+        out.append(f"{u} AS (SELECT image, l, a, b, {_unit_sql('l', 'a', 'b')} FROM {at})")
+        out.append(f"{f} AS (SELECT image, l, a, b, {', '.join(f_sql(f'({row_sql(row, *UNIT)} / {w!r})') + f' AS f{i}' for i, (row, w) in enumerate(zip(C.RGB_TO_XYZ, C.WHITE, strict=True)))} FROM {u})")
+        out.append(f"{n} AS (SELECT image, l, {', '.join(f'{c} * CASE WHEN abs(500 * (f0 - f1) - a) > {OFF} OR abs(200 * (f1 - f2) - b) > {OFF} THEN {LEFT} ELSE 1.0 END AS {c}' for c in 'ab')} FROM {f})")
+        at = n
+    return ", ".join([*out, f"{to}_u AS (SELECT image, {_unit_sql('l', 'a', 'b')} FROM {at})", f"{to} AS (SELECT image, {', '.join(f'{srgb_sql(u)} AS {c}' for u, c in zip(UNIT, RGB, strict=True))} FROM {to}_u)"])
+
+
+def into_gamut(lab: DataFrame) -> DataFrame:
+    """image, r, g, b in 0 to 1: colours outside keep lightness and hue and lose chroma in rounds until they come back unchanged."""
+    unit = lambda: dict(zip(UNIT, [F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) for c in C.lab_to_linear(*map(F.col, "lab"))], strict=True))
+    df = lab
+    for _ in range(ROUNDS):
+        _, a, b = C.linear_to_lab(*map(F.col, UNIT))
+        df = df.withColumns(unit()).withColumns({"a_": a, "b_": b})
+        k = F.when((F.abs(F.col("a_") - F.col("a")) > OFF) | (F.abs(F.col("b_") - F.col("b")) > OFF), LEFT).otherwise(1.0)
+        df = df.select("image", "l", *[(F.col(c) * k).alias(c) for c in "ab"])
+    return df.withColumns(unit()).select("image", *[C.linear_to_srgb(F.col(c)).alias(n) for c, n in zip(UNIT, RGB, strict=True)])
+
+
+def _nine_sql(of: str, to: str) -> str:
+    return f"{to} AS (SELECT image, {', '.join(f'round({c}, 9) AS {c}' for c in 'lab')} FROM {of})"
+
+
+def _nine(lab: DataFrame) -> DataFrame:
+    return lab.select("image", *[F.round(c, 9).alias(c) for c in "lab"])
+
+
+@query(f"WITH {_LAB9}, {_split_sql('p', 'sp')}, {_nine_sql('sp', 'sp9')}, {_mix_sql('sp9', 'mx')}, {_nine_sql('mx', 'mx9')}, {_skin_sql('mx9', 'sk')}, {_gamut_sql('sk', 'o')} SELECT image, {', '.join(f'round({c}, 5) + 0.0 AS {c}' for c in RGB)} FROM o")
+def grade_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps of grading in their order, each measuring what the one before left: parts, bands of hue, skin, gamut."""
+    out = into_gamut(skin(_nine(mix(_nine(split(_lab(spark, sf_dir)))))))
+    return out.select("image", *[(F.round(c, 5) + 0.0).alias(c) for c in RGB])
