@@ -9,6 +9,7 @@ from specula.functions import colour as C
 from specula.plans.colour_queries import LAB, LIN, RGB, channels, f_inverse_sql, f_sql, lin_sql, linear, luma_sql, rounded, row_sql, srgb_sql
 from specula.plans.registry import query
 from specula.plans.statistics_queries import _ramp_sql, _squeeze_sql, percentile
+from specula.sources.shared import written
 from specula.sources.tables import PX, pixels
 
 #: Lightness that a style aims at for the 5th, 50th and 95th percentile; the least luminance; the gain's limit in stops.
@@ -227,10 +228,11 @@ def skin(lab: DataFrame) -> DataFrame:
 
     Its medians are one aggregate, a row an image; images without a pixel in the window's middle stay as they are.
     """
-    df = lab.withColumn("c", C.chroma(F.col("a"), F.col("b")))
-    w = C.hue_weight(C.hue_degrees(F.col("a"), F.col("b")), *SKIN_HUE) * C.smoothstep(F.col("c"), VIVID * 0.6, VIVID * 1.4) * SKIN_PEAK
+    df = lab.withColumns({"c": C.chroma(F.col("a"), F.col("b")), "h": C.hue_degrees(F.col("a"), F.col("b"))})
+    w = C.hue_weight(F.col("h"), *SKIN_HUE) * C.smoothstep(F.col("c"), VIVID * 0.6, VIVID * 1.4) * SKIN_PEAK
     df = df.withColumn("w", F.round(w, 9))
-    q = df.where("w > 0.5").groupBy("image").agg(*[percentile(c, 0.5)[0].alias(f"s{c}") for c in "lcab"])
+    # conditional aggregates: a filter would be pushed below the projections and carry all their expressions in one
+    q = df.groupBy("image").agg(*[percentile(f"CASE WHEN w > 0.5 THEN {c} END", 0.5)[0].alias(f"s{c}") for c in "lcab"])
     limited = lambda x, k: F.least(F.greatest(x, F.lit(-SKIN_MOVE[k])), F.lit(SKIN_MOVE[k]))
     turn = F.pmod(SKIN[2] - F.degrees(F.atan2("sb", "sa")) + 540.0, F.lit(360.0)) - 180
     d = q.select("image", "sl", limited(SKIN[0] - F.col("sl"), 0).alias("dl"), limited(SKIN[1] / F.greatest("sc", F.lit(1e-6)) - 1, 1).alias("dc"), F.radians(limited(turn, 2)).alias("dh"))
@@ -292,6 +294,12 @@ def _nine(lab: DataFrame) -> DataFrame:
 
 @query(f"WITH {_LAB9}, {_split_sql('p', 'sp')}, {_nine_sql('sp', 'sp9')}, {_mix_sql('sp9', 'mx')}, {_nine_sql('mx', 'mx9')}, {_skin_sql('mx9', 'sk')}, {_gamut_sql('sk', 'o')} SELECT image, {', '.join(f'round({c}, 5) + 0.0 AS {c}' for c in RGB)} FROM o")
 def grade_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All steps of grading in their order, each measuring what the one before left: parts, bands of hue, skin, gamut."""
-    out = into_gamut(skin(_nine(mix(_nine(split(_lab(spark, sf_dir)))))))
+    """All steps of grading in their order, each measuring what the one before left: parts, bands of hue, skin, gamut.
+
+    A step reads its input two or three times, to measure it and to map it, so what goes into each is written once.
+    """
+    out = _lab(spark, sf_dir)
+    for step in (split, mix):
+        out = _nine(step(written(out, "grading")))
+    out = into_gamut(skin(written(out, "grading")))
     return out.select("image", *[(F.round(c, 5) + 0.0).alias(c) for c in RGB])
