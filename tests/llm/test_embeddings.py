@@ -79,3 +79,25 @@ def test_neighbours_of_vectors_of_every_length(spark):
         assert len(got.get(q, [])) == len(near)
         hits, total = hits + len({k for _, k in near} & set(got.get(q, []))), total + len(near)
     assert hits >= 0.9 * total and got[500] == [520] and 510 not in got
+
+
+@pytest.mark.parametrize("kind", ["apart", "sparse"])
+def test_recall_where_queries_lie_elsewhere_than_rows(spark, kind):
+    from pyspark.sql import functions as F
+
+    from specula.llm import neighbours
+
+    r = np.random.default_rng(8)
+    n, d = 8000, 64
+    if kind == "apart":  # rows in clusters, queries in none
+        x = r.normal(size=(400, d))[r.integers(0, 400, n)] + 0.1 * r.normal(size=(n, d))
+        x[::50] = r.normal(size=(n // 50, d))
+    else:
+        x = np.where(r.random((n, d)) < 0.05, r.random((n, d)), 0.0)
+        x[~x.any(1), 0] = 1.0
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = neighbours.neighbours(df, F.col("vec_id") % 50 == 0).collect()
+    s = neighbours.unit(x[::50]) @ neighbours.unit(x).T
+    s[np.arange(n // 50), np.arange(0, n, 50)] = -2
+    fifth = np.sort(s, axis=1)[:, -5]  # rows of one direction are equally near
+    assert len(got) == n // 50 * 5 and np.mean([row["score"] > fifth[row["query_id"] // 50] - 1e-9 for row in got]) >= 0.9
