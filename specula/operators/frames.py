@@ -93,6 +93,11 @@ def area_downscale(df: DataFrame, key: str, value: str, height: int, width: int,
     return met.groupBy(key, F.col("_y.c").alias("y"), F.col("_x.c").alias("x")).agg((F.sum(F.col(value) * w) / F.sum(w)).alias(value))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value) with ``value`` computed once: where a lambda's body holds it, it is computed anew for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _through_fourier(v: Column, length: int, sigma: float, truncate: float) -> Column:
     """A complete line filtered by a Gaussian's response to its frequencies, mirrored about its ends before."""
     pad = int(truncate * sigma + 0.5)
@@ -102,10 +107,10 @@ def _through_fourier(v: Column, length: int, sigma: float, truncate: float) -> C
     half = n // 2 + 1  # the other frequencies mirror these
     response = F.lit([math.exp(-2 * (math.pi * sigma * u / n) ** 2) * (1 if u in (0, n - u) else 2) / n for u in range(half)])
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
-    line = F.transform(F.lit(places), lambda p: F.get(v, p))
-    wave = lambda table: F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda u: F.get(response, u) * total(F.transform(line, lambda x, i: x * F.get(table, (u * i) % n))))
+    wave = lambda line, table: F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda u: F.get(response, u) * total(F.transform(line, lambda x, i: x * F.get(table, (u * i) % n))))
     back = lambda both: F.transform(F.sequence(F.lit(pad), F.lit(pad + length - 1)), lambda x: total(F.transform(both, lambda f, u: f["re"] * F.get(cos, (u * x) % n) + f["im"] * F.get(sin, (u * x) % n))))
-    return back(F.arrays_zip(wave(cos).alias("re"), wave(sin).alias("im")))
+    there = lambda line: _let(F.arrays_zip(wave(line, cos).alias("re"), wave(line, sin).alias("im")), back)
+    return _let(v, lambda v: _let(F.transform(F.lit(places), lambda p: F.get(v, p)), there))
 
 
 def fourier_gaussian(df: DataFrame, key: str, value: str, height: int, width: int, sigma: float, truncate: float = 7.0) -> DataFrame:

@@ -189,3 +189,18 @@ def test_no_whole_signal_in_plans(spark, sf):
         plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         gathered = [line for line in plan.splitlines() if "collect_list" in line]
         assert all("block" in line for line in gathered), name
+
+
+def test_a_long_line_through_frequencies_in_bounded_time(spark):
+    import time
+
+    n, sigma, pad = 1000, 2.0, 14
+    v = np.random.default_rng(4).random(n)
+    df = spark.createDataFrame([(0, 0, k, float(x)) for k, x in enumerate(v)], "image int, y int, x int, v double")
+    begin = time.time()
+    got = {r["x"]: r["v"] for r in frames.fourier_gaussian(df, "image", "v", 1, n, sigma).collect()}
+    took = time.time() - begin
+    line = np.pad(v, pad, mode="reflect")
+    response = np.exp(-2 * (np.pi * sigma * np.fft.rfftfreq(len(line))) ** 2)
+    want = np.fft.irfft(np.fft.rfft(line) * response, len(line))[pad:-pad]
+    assert np.allclose([got[k] for k in range(n)], want) and took < 60  # minutes if its transform is made anew for each pixel
