@@ -1,6 +1,6 @@
 """Directories of tagged values inside bytes, as pictures' metadata has them: columns beside a binary column.
 
-Everything is read by offsets from the bytes' hexadecimal text; what lies beyond the bytes is null, and an entry with a
+Everything is read by offsets from the bytes; what lies beyond the bytes is null, and an entry with a
 null gives no value. Walks are bounded by the bytes' length.
 """
 
@@ -15,16 +15,25 @@ TAGS = {0x010F: "make", 0x0110: "model", 0x0112: "orientation", 0x829A: "exp", 0
 SECOND, TEXT, SHORT, LONG, RATIO = 0x8769, 2, 3, 4, 5
 
 
+def _reversed(hex_: Column) -> Column:
+    """Bytes in reverse order, of hexadecimal text."""
+    return F.unhex(F.regexp_replace(F.reverse(hex_), "(.)(.)", "$2$1"))
+
+
 class Bytes:
-    """Numbers and texts at places of the bytes whose hexadecimal text is the column ``_hex``, null beyond their end."""
+    """Numbers and texts at places of the column ``column``, null beyond its end; ``_size`` is its length.
+
+    A number is one cut: where the order of bytes is little, from ``_view``, the bytes in reverse order.
+    """
 
-    def __init__(self, little: Column):
-        self.hex, self.size, self.little = F.col("_hex"), F.col("_size"), little
+    def __init__(self, column: str, little: Column | None = None):
+        self.bytes, self.size, self.little = F.col(column), F.col("_size"), little
 
     def number(self, at: Column, width: int) -> Column:
-        cut = [self.hex.substr((at * 2 + 1 + 2 * k).cast("int"), F.lit(2)) for k in range(width)]
-        text = F.when(self.little, F.concat(*reversed(cut))).otherwise(F.concat(*cut))
-        return F.when((at >= 0) & (at + width <= self.size), F.conv(text, 16, 10).cast("bigint"))
+        view = self.bytes if self.little is None else F.col("_view")
+        begin = at if self.little is None else F.when(self.little, self.size - width - at).otherwise(at)
+        cut = F.substring(view, (begin + 1).cast("int"), F.lit(width))
+        return F.when((at >= 0) & (at + width <= self.size), F.conv(F.hex(cut), 16, 10).cast("bigint"))
 
     def signed(self, at: Column, width: int) -> Column:
         n = self.number(at, width)
@@ -32,7 +41,7 @@ class Bytes:
 
     def text(self, at: Column, count: Column) -> Column:
         """Up to ``count`` bytes, no further than the first zero byte."""
-        part = F.when((at >= 0) & (at < self.size), self.hex.substr((at * 2 + 1).cast("int"), (F.least(count, self.size - at) * 2).cast("int")))
+        part = F.when((at >= 0) & (at < self.size), F.hex(F.substring(self.bytes, (at + 1).cast("int"), F.least(count, self.size - at).cast("int"))))
         whole = F.regexp_extract(part, "^((?:(?!00)..)*)", 1)
         return F.when(count > 0, F.unhex(whole).cast("string"))
 
@@ -42,7 +51,7 @@ def with_start(df: DataFrame, jpeg: str, to: str) -> DataFrame:
 
     Segments are walked one by one, at most as many steps as fit into the bytes.
     """
-    b = Bytes(F.lit(False))
+    b = Bytes(jpeg)
     state = lambda at, found: F.struct(at.cast("bigint").alias("at"), found.cast("bigint").alias("found"))
     over = F.lit(-1)
 
@@ -54,9 +63,9 @@ def with_start(df: DataFrame, jpeg: str, to: str) -> DataFrame:
         to = F.when(first != 0xFF, at + 1).when(marker == 0xFFDA, over).when(no_length, at + 2).when(size < 2, over).otherwise(at + 2 + size)
         return F.when(s["found"].isNotNull() | (at < 0) | (at + 4 > b.size), s).when((first == 0xFF) & is_exif, state(at, at + 10)).otherwise(state(to, F.lit(None)))
 
-    out = df.withColumns({"_hex": F.hex(jpeg), "_size": F.length(jpeg)})
+    out = df.withColumn("_size", F.length(jpeg))
     walk = F.aggregate(F.sequence(F.lit(0), F.coalesce("_size", F.lit(0))), state(F.lit(2), F.lit(None)), step)["found"]
-    return out.withColumn(to, F.when((b.size >= 8) & (b.number(F.lit(0), 2) == 0xFFD8), walk)).drop("_hex", "_size")
+    return out.withColumn(to, F.when((b.size >= 8) & (b.number(F.lit(0), 2) == 0xFFD8), walk)).drop("_size")
 
 
 def _entries(b: Bytes, begin: Column) -> Column:
@@ -72,10 +81,10 @@ def with_values(df: DataFrame, column: str, start: str, to: str) -> DataFrame:
 
     Both byte orders; bytes without the header's mark give null; of a tag that repeats the last counts.
     """
-    b = Bytes(F.col("_little"))
+    b = Bytes(column, F.col("_little"))
     at = F.col(start)
-    out = df.withColumns({"_hex": F.hex(column), "_size": F.length(column)})
-    out = out.withColumn("_order", F.col("_hex").substr((at * 2 + 1).cast("int"), F.lit(4))).withColumn("_little", F.col("_order") == "4949")
+    out = df.withColumn("_size", F.length(column)).withColumn("_order", F.hex(F.substring(column, (at + 1).cast("int"), F.lit(2)))).withColumn("_little", F.col("_order") == "4949")
+    out = out.withColumn("_view", F.when(F.col("_little"), _reversed(F.hex(column))).otherwise(F.col(column)))
     out = out.withColumn("_begin", F.when(F.col("_order").isin("4949", "4D4D") & (b.number(at + 2, 2) == 42), at + b.number(at + 4, 4)))
     out = out.withColumn("_first", _entries(b, F.col("_begin")))
     pointer = F.get(F.filter("_first", lambda e: (e["tag"] == SECOND) & (e["kind"] == LONG)), F.lit(0))

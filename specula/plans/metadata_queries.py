@@ -20,7 +20,8 @@ def _number(n: Column, width: int, little: Column) -> Column:
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p_partkey and bytes: a JPEG's head for each part, with another segment before the metadata in some, bytes of either
     order, and in some a wrong mark, an end within the first directory, or no metadata at all."""
-    p = table(spark, sf_dir, "part")
+    # rows are few bytes and much work: as they are read, a few tasks would have them all
+    p = table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
     key, little = F.col("p_partkey"), F.col("p_partkey") % 2 == 0
     u16, u32 = (lambda n: _number(n, 2, little)), (lambda n: _number(n, 4, little))
     lit = lambda n: F.lit(n)
@@ -45,7 +46,7 @@ UNION ALL SELECT p_partkey, 'iso', p_size * 100.0, '' FROM p WHERE NOT cut UNION
 UNION ALL SELECT p_partkey, 'fnum', round(CASE WHEN p_partkey % 5 = 0 THEN 0.0 ELSE round(p_retailprice) / (p_partkey % 5 * 10) END, 8), '' FROM p WHERE NOT cut"""
 )
 def ifd_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known tags of each picture's bytes; bytes that can't be read give no rows. A map: bytes stay where they are."""
+    """Known tags of each picture's bytes; bytes that can't be read give no rows. A map over rows that are dealt out before."""
     df = D.with_values(D.with_start(pictures(spark, sf_dir), "bytes", "start"), "bytes", "start", "values")
     # of explode Spark would infer a filter and push it, with the whole expression, through every step above
     v = df.select("p_partkey", F.explode_outer("values").alias("v")).where("v.name IS NOT NULL")

@@ -98,3 +98,9 @@ def test_directories(spark):
         assert all(got[k] == v for k, v in want.items() if isinstance(v, str) and v.isascii())
         found += len(want)
     assert found > 150
+
+
+def test_pictures_are_dealt_out(spark, sf):
+    from specula.plans.metadata_queries import ifd_parse
+
+    assert ifd_parse(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
