@@ -297,12 +297,14 @@ def lut_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, c in enumerate(RGB):
         at = F.col(c) * (N - 1)
         df = df.withColumn(f"i{c}", F.least(F.floor(at), F.lit(N - 2)).cast("int")).withColumn(f"f{c}", at - F.col(f"i{c}"))
-        df = df.withColumn(f"p{c}", F.array(*(_mirrored(F.col(f"i{c}") + (d - 1), N) * N**k for d in range(4)))).withColumn(f"w{c}", F.array(*cubic_weights(F.col(f"f{c}"))))
-    each = lambda name, f: F.flatten(F.transform(f"{name}b", lambda b: F.flatten(F.transform(f"{name}g", lambda g: F.transform(f"{name}r", lambda r: f(r, g, b))))))
-    df = df.withColumns({"p": each("p", lambda r, g, b: r + g + b), "w": each("w", lambda r, g, b: r * g * b)})
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
-    df = df.withColumn("whole", total(F.col("w")))
-    return df.select("image", *rounded(RGB, [total(F.zip_with("w", "p", lambda w, p: w * F.get(t, p))) / F.col("whole") for t in L.baked(N, SHAPE)], 7))  # noqa: B023
+        weights = cubic_weights(F.col(f"f{c}"))
+        df = df.withColumns({f"p{c}{d}": _mirrored(F.col(f"i{c}") + (d - 1), N) * N**k for d in range(4)} | {f"w{c}{d}": w for d, w in enumerate(weights)})
+    # one axis after the other, in sums written out: lambdas over 64 points are not compiled
+    df = df.withColumns({f"p{g}{b}": F.col(f"pg{g}") + F.col(f"pb{b}") for g in range(4) for b in range(4)})
+    total = lambda c, f: sum(F.col(f"w{c}{d}") * f(d) for d in range(4))
+    at = lambda t: total("b", lambda b: total("g", lambda g: total("r", lambda r: F.get(t, F.col(f"pr{r}") + F.col(f"p{g}{b}")))))
+    whole = [sum(F.col(f"w{c}{d}") for d in range(4)) for c in RGB]
+    return df.select("image", *rounded(RGB, [at(t) / (whole[0] * whole[1] * whole[2]) for t in L.baked(N, SHAPE)], 7))
 
 
 @query(

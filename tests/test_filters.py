@@ -204,3 +204,9 @@ def test_a_long_line_through_frequencies_in_bounded_time(spark):
     response = np.exp(-2 * (np.pi * sigma * np.fft.rfftfreq(len(line))) ** 2)
     want = np.fft.irfft(np.fft.rfft(line) * response, len(line))[pad:-pad]
     assert np.allclose([got[k] for k in range(n)], want) and took < 60  # minutes if its transform is made anew for each pixel
+
+
+def test_table_cubic_has_no_lambdas(spark, sf):
+    from specula.plans.measure_queries import lut_cubic
+
+    assert "lambda" not in lut_cubic(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
