@@ -37,6 +37,38 @@ class PieceMap:
         self.old: dict[str, object] = {}
         self.words: dict[str, object] = {}
 
+    def learn(self, texts: list[str], of_many: Callable) -> None:
+        """Remember what ``of_many`` gives, all at once, for the words of the texts' new pieces.
+
+        Only a help for :meth:`of`, which maps by itself what isn't remembered.
+        """
+        met = set()
+        for t in texts:
+            met.update(t.split(" "))
+        met = met.difference(self.young)
+        new = [p for p in met if p not in self.old and 0 < len(p) <= LONGEST and not p[0].isspace() and not p[-1].isspace()]
+        words = self.split(" " + " ".join(new)) if new else []
+        unknown = [w for w in set(words) if w not in self.words]
+        known = dict(zip(unknown, of_many([w.encode("utf-8", "surrogatepass") for w in unknown]), strict=True))
+        begins = [k for k, w in enumerate(words) if w[0] == " "]
+        found = [v if (v := known.get(w)) is not None else self.words[w] for w in words]
+        for p, i, j in zip(new, begins, [*begins[1:], len(words)], strict=True):
+            if j - i == 1:
+                v = found[i]
+            else:
+                v = self.of_words(words[i:j]) if len(p.split()) > 1 and self._white(words[i:j]) else self.join(found[i:j])
+            self._keep(p, v)
+        for p, v in [(p, v) for p in met if (v := self.old.get(p)) is not None]:
+            self._keep(p, v)
+        if len(self.words) + len(known) > self.most:
+            self.words.clear()
+        self.words.update((w, known[w]) for w in unknown[: self.most] if len(w) <= LONGEST)
+
+    def _keep(self, piece: str, v) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[piece] = v
+
     def of(self, text: str):
         if self.cut and any(s in text for s in self.special):
             parts = self.cut(text)
@@ -64,9 +96,7 @@ class PieceMap:
                 return None
             v = self._words(" " + piece)
         if len(piece) <= LONGEST:
-            if len(self.young) >= self.most:
-                self.old, self.young = self.young, {}
-            self.young[piece] = v
+            self._keep(piece, v)
         return v
 
     def _merged(self, text: str):
@@ -79,9 +109,13 @@ class PieceMap:
         whole = lambda p: not p or p[0].isspace() or p[-1].isspace() or " " in p
         return self.join([self._words(pieces[0]), *(self._words(" " + p) if whole(p) else self._missed(p) for p in pieces[1:])])
 
+    def _white(self, words: list[str]) -> bool:
+        """Whether ``of_words`` is asked for: white space is parted into words."""
+        return bool(self.of_words) and any(w.isspace() and after[0].isspace() for w, after in zip(words, words[1:], strict=False))
+
     def _words(self, text: str):
         out, words = [], self.split(text)
-        if self.of_words and any(w.isspace() and after[0].isspace() for w, after in zip(words, words[1:], strict=False)):
+        if self._white(words):
             return self.of_words(words)
         for w in words:
             if (v := self.words.get(w)) is None:

@@ -30,6 +30,112 @@ from specula.llm.common import table
 from specula.llm.pretokens import PieceMap
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int32 if x.max() < 1 << 30 else np.int64)
+
+
+class PrefixTable:
+    """:meth:`BpeAutomaton.prefix_counts` of many words at once: tokens as a trie, lost arcs as one sorted array.
+
+    All tokens in all words are met first, then the words' prefixes are counted side by side, shorter ones first.
+    """
+
+    #: Bytes of words that are worked on together.
+    MOST = 1 << 17
+
+    def __init__(self, a: BpeAutomaton):
+        nodes = sorted({b[:k] for b in a.id_of for k in range(1, len(b) + 1)})
+        number = {b"": 0} | {b: k for k, b in enumerate(nodes, 1)}
+        arcs = np.array([number[b[:-1]] << 8 | b[-1] for b in nodes], np.int64)
+        # arcs by an open hash of at most half full; -1 in empty places
+        self.mask = (1 << (2 * len(arcs)).bit_length()) - 1
+        self.arcs, self.child = np.full(self.mask + 1, -1, np.int32), np.zeros(self.mask + 1, np.int32)
+        left, at = np.arange(len(arcs)), self._place(arcs)
+        while len(left):
+            free = self.arcs[at] < 0
+            self.arcs[at[free]] = arcs[left[free]]  # of several the last one stays
+            in_ = self.arcs[at] == arcs[left]
+            self.child[at[in_]] = left[in_] + 1
+            left, at = left[~in_], (at[~in_] + 1) & self.mask
+        self.two = np.zeros(1 << 16, np.int64)  # the node of two bytes
+        for b in nodes:
+            if len(b) == 2:
+                self.two[b[0] << 8 | b[1]] = number[b]
+        self.one = np.array([number.get(bytes([b]), 0) for b in range(256)])
+        self.token = np.array([-1, *(a.id_of.get(b, -1) for b in nodes)])
+        states = sorted({0, *(a.target[t] for t in a.id_of.values())})
+        row = {s: k for k, s in enumerate(states)}  # the start's is 0
+        self.row, self.place = np.array([row.get(s, 0) for s in a.target]), np.array(a.place)
+        self.bits = int(self.place.max()).bit_length()
+        lost = [(k << self.bits | lo, k << self.bits | hi) for s, k in row.items() for lo, hi in zip(*a._row(s), strict=True)]
+        self.los, self.his = map(_narrow, np.array([(-1, -1), *lost]).T)
+
+    def _place(self, arc: np.ndarray) -> np.ndarray:
+        return (arc.astype(np.int64) * 0x9E3779B1 >> 15) & self.mask
+
+    def changes(self, words: list[bytes]) -> list[bytes]:
+        """What :meth:`PrefixCounts.packed` makes of each word's counts."""
+        out, part, size = [], [], 0
+        for w in words:
+            part.append(w)
+            size += len(w)
+            if size >= self.MOST:
+                out += self._changes(part)
+                part, size = [], 0
+        return out + self._changes(part) if part else out
+
+    def _changes(self, words: list[bytes]) -> list[bytes]:
+        text, lengths = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths)
+        own, at = np.repeat(np.arange(len(words)), lengths), np.arange(len(text))
+        room, begun = ends[own] - at, at - (ends - lengths)[own]
+        node, length, begins, tokens, stops = np.zeros(len(text), np.int64), 0, [], [], []
+        while len(at):
+            if length < 2:
+                node = self.two[text[at].astype(np.int64) << 8 | text[at + 1]] if length else self.one[text]
+                on = node > 0
+                at, node = at[on], node[on]
+            else:
+                arc = node << 8 | text[at + length]
+                k = self._place(arc)
+                has = self.arcs[k]
+                far = np.flatnonzero((has != arc) & (has >= 0))
+                while len(far):
+                    k[far] = (k[far] + 1) & self.mask
+                    has[far] = self.arcs[k[far]]
+                    far = far[(has[far] != arc[far]) & (has[far] >= 0)]
+                on = np.flatnonzero(has == arc)
+                at, node = at[on], self.child[k[on]]
+            length += 1
+            hit = self.token[node] >= 0
+            begins.append(at[hit])
+            tokens.append(self.token[node[hit]])
+            stops.append((begun[at[hit]] + length).astype(np.int16))
+            on = room[at] > length
+            at, node = at[on], node[on]
+        begin, token, stop = map(np.concatenate, (begins, tokens, stops))
+        order = np.argsort(stop, kind="stable")
+        begin, token, stop = begin[order], token[order], stop[order]
+        first = begin + own[begin]  # of a word's prefixes, the empty one included
+        last = first + stop - begun[begin]
+        counts, row = np.zeros(len(text) + len(words), np.int64), np.zeros(len(text) + len(words), np.int64)
+        bounds = np.flatnonzero(np.diff(stop, prepend=-1, append=-1)) if len(stop) else []
+        for i, j in zip(bounds, bounds[1:], strict=False):
+            f, t = first[i:j], token[i:j]
+            key = (row[f] << self.bits | self.place[t]).astype(self.los.dtype)
+            on = key > self.his[np.searchsorted(self.los, key, "right") - 1]
+            f, t, to = f[on], t[on], last[i:j][on]
+            counts[to], row[to] = counts[f] + 1, self.row[t]
+        to = np.arange(len(text)) + own + 1
+        if not counts[to].all():
+            raise ValueError("a byte has no token in this vocabulary")
+        change = counts[to] - counts[to - 1]
+        if len(change) and (change.min() < -128 or change.max() > 127):
+            raise OverflowError("a change of the count is more than a signed byte holds")
+        all_ = change.astype(np.int8).tobytes()
+        return [all_[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+
+
 class PrefixCounts:
     """Changes of the token count of a text's prefixes, as bytes, through the automaton ``a``."""
 
@@ -41,6 +147,10 @@ class PrefixCounts:
         self.marks = {w.encode(): [0, *(n + 1 for n in a.prefix_counts(w[1:-1].encode())), len(a.encode(w.encode()))] for w in self.CONTRACTIONS}
         self.pieces = PieceMap(self.of_word, b"".join, dict.fromkeys(a.special, b""), of_words=self.of_words, of_special=self.of_special)
         self.plain = PieceMap(self.of_word, b"".join, of_words=self.of_words)
+        self.table = PrefixTable(a)
+
+    def learn(self, texts: list[str]) -> None:
+        self.pieces.learn(texts, lambda words: [self.of_word(w) if w in self.marks else v for w, v in zip(words, self.table.changes(words), strict=True)])
 
     @staticmethod
     def packed(counts: list[int]) -> bytes:
@@ -73,15 +183,28 @@ class PrefixCounts:
         return cut + self.packed([count_at(cut, len(cut)), count_at(cut, len(before.encode("utf-8", "surrogatepass"))) + 1])
 
 
+_COUNTS: dict[BpeAutomaton, PrefixCounts] = {}
+
+
+def shared_counts(a: BpeAutomaton) -> PrefixCounts:
+    """The counts of an automaton, its tables and remembered pieces; one a Python process, whatever it has of tasks."""
+    if a not in _COUNTS:
+        _COUNTS.clear()
+        _COUNTS[a] = PrefixCounts(a)
+    return _COUNTS[a]
+
+
 def token_counts(docs: DataFrame, path: str, limit: int, text: str = "text", store: str = "prefixes") -> DataFrame:
     """``docs`` with n_bytes, n_tokens, over_limit (n_tokens > limit) and the stored counts of all prefixes in ``store``."""
     automaton = shared_automaton(docs.sparkSession, path)
     added = {"n_bytes": T.LongType(), "n_tokens": T.LongType(), "over_limit": T.BooleanType(), store: T.BinaryType()}
 
     def run(batches):
-        counts = PrefixCounts(automaton())
+        counts = shared_counts(automaton())
         for batch in blocks(batches):
-            found = [counts.pieces.of(t or "") for t in batch.column(batch.schema.names.index(text)).to_pylist()]
+            texts = [t or "" for t in batch.column(batch.schema.names.index(text)).to_pylist()]
+            counts.learn(texts)
+            found = [counts.pieces.of(t) for t in texts]
             n = [count_at(x, len(x)) for x in found]
             columns = {"n_bytes": pa.array(map(len, found), pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([k > limit for k in n], pa.bool_())}
             yield with_columns(batch, columns | {store: pa.array(found, pa.binary())})

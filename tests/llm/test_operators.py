@@ -333,3 +333,24 @@ def stage_on_empty(spark, sf):
 
     d = spark.read.parquet(f"{sf}/documents.parquet").where("false")
     return all(stage(spark, d, sf).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_token_counts_of_many_words():
+    """New words of a block of texts are counted side by side, as each is alone; few are walked one by one."""
+    a, r = load(BYTE), random.Random(5)
+    words = ["".join(r.choices("abcdeéß'漢1-%\U0001f600", k=r.randint(1, 60))) for _ in range(400)]
+    odd = ["", " ", "\n", " a  b\n\nc ", "a\nb a\n\nb a\tb", "don't we'll x's", "a\x1cb \x85c", "<|endoftext|> b<|endoftext|>", "é" * 5000, "　 x　　y"]
+    texts = [" ".join(words[k : k + 20]) for k in range(0, 400, 20)] + odd
+    alone, many = token_counts.PrefixCounts(a), token_counts.PrefixCounts(a)
+    walked, walk = [], a.prefix_counts
+    want = [alone.pieces.of(t) for t in texts]
+    a.prefix_counts = lambda w: walked.append(w) or walk(w)
+    try:
+        many.learn(texts)
+        assert [many.pieces.of(t) for t in texts[:20]] == want[:20]
+        assert len(walked) < 60
+        assert [many.pieces.of(t) for t in texts] == want
+    finally:
+        del a.prefix_counts
+    coded = [w.encode() for w in words]
+    assert many.table.changes(coded) == [alone.packed(a.prefix_counts(w)) for w in coded] and many.table.changes([]) == []
