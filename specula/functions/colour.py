@@ -36,6 +36,9 @@ def _f(t: Column) -> Column:
     return F.when(t > 216 / 24389, F.cbrt(t)).otherwise((t * (24389 / 27) + 16) / 116)
 
 
+lab_curve = _f
+
+
 def _f_inverse(t: Column) -> Column:
     return F.when(t > 6 / 29, t * t * t).otherwise((t * 116 - 16) / (24389 / 27))
 

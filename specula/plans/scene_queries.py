@@ -10,7 +10,7 @@ from specula.functions import curves
 from specula.plans.colour_queries import RGB, channels, f_sql, lin_sql, luma_sql, row_sql, srgb_sql
 from specula.plans.frame_queries import _gate_sql
 from specula.plans.registry import query
-from specula.sources.shared import written
+from specula.sources.shared import written, written_by
 from specula.sources.tables import FULL, HEIGHT, PX, SPEC, WIDTH, full_frames, pixels, spectra, table
 
 #: a* and b* that skin is taken to, the share of skin from which on it is, the most that a gain leaves 1,
@@ -20,24 +20,31 @@ SKIN_A, SKIN_B, COVER, CAP, DEAD, ROUNDS, STEP, ENOUGH = 16.3, 18.5, 0.008, 0.12
 LEAST = 20
 
 
-def _skin(light: Column, a: Column, b: Column) -> Column:
+def _skin(h: Column, c: Column, light: Column) -> Column:
     up = C.smoothstep
-    h, c = C.hue_degrees(F.round(a, 9), F.round(b, 9)), C.chroma(a, b)
-    return F.round(up(h, 2, 14) * (1 - up(h, 46, 66)) * up(c, 5, 13) * (1 - up(c, 70, 95)) * up(light, 12, 22) * (1 - up(light, 86, 95)), 9) > 0.5
+    # as rounded to nine digits and above 0.5; rounding itself goes by decimals and is slow
+    return up(h, 2, 14) * (1 - up(h, 46, 66)) * up(c, 5, 13) * (1 - up(c, 70, 95)) * up(light, 12, 22) * (1 - up(light, 86, 95)) >= 0.5000000005
 
 
 def _measured(cells: DataFrame, least: int) -> DataFrame:
     """image, gains and what they lead to: how (skin or neutral), da and db, the medians' distance to skin's aim.
 
-    ``cells`` has an image's different colours with how often they occur (n) and its gains; medians are weighted.
+    ``cells`` has an image's different colours with how often they occur (n) and its gains; medians are weighted. What
+    several columns need is a column of its own, and hues are measured only where a* and b* come near to skin's.
     """
     linear = [F.least(F.greatest(F.col(c) * F.col(f"g{c}"), F.lit(0.0)), F.lit(1.0)) for c in RGB]
     df = cells.withColumns({f"_lit_{c}": v for c, v in zip(RGB, linear, strict=True)})
-    light, a, b = C.linear_to_lab(*(F.col(f"_lit_{c}") for c in RGB))
-    df = df.withColumns({"_l": light, "_a": F.round(a, 9), "_b": F.round(b, 9)}).withColumn("skin", _skin(F.col("_l"), F.col("_a"), F.col("_b")))
-    shown = [C.linear_to_srgb(F.col(f"_lit_{c}")) for c in RGB]
-    y = C.luma(*shown)
-    df = df.withColumn("neutral", (F.round(C.saturation(*shown), 9) < 0.22) & (F.round(y, 9) > 0.05) & (F.round(y, 9) < 0.95))
+    lit = [F.col(f"_lit_{c}") for c in RGB]
+    df = df.withColumns({f"_f{k}": C.lab_curve(v / w) for k, v, w in zip("xyz", C.matrix(C.RGB_TO_XYZ, *lit), C.WHITE, strict=True)} | {f"_s{c}": C.linear_to_srgb(v) for c, v in zip(RGB, lit, strict=True)})
+    x, y, z = (F.col(f"_f{k}") for k in "xyz")
+    shown = [F.col(f"_s{c}") for c in RGB]
+    df = df.withColumns({"_l": 116 * y - 16, "_u": 500 * (x - y), "_v": 200 * (y - z), "_y": C.luma(*shown), "_sat": C.saturation(*shown)})
+    light, u, v = (F.col(c) for c in ("_l", "_u", "_v"))
+    near = (light > 12) & (light < 95) & (v > 0.03 * u) & (v < 2.3 * u) & (u * u + v * v > 24.9)
+    df = df.withColumns({"_near": near, "neutral": (F.col("_sat") < 0.2199999995) & (F.col("_y") >= 0.0500000005) & (F.col("_y") < 0.9499999995)})
+    df = df.withColumns({n: F.when(F.col("_near") | F.col("neutral"), F.round(c, 9)) for n, c in (("_a", u), ("_b", v))})
+    df = df.withColumn("_h", F.when(F.col("_near"), F.degrees(F.atan2("_b", "_a")))).withColumn("_c", C.chroma(F.col("_a"), F.col("_b")))
+    df = df.withColumn("skin", F.when(F.col("_near"), _skin(F.col("_h"), F.col("_c"), F.col("_l"))).otherwise(False))
     median = lambda v, sel: F.expr(f"percentile(CASE WHEN {sel} THEN {v} END, 0.5, n)")
     count = lambda sel: F.sum(F.when(F.col(sel), F.col("n")).otherwise(0))
     got = df.groupBy("image").agg(*[F.first(f"g{c}").alias(f"g{c}") for c in RGB], F.sum("n").alias("all"), *[count(s).alias(f"n_{s}") for s in ("skin", "neutral")], *[median(f"_{v}", s).alias(f"{s}_{v}") for s in ("skin", "neutral") for v in "ab"])
@@ -50,9 +57,10 @@ def white_balance(linear: DataFrame, least: int = 200) -> DataFrame:
     """image, gains (gr, gg, gb), how, and da, db after them, of images given as linear colours.
 
     Each round measures anew which pixels are skin and turns the gains by a part of what their median a* and b* lack. An
-    image is read once: rounds go over its written histogram of different colours. Images without enough skin keep 1.
+    image is read once: rounds go over its written histogram of different colours, which lies in buckets of images, so
+    that rounds move no colours. Images without enough skin keep 1.
     """
-    cells = written(linear.groupBy("image", *RGB).agg(F.count(F.lit(1)).alias("n")), "colours")
+    cells = written_by(linear.groupBy("image", *RGB).agg(F.count(F.lit(1)).alias("n")), "colours", "image")
     now = _measured(cells.withColumns({f"g{c}": F.lit(1.0) for c in RGB}), least)
     now = now.withColumn("how", F.when(F.col("da").isNull(), "none").when(F.col("skin"), "skin").otherwise("no target"))
     how = written(now.select("image", "how"), "balance-how")
@@ -63,7 +71,7 @@ def white_balance(linear: DataFrame, least: int = 200) -> DataFrame:
         # red and green follow a*, blue follows b*
         turn = {"r": 1 - da * STEP * 0.02, "g": 1 + da * STEP * 0.01, "b": 1 + db * STEP * 0.02}
         gains = now.select("image", *[F.when(on, F.least(F.greatest(F.col(f"g{c}") * t, F.lit(1 - CAP)), F.lit(1 + CAP))).otherwise(F.col(f"g{c}")).alias(f"g{c}") for c, t in turn.items()])
-        now = written(_measured(cells.join(gains, "image"), least), "balance").join(how, "image")
+        now = written(_measured(cells.join(gains.hint("shuffle_hash"), "image"), least), "balance").join(how, "image")
     return now.select("image", *[f"g{c}" for c in RGB], "how", "da", "db")
 
 

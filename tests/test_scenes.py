@@ -105,3 +105,15 @@ def test_error_function(spark):
     xs = [k / 37 for k in range(-260, 261)] + [1e-9, -1e-9, 30.0, -1e6, 0.0]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", curves.erf(F.col("x")).alias("y"), curves.erf_step(F.col("x"), 1.0, -2.0).alias("s")).collect()
     assert all(abs(r["y"] - math.erf(r["x"])) < 2e-12 and abs(r["s"] - (0.5 + 0.5 * math.erf((1 - r["x"]) / 2))) < 2e-12 for r in got)
+
+
+def test_rounds_move_no_colours(spark, monkeypatch):
+    """Rounds join and group colours where they lie: only gains, a row an image, are sent round."""
+    plans, was = [], S.written
+    monkeypatch.setattr(S, "written", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or was(df, name))
+    rows = [(k % 9, 0.6 + k % 7 / 100, 0.3, 0.2 + k % 5 / 100) for k in range(900)]
+    assert S.white_balance(spark.createDataFrame(rows, "image int, r double, g double, b double"), 20).count() == 9
+    assert sum(name == "balance" for name, _ in plans) == S.ROUNDS
+    for _, plan in plans:
+        for part in plan.split("Exchange ")[1:]:
+            assert "percentile" not in part and "colours" not in part.split("FileScan")[1]
