@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Fixed value: white space as Unicode defines it.
@@ -45,24 +49,65 @@ class PieceMap:
         met = set()
         for t in texts:
             met.update(t.split(" "))
-        met = met.difference(self.young)
-        new = [p for p in met if p not in self.old and 0 < len(p) <= LONGEST and not p[0].isspace() and not p[-1].isspace()]
-        words = self.split(" " + " ".join(new)) if new else []
+        self._learned([p for p in met if len(p) <= LONGEST], of_many)
+
+    def of_all(self, texts: pa.Array, of_many: Callable) -> pa.Array:
+        """What :meth:`of` gives for each text, null as empty, where that is bytes; texts are cut and put together by Arrow.
+
+        Each different piece is looked up once, words of new pieces go to ``of_many`` all at once.
+        """
+        texts = pc.fill_null(texts, "")
+        parts = pc.split_pattern(texts, " ")
+        flat, lengths = parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+        begins = np.cumsum(lengths) - lengths
+        head = np.zeros(len(flat), bool)
+        head[begins] = True
+        coded = flat.filter(pa.array(~head)).dictionary_encode()
+        found = self._learned(coded.dictionary.to_pylist(), of_many)
+        at, n = np.empty(len(flat), np.int64), len(found)
+        at[~head], at[head] = coded.indices.to_numpy(), n + np.arange(len(texts))
+        # texts with special strings, or with a piece that isn't one by itself, are mapped as wholes
+        known = np.array([v is not None for v in found] + [True] * len(texts))
+        whole = ~np.logical_and.reduceat(known[at], begins) if len(texts) else np.zeros(0, bool)
+        for s in self.special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        at[np.repeat(whole, lengths) & ~head] = n + len(texts)
+        first = [self.of(t.as_py()) if w else self._words(h) for t, w, h in zip(texts, whole.tolist(), flat.take(pa.array(begins)).to_pylist(), strict=True)]
+        joined = pa.array([*(v or b"" for v in found), *first, b""], pa.binary()).take(pa.array(at))
+        ends = np.frombuffer(joined.buffers()[1], np.int32, len(at) + 1)[np.append(begins, len(at))]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends.tobytes()), joined.buffers()[2]])
+
+    def _learned(self, pieces: list[str], of_many: Callable) -> list:
+        """What a space and each of different pieces map to; None as in :meth:`_missed`."""
+        values = list(map(self.young.get, pieces))
+        new, again = [], {}
+        for k in [k for k, v in enumerate(values) if v is None]:
+            p = pieces[k]
+            if (v := self.old.get(p)) is not None:
+                values[k] = again[p] = v
+            elif p and not p[0].isspace() and not p[-1].isspace():
+                if len(p) <= LONGEST:
+                    new.append(k)
+                else:
+                    values[k] = self._words(" " + p)
+        words = self.split(" " + " ".join([pieces[k] for k in new])) if new else []
         unknown = [w for w in set(words) if w not in self.words]
         known = dict(zip(unknown, of_many([w.encode("utf-8", "surrogatepass") for w in unknown]), strict=True))
-        begins = [k for k, w in enumerate(words) if w[0] == " "]
         found = [v if (v := known.get(w)) is not None else self.words[w] for w in words]
-        for p, i, j in zip(new, begins, [*begins[1:], len(words)], strict=True):
+        begins = [k for k, w in enumerate(words) if w[0] == " "] + [len(words)]
+        for k, i, j in zip(new, begins, begins[1:], strict=False):
             if j - i == 1:
                 v = found[i]
             else:
-                v = self.of_words(words[i:j]) if len(p.split()) > 1 and self._white(words[i:j]) else self.join(found[i:j])
-            self._keep(p, v)
-        for p, v in [(p, v) for p in met if (v := self.old.get(p)) is not None]:
-            self._keep(p, v)
+                v = self.of_words(words[i:j]) if len(pieces[k].split()) > 1 and self._white(words[i:j]) else self.join(found[i:j])
+            values[k] = again[pieces[k]] = v
+        if len(self.young) + len(again) > self.most:
+            self.old, self.young = self.young, {}
+        self.young.update(again if len(again) <= self.most else itertools.islice(again.items(), self.most))
         if len(self.words) + len(known) > self.most:
             self.words.clear()
         self.words.update((w, known[w]) for w in unknown[: self.most] if len(w) <= LONGEST)
+        return values
 
     def _keep(self, piece: str, v) -> None:
         if len(self.young) >= self.most:

@@ -21,6 +21,7 @@ from operator import sub
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -139,18 +140,27 @@ class PrefixTable:
 class PrefixCounts:
     """Changes of the token count of a text's prefixes, as bytes, through the automaton ``a``."""
 
+    #: Pieces, and words, that a process remembers in a generation, of at most 64 characters: about 200 MB with both generations.
+    MOST = 500_000
     #: Fixed value: what a byte-level vocabulary splits off as a word when it is whole.
     CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
     def __init__(self, a: BpeAutomaton):
         self.a = a
         self.marks = {w.encode(): [0, *(n + 1 for n in a.prefix_counts(w[1:-1].encode())), len(a.encode(w.encode()))] for w in self.CONTRACTIONS}
-        self.pieces = PieceMap(self.of_word, b"".join, dict.fromkeys(a.special, b""), of_words=self.of_words, of_special=self.of_special)
+        self.pieces = PieceMap(self.of_word, b"".join, dict.fromkeys(a.special, b""), most=self.MOST, of_words=self.of_words, of_special=self.of_special)
         self.plain = PieceMap(self.of_word, b"".join, of_words=self.of_words)
         self.table = PrefixTable(a)
 
     def learn(self, texts: list[str]) -> None:
-        self.pieces.learn(texts, lambda words: [self.of_word(w) if w in self.marks else v for w, v in zip(words, self.table.changes(words), strict=True)])
+        self.pieces.learn(texts, self._of_many)
+
+    def of_all(self, texts: pa.Array) -> pa.Array:
+        """Changes over each text of an array, as ``pieces.of`` gives them."""
+        return self.pieces.of_all(texts, self._of_many)
+
+    def _of_many(self, words: list[bytes]) -> list[bytes]:
+        return [self.of_word(w) if w in self.marks else v for w, v in zip(words, self.table.changes(words), strict=True)]
 
     @staticmethod
     def packed(counts: list[int]) -> bytes:
@@ -201,13 +211,11 @@ def token_counts(docs: DataFrame, path: str, limit: int, text: str = "text", sto
 
     def run(batches):
         counts = shared_counts(automaton())
-        for batch in blocks(batches):
-            texts = [t or "" for t in batch.column(batch.schema.names.index(text)).to_pylist()]
-            counts.learn(texts)
-            found = [counts.pieces.of(t) for t in texts]
-            n = [count_at(x, len(x)) for x in found]
-            columns = {"n_bytes": pa.array(map(len, found), pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([k > limit for k in n], pa.bool_())}
-            yield with_columns(batch, columns | {store: pa.array(found, pa.binary())})
+        for batch in blocks(batches, 2000):
+            found = counts.of_all(batch.column(batch.schema.names.index(text)))
+            n = totals(found)
+            columns = {"n_bytes": pc.binary_length(found).cast(pa.int64()), "n_tokens": pa.array(n), "over_limit": pa.array(n > limit)}
+            yield with_columns(batch, columns | {store: found})
 
     return docs.mapInArrow(run, schema_with(docs, added))
 
@@ -217,6 +225,14 @@ def count_at(stored: bytes, n_bytes: int) -> int:
     return int(np.frombuffer(stored, np.int8, min(n_bytes, len(stored))).sum(dtype=np.int64))
 
 
+def totals(stored: pa.Array) -> np.ndarray:
+    """:func:`count_at` of whole texts: the last stored counts of an array."""
+    _, ends, changes = stored.buffers()
+    ends = np.frombuffer(ends, np.int32, len(stored) + 1, stored.offset * 4)
+    counts = np.concatenate([[0], np.cumsum(np.frombuffer(changes or b"", np.int8, ends[-1]), dtype=np.int64)])
+    return np.diff(counts[ends])
+
+
 def longest_within(stored: bytes, budget: int) -> int:
     """Bytes of the longest prefix of which the count is at most ``budget``."""
     fits = np.flatnonzero(np.cumsum(np.frombuffer(stored, np.int8), dtype=np.int64) <= budget)

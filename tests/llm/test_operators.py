@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -354,3 +355,25 @@ def test_token_counts_of_many_words():
         del a.prefix_counts
     coded = [w.encode() for w in words]
     assert many.table.changes(coded) == [alone.packed(a.prefix_counts(w)) for w in coded] and many.table.changes([]) == []
+
+
+def test_token_counts_of_whole_arrays():
+    """Arrays of texts give what each text gives by itself; only texts with odd white space or special strings are cut in Python."""
+    a, r = load(BYTE), random.Random(6)
+    words = ["".join(r.choices("abcdeéß'漢1-,%\U0001f600", k=r.randint(1, 30))) for _ in range(300)] + ["b\n\nc", "x\n y", "d" * 300]
+    plain = [" ".join(w for w in r.choices(words, k=40) if " " not in w) for _ in range(30)] + ["", "one", " two", None, "don't we'll"]
+    odd = [" ", "a  b", "a b ", "a\n b", "\n", "  x y", "<|endoftext|> b<|endoftext|>", "a\u3000 b", "x\ty \t z"]
+    texts = pa.array([*plain, *odd, *plain[:5]])
+    alone = token_counts.PrefixCounts(a)
+    want = [alone.pieces.of(t or "") for t in texts.to_pylist()]
+    for most in (500_000, 7):
+        many = token_counts.PrefixCounts(a)
+        many.pieces.most, cut, of = most, [], many.pieces.of
+        many.pieces.of = lambda t, cut=cut, of=of: cut.append(t) or of(t)
+        for _ in range(2):
+            for part in (texts, texts.slice(3, 20), texts.slice(len(plain) - 2), texts[:0], pa.array([None], pa.string())):
+                got = many.of_all(part)
+                start = next((k for k in range(len(texts)) if len(part) and part.equals(texts.slice(k, len(part)))), plain.index(None))
+                assert got.to_pylist() == want[start : start + len(part)]
+                assert token_counts.totals(got).tolist() == [token_counts.count_at(x, len(x)) for x in got.to_pylist()]
+        assert set(cut) <= set(odd) | {" two"} and len(many.pieces.young) <= most
