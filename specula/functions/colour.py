@@ -121,3 +121,11 @@ def oklab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
 def to_byte(x: Column) -> Column:
     """0 to 255, halves to even."""
     return F.least(F.greatest(F.rint(x * 255), F.lit(0.0)), F.lit(255.0)).cast("int")
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """``round`` to the bit, without a decimal number for each value: only near halves and from 1e12 units on it is left to it."""
+    t = x * float(10**digits)
+    whole = F.rint(t)
+    sure = (F.abs(t - whole) < 0.499) & (F.abs(t) < 1e12)  # the product is off by less than 0.001 there
+    return F.when(sure, whole / float(10**digits) + 0.0).otherwise(F.round(x, digits))

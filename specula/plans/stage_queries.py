@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from specula.functions import colour as C
@@ -34,6 +34,26 @@ def _curve_sql(t5: str, t50: str, t95: str) -> str:
     return f"power(2, CASE {parts} ELSE {ys[3]} END) / greatest(y, {LEAST})"
 
 
+def quantiles(df: DataFrame, of: dict[str, tuple[str, float]]) -> DataFrame:
+    """image and, under each name, an exact quantile of a column without nulls, to the bit that of ``percentile``.
+
+    Values are sorted and numbered within images, and those at the places are picked; that spills, where ``percentile`` holds
+    a map of an image's values, whose making and merging took most of a step's time.
+    """
+    columns, agg, picked = sorted({c for c, _ in of.values()}), [], []
+    df = df.select("image", *columns)
+    for c in columns:
+        by = Window.partitionBy("image").orderBy(F.col(c).asc_nulls_last())
+        df = df.withColumns({f"{c}_n": F.count(c).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), f"{c}_k": F.row_number().over(by)})
+    for name, (c, p) in of.items():
+        place = (F.col(f"{c}_n") - 1) * F.lit(float(p))
+        low, high = F.floor(place), F.ceil(place)
+        agg += [F.max(F.when(F.col(f"{c}_k") - 1 == at, F.col(c))).alias(f"{name}_{k}") for k, at in enumerate((low, high))] + [F.first(place).alias(f"{name}_p")]
+        x, y, at = (F.col(f"{name}_{k}") for k in "01p")
+        picked.append(F.when(x == y, x).otherwise((F.ceil(at) - at) * x + (at - F.floor(at)) * y).alias(name))
+    return df.groupBy("image").agg(*agg).select("image", *picked)
+
+
 def measured(df: DataFrame, y: Column) -> DataFrame:
     """q5, q50 and q95 of each image's luminance, exact; a row an image."""
     p = F.percentile(F.greatest(y, F.lit(0.0)), F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
@@ -118,7 +138,8 @@ OWN, VIVID, MOST = (0.0, 0.0, 0.0, -0.247, -0.236, 0.0, 0.0, -0.229, -0.334, -0.
 
 def _lab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image and l, a, b to nine digits, so that what lies on an image's own percentile does so on any machine."""
-    return pixels(spark, sf_dir).select("image", *rounded("lab", C.linear_to_lab(*linear()), 9))
+    lab = pixels(spark, sf_dir).select("image", *[c.alias(n) for n, c in zip("lab", C.linear_to_lab(*linear()), strict=True)])
+    return _nine(lab)
 
 
 _LAB9 = f"{LAB}, p AS (SELECT image, round(l, 9) AS l, round(a, 9) AS a, round(b, 9) AS b FROM lab)"
@@ -152,8 +173,8 @@ def split(lab: DataFrame) -> DataFrame:
 
     Two aggregates, percentiles and the parts' means, are joined back as a row an image.
     """
-    q = lab.groupBy("image").agg(percentile("l", 0.10, 0.25, 0.75, 0.90).alias("p"), *[percentile(c, 0.5)[0].alias(f"m{c}") for c in "ab"])
-    q = q.select("image", "ma", "mb", *[F.round(F.col("p")[k], 9).alias(n) for k, n in enumerate(("p10", "p25", "p75", "p90"))])
+    q = quantiles(lab, {f"p{n}": ("l", n / 100) for n in (10, 25, 75, 90)} | {f"m{c}": (c, 0.5) for c in "ab"})
+    q = q.select("image", "ma", "mb", *[F.round(n, 9).alias(n) for n in ("p10", "p25", "p75", "p90")])
     parts = {"sh": (F.col("l") <= F.col("p25"), SHADOWS), "hi": (F.col("l") >= F.col("p90"), HIGHLIGHTS), "mid": ((F.col("l") >= F.col("p25")) & (F.col("l") <= F.col("p75")), MIDDLE)}
     lack = lambda sel, c, to: F.least(F.greatest(to - (F.avg(F.when(sel, F.col(c))) - F.first(f"m{c}")), F.lit(-MOVE)), F.lit(MOVE))
     d = lab.join(q, "image").groupBy("image").agg(*[F.first(n).alias(n) for n in ("p10", "p25", "p75")], *[lack(sel, c, to[k]).alias(f"{n}_{c}") for n, (sel, to) in parts.items() for k, c in enumerate("ab")])
@@ -193,7 +214,7 @@ def mix(lab: DataFrame) -> DataFrame:
     weight = [C.hue_weight(F.col("h"), c, w) for c, w, _, _ in BANDS]
     df = df.withColumns({"k": F.col("live") * sum(w * (k + o) for w, (_, _, k, _), o in zip(weight, BANDS, OWN, strict=True)), "d": F.col("live") * sum(w * d for w, (_, _, _, d) in zip(weight, BANDS, strict=True))})
     df = df.withColumn("s", F.when(F.col("k") > MOST, MOST / F.col("k")).otherwise(1.0)).withColumn("now", F.col("c") * F.greatest(1 + F.col("k") * F.col("s"), F.lit(0.0)))
-    q = df.groupBy("image").agg(percentile("c", 0.5)[0].alias("m0"), percentile("now", 0.5)[0].alias("m1"))
+    q = quantiles(df, {"m0": ("c", 0.5), "m1": ("now", 0.5)})
     df = df.join(q, "image").withColumn("f", F.when(F.col("m1") > 1e-6, F.col("m0") / F.col("m1")).otherwise(1.0) * F.col("now") / F.greatest("c", F.lit(1e-6)))
     light = F.least(F.greatest(F.col("l") + F.least(F.greatest(F.col("d") * F.col("s"), F.lit(-6.0)), F.lit(8.0)) * F.col("live"), F.lit(0.0)), F.lit(100.0))
     return df.select("image", light.alias("l"), *[(F.col(c) * F.col("f")).alias(c) for c in "ab"])
@@ -230,7 +251,7 @@ def skin(lab: DataFrame) -> DataFrame:
     """
     df = lab.withColumns({"c": C.chroma(F.col("a"), F.col("b")), "h": C.hue_degrees(F.col("a"), F.col("b"))})
     w = C.hue_weight(F.col("h"), *SKIN_HUE) * C.smoothstep(F.col("c"), VIVID * 0.6, VIVID * 1.4) * SKIN_PEAK
-    df = df.withColumn("w", F.round(w, 9))
+    df = df.withColumn("w", w).withColumn("w", C.rounded(F.col("w"), 9))
     # conditional aggregates: a filter would be pushed below the projections and carry all their expressions in one
     q = df.groupBy("image").agg(*[percentile(f"CASE WHEN w > 0.5 THEN {c} END", 0.5)[0].alias(f"s{c}") for c in "lcab"])
     limited = lambda x, k: F.least(F.greatest(x, F.lit(-SKIN_MOVE[k])), F.lit(SKIN_MOVE[k]))
@@ -289,7 +310,7 @@ def _nine_sql(of: str, to: str) -> str:
 
 
 def _nine(lab: DataFrame) -> DataFrame:
-    return lab.select("image", *[F.round(c, 9).alias(c) for c in "lab"])
+    return lab.select("image", *[C.rounded(F.col(c), 9).alias(c) for c in "lab"])
 
 
 @query(f"WITH {_LAB9}, {_split_sql('p', 'sp')}, {_nine_sql('sp', 'sp9')}, {_mix_sql('sp9', 'mx')}, {_nine_sql('mx', 'mx9')}, {_skin_sql('mx9', 'sk')}, {_gamut_sql('sk', 'o')} SELECT image, {', '.join(f'round({c}, 5) + 0.0 AS {c}' for c in RGB)} FROM o")
@@ -302,4 +323,4 @@ def grade_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     for step in (split, mix):
         out = _nine(step(written(out, "grading")))
     out = into_gamut(skin(written(out, "grading")))
-    return out.select("image", *[(F.round(c, 5) + 0.0).alias(c) for c in RGB])
+    return out.select("image", *[C.rounded(F.col(c), 5).alias(c) for c in RGB])

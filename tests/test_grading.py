@@ -4,6 +4,8 @@ import math
 import random
 import statistics
 
+from pyspark.sql import functions as F
+
 from specula.plans import stage_queries as s
 
 
@@ -58,3 +60,19 @@ def test_into_gamut(spark):
     assert got[2][0] > got[2][1]  # a colour inside stays itself
     r, g, b = got[3]
     assert r > g and b > g  # the hue of one outside stays
+
+
+def test_rounded_and_quantiles_are_sparks_to_the_bit(spark):
+    """Rounding makes no decimal number but near halves; quantiles sort an image's values and hold no map of them."""
+    r = random.Random(8)
+    odd = [0.0, -0.0, 5e-10, -5e-10, 1.0000000005, 2.5e-9, -1e-12, 1e3 + 5e-10, 123456.1234567895, 1e13, -3e300, float("inf"), float("nan"), None]
+    xs = odd + [r.uniform(-200, 200) for _ in range(3000)] + [round(r.uniform(-9, 9), 9) + 5e-10 for _ in range(1000)]
+    df = spark.createDataFrame([(k % 7, x) for k, x in enumerate(xs)], "image int, l double")
+    for digits in (5, 9):
+        got = df.select(F.hash(s.C.rounded(F.col("l"), digits)).alias("a"), F.hash(F.round("l", digits)).alias("b"), "l").where("a <> b").collect()
+        assert not got, got[:3]
+    some = df.where("not isnan(l) and abs(l) < 1e12").union(spark.createDataFrame([(8, 2.0), (9, 1.0), (9, 1.0), (9, 4.0)], df.schema))
+    got = s.quantiles(some, {f"p{k}": ("l", k / 100) for k in (10, 50, 90)})
+    want = some.groupBy("image").agg(*[F.expr(f"percentile(l, {k / 100})").alias(f"p{k}") for k in (10, 50, 90)])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "ObjectHashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
