@@ -16,12 +16,14 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specula.llm.bpe_automaton import BpeAutomaton, compile_json
 from specula.llm.common import table
+from specula.llm.prefix_table import PrefixTable
 from specula.llm.pretokens import PieceMap
 
 _COMPILED: dict[int, BpeAutomaton] = {}
@@ -65,17 +67,67 @@ def blocks(batches, rows: int = 500, most_bytes: int = 4 << 20):
             at += part.num_rows
 
 
+class Encoder:
+    """Token ids of texts, as bytes, through the automaton ``a``: new words of an array of texts are walked side by side."""
+
+    #: Pieces, and words, that a process remembers in a generation, of at most 64 characters and so 1 KB of ids.
+    MOST = 100_000
+
+    def __init__(self, a: BpeAutomaton):
+        pack = lambda t: struct.pack(f"<{len(t)}I", *t)
+        self.table = PrefixTable(a)
+        self.pieces = PieceMap(lambda w: pack(a.encode(w)), b"".join, {k: pack([v]) for k, v in a.special.items()}, most=self.MOST)
+
+    def of_all(self, texts: pa.Array) -> pa.Array:
+        return self.pieces.of_all(texts, self.table.ids)
+
+
+class Decoder:
+    """Texts of arrays of ids: the labels of the arcs read, put together by Arrow; bytes that are no UTF-8 are replaced."""
+
+    def __init__(self, label: dict[int, bytes]):
+        self.labels = pa.array([label.get(t) for t in range(max(label) + 1)], pa.binary())
+
+    def of_all(self, ids: pa.Array) -> pa.Array:
+        ids = pc.fill_null(ids, b"")
+        _, ends, arcs = ids.buffers()
+        ends = np.frombuffer(ends, np.int32, len(ids) + 1, ids.offset * 4)
+        if (np.diff(ends) % 4).any():
+            raise ValueError("ids are 32-bit integers")
+        read = self.labels.take(pa.array(np.frombuffer(arcs or b"", "<u4", (ends[-1] - ends[0]) // 4, ends[0])))
+        if read.null_count:
+            raise KeyError("an id has no token in this vocabulary")
+        stops = np.frombuffer(read.buffers()[1], np.int32, len(read) + 1)[(ends - ends[0]) // 4]
+        coded = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(stops.tobytes()), read.buffers()[2]])
+        try:
+            return coded.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([x.decode("utf-8", "replace") for x in coded.to_pylist()], pa.string())
+
+
+_ENCODERS: dict[BpeAutomaton, Encoder] = {}
+
+
+def shared_encoder(a: BpeAutomaton) -> Encoder:
+    """The encoder of an automaton with its remembered pieces; one a Python process, whatever it has of tasks."""
+    if a not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[a] = Encoder(a)
+    return _ENCODERS[a]
+
+
+def _coded(found: pa.Array, ids: str) -> dict[str, pa.Array]:
+    return {ids: found, "n_tokens": pc.divide(pc.binary_length(found), 4).cast(pa.int64())}
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the column ``ids`` (binary) and ``n_tokens`` (long)."""
     automaton = shared_automaton(docs.sparkSession, path)
 
     def run(batches):
-        a = automaton()
-        pack = lambda t: struct.pack(f"<{len(t)}I", *t)
-        pieces = PieceMap(lambda w: pack(a.encode(w)), b"".join, {k: pack([v]) for k, v in a.special.items()})
-        for batch in blocks(batches):
-            out = [pieces.of(t or "") for t in batch.column(batch.schema.names.index(text)).to_pylist()]
-            yield with_columns(batch, {ids: pa.array(out, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64())})
+        encoder = shared_encoder(automaton())
+        for batch in blocks(batches, 2000):
+            yield with_columns(batch, _coded(encoder.of_all(batch.column(batch.schema.names.index(text))), ids))
 
     return docs.mapInArrow(run, schema_with(docs, {ids: T.BinaryType(), "n_tokens": T.LongType()}))
 
@@ -86,10 +138,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
         labels = df.sparkSession.sparkContext.broadcast(compile_json(f.read()).label)
 
     def run(batches):
-        label = labels.value.__getitem__
+        decoder = Decoder(labels.value)
         for batch in blocks(batches):
-            out = (np.frombuffer(x or b"", "<u4").tolist() for x in batch.column(batch.schema.names.index(ids)).to_pylist())
-            yield with_columns(batch, {text: pa.array([b"".join(map(label, x)).decode("utf-8", "replace") for x in out], pa.string())})
+            yield with_columns(batch, {text: decoder.of_all(batch.column(batch.schema.names.index(ids)))})
 
     return df.mapInArrow(run, schema_with(df, {text: T.StringType()}))
 
@@ -99,14 +150,10 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
     automaton = shared_automaton(docs.sparkSession, path)
 
     def run(batches):
-        a = automaton()
-        label = a.label.__getitem__
-        pack = lambda t: struct.pack(f"<{len(t)}I", *t)
-        pieces = PieceMap(lambda w: pack(a.encode(w)), b"".join, {k: pack([v]) for k, v in a.special.items()}, most=100_000)
-        for batch in blocks(batches):
-            out = [pieces.of(t or "") for t in batch.column(batch.schema.names.index(text)).to_pylist()]
-            back = [b"".join(map(label, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in out]
-            yield with_columns(batch, {ids: pa.array(out, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64()), decoded: pa.array(back, pa.string())})
+        encoder, decoder = shared_encoder(automaton()), Decoder(automaton().label)
+        for batch in blocks(batches, 2000):
+            found = encoder.of_all(batch.column(batch.schema.names.index(text)))
+            yield with_columns(batch, _coded(found, ids) | {decoded: decoder.of_all(found)})
 
     return docs.mapInArrow(run, schema_with(docs, {ids: T.BinaryType(), "n_tokens": T.LongType(), decoded: T.StringType()}))
 

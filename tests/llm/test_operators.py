@@ -377,3 +377,37 @@ def test_token_counts_of_whole_arrays():
                 assert got.to_pylist() == want[start : start + len(part)]
                 assert token_counts.totals(got).tolist() == [token_counts.count_at(x, len(x)) for x in got.to_pylist()]
         assert set(cut) <= set(odd) | {" two"} and len(many.pieces.young) <= most
+
+
+def test_codec_of_whole_arrays():
+    """New words are walked side by side, as each is alone; arrays of texts, ids too, give what each gives by itself."""
+    t, a, r = Tokenizer.from_file(BYTE), load(BYTE), random.Random(7)
+    words = ["".join(r.choices("abcdeéß'漢1-,%\U0001f600", k=r.randint(1, 60))) for _ in range(400)] + ["a" * 64, "ation" * 12, "\U0001f600" * 64, "d" * 300]
+    plain = [" ".join(words[k : k + 20]) for k in range(0, 404, 20)] + ["", "one", None, "don't we'll x's"]
+    odd = ["\n", " a  b\n\nc ", "a\nb a\n\nb a\tb", "a\x1cb \x85c", "<|endoftext|> b<|endoftext|>", "é" * 5000, "　 x　　y", "a" * 9000]
+    texts = pa.array([*plain, *odd, *plain[:5]])
+    want = [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts.to_pylist()]
+    walked, walk = [], a.encode
+    for most in (100_000, 7):
+        encoder, decoder = bpe_codec.Encoder(a), bpe_codec.Decoder(a.label)
+        encoder.pieces.most = most
+        a.encode = lambda w: walked.append(w) or walk(w)
+        try:
+            assert encoder.of_all(pa.array(plain[:20])).to_pylist() == want[:20]
+            assert 10 * len(walked) < sum(len(encoder.pieces.split(x)) for x in plain[:20])  # texts' first pieces are walked alone
+            for part in (slice(None), slice(3, 20), slice(20, None), slice(0), slice(22, 23)):
+                got = encoder.of_all(texts[part])
+                assert got.to_pylist() == want[part]
+                assert decoder.of_all(got).to_pylist() == [x or "" for x in texts[part].to_pylist()]
+                assert decoder.of_all(got[1:]).to_pylist() == [x or "" for x in texts[part].to_pylist()[1:]]
+        finally:
+            del a.encode
+        walked.clear()
+        assert len(encoder.pieces.young) <= most
+    coded = [w.encode() for w in words]
+    assert encoder.table.ids(coded) == [np.array(a.encode(w), "<u4").tobytes() for w in coded] and encoder.table.ids([]) == []
+    half = pa.array([np.array(a.encode("\U0001f600".encode())[:1], "<u4").tobytes(), None, want[1]])  # not whole characters
+    assert decoder.of_all(half).to_pylist() == [t.decode(np.frombuffer(half[0].as_py(), "<u4").tolist()), "", plain[1]]
+    for wrong, error in ((b"\1\0\0", ValueError), (b"\xff\xff\xff\x7f", Exception)):
+        with pytest.raises(error):
+            decoder.of_all(pa.array([wrong]))
